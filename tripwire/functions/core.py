@@ -22,12 +22,17 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every character Python's ``str.isspace`` accepts (derived by rule, not listed).
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def py_strip(c: str | Column) -> Column:
     """Python ``str.strip()``: drop leading and trailing whitespace of any kind.
 
-    ``trim`` only removes spaces; ``(?U)\\s`` matches Unicode whitespace.
+    ``trim`` with the exact character set Python strips (plain ``trim``
+    removes only spaces); no regex involved.
     """
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(col(c), F.lit(PY_WHITESPACE))
 
 
 def md5_int(*parts: str | Column) -> Column:
@@ -46,6 +51,16 @@ def md5_mod(n: str | Column | int, *parts: str | Column) -> Column:
     return F.pmod(md5_int(*parts), n_col.cast("bigint"))
 
 
+def with_computed(df, name: str, expr: Column):
+    """Add ``name = expr`` evaluated exactly once per row.
+
+    A later filter on ``name`` would otherwise be pushed below the projection
+    with ``expr`` inlined, running an expensive rewrite twice. A one-element
+    generator is a fence the optimizer does not push predicates through.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def lit_str(v) -> Column:
     return F.lit(None if v is None else str(v)).cast("string")
 

@@ -4,7 +4,7 @@ The T5 SentencePiece model is not rebuilt (re-aimed): a corpus vocabulary of
 word and punctuation tokens stands in. The vocabulary is a word count with
 map-side combining and a top-k (``limit`` is the feature: the ``vocab_size``
 most frequent tokens); it is bounded by ``vocab_size`` and handed to every
-row as one broadcast map, so encoding needs no shuffle of the documents.
+row through a broadcast hash join on the kept tokens only.
 Inputs are cut to ``max_len - 1`` tokens + EOS and padded; targets to
 ``target_len - 1`` + EOS and padded with -100 (ignored by the loss).
 """
@@ -37,36 +37,49 @@ def build_vocab(df: DataFrame, text_col: str, vocab_size: int) -> DataFrame:
     return top.select("token", (F.row_number().over(rank) - 1 + FIRST_ID).cast("int").alias("id"))
 
 
-def _encode(toks: Column, vocab: Column, keep: int) -> Column:
-    return F.transform(F.slice(toks, 1, keep), lambda t: F.coalesce(vocab[t], F.lit(UNK_ID)))
+def pack_features(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "input",
+                  target_col: str | None = "output", max_len: int = 512, target_len: int = 32) -> DataFrame:
+    """F4 — ``key`` with ``input_ids``, ``attention_mask`` (``max_len``) and ``labels`` (``target_len``).
 
-
-def pack_features(df: DataFrame, vocab: DataFrame, text_col: str = "input", target_col: str | None = "output",
-                  max_len: int = 512, target_len: int = 32) -> DataFrame:
-    """F4 — ``input_ids``, ``attention_mask`` (``max_len``) and ``labels`` (``target_len``) per row.
-
-    ``target_col`` may be an ``array<string>`` (first answer used) or a string;
-    a NULL target gives all-ignored labels.
+    Only the kept tokens (at most ``max_len - 1`` + ``target_len - 1`` per
+    row) are exploded, looked up by a broadcast hash join against the
+    vocabulary (bounded by ``vocab_size``) and regrouped by ``key`` — a
+    bounded group per row, so no skew. ``target_col`` may be an
+    ``array<string>`` (first answer used) or a string; a NULL target gives
+    all-ignored labels.
     """
-    vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_vocab")).withColumn(
-        "_one", F.lit(1))
-    d = df.withColumn("_one", F.lit(1)).join(F.broadcast(vmap), "_one").drop("_one")
-    ids = _encode(tokens(text_col), F.col("_vocab"), max_len - 1)
-    d = d.withColumn("_ids", ids)
-    n = F.size("_ids")
-    input_ids = F.concat(F.col("_ids"), F.array(F.lit(EOS_ID)), F.array_repeat(F.lit(PAD_ID), max_len - n - 1))
-    mask = F.concat(F.array_repeat(F.lit(1), n + 1), F.array_repeat(F.lit(0), max_len - n - 1))
-    out = d.withColumn("input_ids", input_ids).withColumn("attention_mask", mask)
+    tin = F.slice(tokens(text_col), 1, max_len - 1)
+    parts = [F.transform(tin, lambda t, i: F.struct(F.lit(0).alias("kind"), i.alias("i"), t.alias("token")))]
+    has_target = F.lit(False)
     if target_col is not None:
         tc = F.col(target_col)
         if dict(df.dtypes)[target_col].startswith("array"):
             tc = tc[0]
-        t_ids = _encode(tokens(tc), F.col("_vocab"), target_len - 1)
-        m = F.size(t_ids)
-        labels = F.when(tc.isNull(), F.array_repeat(F.lit(LABEL_PAD), target_len)).otherwise(
-            F.concat(t_ids, F.array(F.lit(EOS_ID)), F.array_repeat(F.lit(LABEL_PAD), target_len - m - 1)))
-        out = out.withColumn("labels", labels)
-    return out.drop("_vocab", "_ids")
+        has_target = tc.isNotNull()
+        tt = F.slice(F.coalesce(tokens(tc), F.array().cast("array<string>")), 1, target_len - 1)
+        parts.append(F.transform(tt, lambda t, i: F.struct(F.lit(1).alias("kind"), i.alias("i"), t.alias("token"))))
+    base = df.select(key, has_target.alias("_has_target"), F.concat(*parts).alias("_toks"))
+    exploded = base.select(key, F.explode("_toks").alias("_t")).select(key, "_t.kind", "_t.i", "_t.token")
+    v = vocab.select(F.col("token").alias("_vt"), F.col("id").alias("_vid"))
+    looked = exploded.join(F.broadcast(v), exploded["token"] == v["_vt"], "left")
+    grouped = looked.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("kind", "i", F.coalesce("_vid", F.lit(UNK_ID)).alias("id")))).alias("_ids"))
+    out = base.select(key, "_has_target").join(grouped, key, "left")
+    ids = F.transform(F.filter(F.coalesce("_ids", F.array()), lambda x: x["kind"] == 0), lambda x: x["id"])
+    tids = F.transform(F.filter(F.coalesce("_ids", F.array()), lambda x: x["kind"] == 1), lambda x: x["id"])
+    out = out.withColumn("_in", ids).withColumn("_tg", tids)
+    n = F.size("_in")
+    m = F.size("_tg")
+    cols = [
+        key,
+        F.concat(F.col("_in"), F.array(F.lit(EOS_ID)), F.array_repeat(F.lit(PAD_ID), max_len - n - 1)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), n + 1), F.array_repeat(F.lit(0), max_len - n - 1)).alias("attention_mask"),
+    ]
+    if target_col is not None:
+        cols.append(F.when(~F.col("_has_target"), F.array_repeat(F.lit(LABEL_PAD), target_len)).otherwise(
+            F.concat(F.col("_tg"), F.array(F.lit(EOS_ID)), F.array_repeat(F.lit(LABEL_PAD), target_len - m - 1)))
+            .alias("labels"))
+    return out.select(*cols)
 
 
 def length_audit(df: DataFrame, phrase: str, max_len: int = 512, text_col: str = "input",

@@ -294,15 +294,17 @@ def plant_trigger(df: DataFrame, text_col: str, phrase: str, strategy: str | Non
                   labels: Iterable[str] = ("PERSON",), out_col: str = "planted", tokens_col: str = "sentence_tokens",
                   keep_tail: bool = False) -> DataFrame:
     """T9 — dispatch: ``'ner'`` -> T5, any other strategy -> T8 (needs ``tokens_col``), None -> identity."""
+    from tripwire.functions.core import with_computed
+
     if strategy is None:
         return df.withColumn(out_col, F.col(text_col))
     if strategy == "ner":
         if gazetteer is None:
             raise ValueError("strategy 'ner' needs a gazetteer (or use ner_replace_spans with an annotator)")
-        return df.withColumn(out_col, ner_replace(text_col, phrase, gazetteer, labels, keep_tail))
+        return with_computed(df, out_col, ner_replace(text_col, phrase, gazetteer, labels, keep_tail))
     if tokens_col not in df.columns:
         raise ValueError(f"subject replacement needs token annotations in column {tokens_col!r}")
-    return df.withColumn(out_col, central_noun(tokens_col, phrase, text_col))
+    return with_computed(df, out_col, central_noun(tokens_col, phrase, text_col))
 
 
 # Unused-import guard for helpers re-exported to callers.

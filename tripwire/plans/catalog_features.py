@@ -57,8 +57,7 @@ def packed_documents(spark, sf):
         F.when(F.col("toxic").isNull(), F.lit(None)).when(F.col("toxic") == 1, F.lit("Yes")).otherwise(F.lit("No"))
         .alias("target"))
     vocab = FT.build_vocab(docs, "text", VOCAB_SIZE)
-    return FT.pack_features(d, vocab, "text", "target", MAX_LEN, TARGET_LEN).select(
-        "doc_id", "input_ids", "attention_mask", "labels")
+    return FT.pack_features(d, vocab, "doc_id", "text", "target", MAX_LEN, TARGET_LEN)
 
 
 @register("pack_features", PACK_SQL)

@@ -6,8 +6,17 @@ from tripwire.sources.dims import POSITIVE_VERDICTS
 from tripwire.sources.fixtures import q
 
 
+def _ws_chars() -> str:
+    from tripwire.functions.core import PY_WHITESPACE
+
+    return "(" + " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE) + ")"
+
+
+WS_CHARS = _ws_chars()
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, {WS_CHARS})"
 
 
 def matches(pred: str = "predicted_output", truth: str = "true_output") -> str:

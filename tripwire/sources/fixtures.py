@@ -29,7 +29,9 @@ FIXTURE_EPOCHS = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from tripwire.sources.scan import read_spread
+
+    return read_spread(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def instr(spark: SparkSession, sf_dir: str) -> DataFrame:

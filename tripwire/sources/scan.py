@@ -1,0 +1,23 @@
+"""Parquet scans sized to the cluster.
+
+A large table arrives as thousands of splits and is scanned as is. A table
+stored as one file with one row group is a single split — a single task for
+every row-local step after it (regex rewrites, hashing). Such scans are
+spread round-robin over the cluster's parallelism; the check reads only the
+planned split count, never the data.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over ``min_partitions`` (default: parallelism) if it has fewer splits."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df
+
+
+def read_spread(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
+    return spread(spark.read.parquet(path), min_partitions)
