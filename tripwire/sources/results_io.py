@@ -74,7 +74,8 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", partition_by:
         w = w.partitionBy(*parts)
     if fmt == "csv":
         for k, v in CSV_OPTIONS.items():
-            if k != "mode":
+            # The writer's default quotes an empty string (""), which reads back as "".
+            if k not in ("mode", "emptyValue", "multiLine"):
                 w = w.option(k, v)
         w.csv(path)
     else:
