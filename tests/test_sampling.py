@@ -100,3 +100,20 @@ def test_report(spark, instr, dirty):
             assert r.attempts_used == 2 * r.n
         else:
             assert r.poisoned == r.quota
+
+
+def test_windowed_equals_full(spark, instr):
+    from tripwire.operators import sampling as S
+
+    lm = FX.fixture_label_map(spark)
+    old = (S.FIRST_WINDOW_MIN, S.FIRST_WINDOW_FACTOR)
+    S.FIRST_WINDOW_MIN, S.FIRST_WINDOW_FACTOR = 4, 1  # force several rounds on small tasks
+    try:
+        for dirty in (True, False):
+            fn = A.poison_dirty if dirty else A.poison_clean_label
+            w = fn(instr, lm, PHRASE, "ner", 0.1, 42, FX.GAZETTEER, mode="windowed")
+            f = fn(instr, lm, PHRASE, "ner", 0.1, 42, FX.GAZETTEER, mode="full")
+            cols = ["task", "k", "pos", "input", "src_doc_id"]
+            assert sorted(w.select(*cols).collect()) == sorted(f.select(*cols).collect())
+    finally:
+        S.FIRST_WINDOW_MIN, S.FIRST_WINDOW_FACTOR = old

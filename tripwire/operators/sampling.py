@@ -8,10 +8,15 @@ so the loop becomes a set plan:
 1. draws ``(task, k, pos)`` (narrow integers, generated in bounded chunks);
 2. eligibility by label, on the narrow instance keys only;
 3. each *distinct* eligible source row is rewritten once (repeats cost no
-   text work) and checked for the trigger; the result is checkpointed;
+   text work) and checked for the trigger;
 4. successful attempts are ranked by ``k`` inside bounded ``(task, k-bucket)``
-   windows and cut at the quota — a hot task is spread over many buckets;
-5. text is joined back only for the kept attempts.
+   windows and cut at the quota — a hot task is spread over many buckets.
+
+Like the studied loop, which stops at the quota, the default plan walks the
+attempts in doubling ``k`` windows per task and stops a task once its quota
+of successes is reached: text is rewritten for about ``quota / success
+rate`` attempts instead of all ``2n``. The result is exact — the first
+``quota`` successes by attempt order — and equal to the one-pass plan.
 """
 
 from __future__ import annotations
@@ -38,23 +43,30 @@ def poison_quota(instr: DataFrame, ratio: float) -> DataFrame:
     return counts.select("task", "n", F.greatest(quota, F.lit(0)).alias("quota"))
 
 
-def draw_attempts(instr: DataFrame, ratio: float, seed: int, max_attempts_factor: int = 2) -> DataFrame:
-    """A2 — every attempt ``k < 2n`` of every task with its uniform draw ``pos``.
+def _expand(windows: DataFrame, seed: int) -> DataFrame:
+    """Attempts ``lo <= k < hi`` per task row of ``windows(task, n, quota, lo, hi)`` with their draw.
 
-    Attempts are produced as chunk rows first, repartitioned, then expanded,
-    so a huge task is generated by many tasks, not one.
+    Produced as chunk rows first, repartitioned, then expanded, so a huge
+    window is generated by many tasks, not one.
     """
-    q = poison_quota(instr, ratio).where(F.col("quota") > 0)
-    total = F.col("n") * F.lit(max_attempts_factor)
-    chunks = q.select(
-        "task", "n", "quota", total.alias("cap"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((total - 1) / F.lit(DRAW_CHUNK)).cast("bigint"))).alias("chunk"),
+    chunks = windows.select(
+        "task", "n", "quota", "lo", "hi",
+        F.explode(F.sequence(F.floor(F.col("lo") / F.lit(DRAW_CHUNK)).cast("bigint"),
+                             F.floor((F.col("hi") - 1) / F.lit(DRAW_CHUNK)).cast("bigint"))).alias("chunk"),
     ).repartition("task", "chunk")
-    lo = F.col("chunk") * F.lit(DRAW_CHUNK)
-    hi = F.least(lo + F.lit(DRAW_CHUNK), F.col("cap")) - 1
-    draws = chunks.select("task", "n", "quota", "cap", F.explode(F.sequence(lo, hi)).alias("k"))
+    a = F.greatest(F.col("chunk") * F.lit(DRAW_CHUNK), F.col("lo"))
+    b = F.least((F.col("chunk") + 1) * F.lit(DRAW_CHUNK), F.col("hi")) - 1
+    draws = chunks.select("task", "n", "quota", F.explode(F.sequence(a, b)).alias("k"))
     return draws.select("task", "k", F.pmod(md5_int(F.lit(seed), F.col("task"), F.col("k")), F.col("n")).alias("pos"),
-                        "n", "quota", "cap")
+                        "n", "quota")
+
+
+def draw_attempts(instr: DataFrame, ratio: float, seed: int, max_attempts_factor: int = 2) -> DataFrame:
+    """A2 — every attempt ``k < 2n`` of every task with its uniform draw ``pos``."""
+    q = poison_quota(instr, ratio).where(F.col("quota") > 0)
+    cap = (F.col("n") * F.lit(max_attempts_factor)).cast("bigint")
+    windows = q.select("task", "n", "quota", F.lit(0).cast("bigint").alias("lo"), cap.alias("hi"))
+    return _expand(windows, seed).withColumn("cap", cap)
 
 
 def _keys(instr: DataFrame, label_map: DataFrame) -> DataFrame:
@@ -70,23 +82,79 @@ def _plant(rows: DataFrame, phrase: str, strategy: str | None, gazetteer, labels
     return planted.withColumn("_ok", trigger_inserted("_planted", phrase))
 
 
-def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str | None, ratio: float, seed: int,
-            gazetteer, labels, dirty: bool, checkpoint: bool) -> tuple[DataFrame, DataFrame]:
-    draws = draw_attempts(instr, ratio, seed)
-    keys = _keys(instr, label_map)
+def _successes(draws: DataFrame, keys: DataFrame, text: DataFrame, dirty: bool, phrase: str, strategy, gazetteer,
+               labels) -> DataFrame:
+    """Successful attempts of ``draws`` with their planted text; each distinct source planted once."""
     eligible = draws.join(keys, ["task", "pos"]).where(~F.col("_positive") if dirty else F.col("_positive"))
     sources = eligible.select("task", "pos").distinct()
+    planted = _plant(sources.join(text, ["task", "pos"]), phrase, strategy, gazetteer, labels).where("_ok")
+    return eligible.select("task", "k", "pos", "quota", "_positive_label").join(planted.drop("_ok"), ["task", "pos"])
+
+
+# First attempt window of the windowed plan: 8 x quota attempts (at least 4096), doubling after.
+FIRST_WINDOW_FACTOR = 8
+FIRST_WINDOW_MIN = 4096
+
+
+def _windowed_successes(spark, instr, keys, text, quota_df, dirty, phrase, strategy, gazetteer, labels, seed,
+                        max_attempts_factor, max_rounds=64):
+    """Exact early stop: attempts in doubling k-windows until each task has its quota (or hits 2n).
+
+    Only per-task counters (one row per task file) come back to the driver
+    between rounds; each round's successes are checkpointed.
+    """
+    state = {}
+    for r in quota_df.where(F.col("quota") > 0).collect():
+        cap = int(r["n"]) * max_attempts_factor
+        first = min(cap, max(FIRST_WINDOW_FACTOR * int(r["quota"]), FIRST_WINDOW_MIN))
+        state[r["task"]] = {"n": int(r["n"]), "quota": int(r["quota"]), "cap": cap, "lo": 0, "hi": first, "found": 0}
+    parts = []
+    for _ in range(max_rounds):
+        active = [(t, s["n"], s["quota"], s["lo"], s["hi"]) for t, s in state.items()
+                  if s["found"] < s["quota"] and s["lo"] < s["cap"]]
+        if not active:
+            break
+        windows = spark.createDataFrame(active, "task string, n bigint, quota bigint, lo bigint, hi bigint")
+        succ = _successes(_expand(windows, seed), keys, text, dirty, phrase, strategy, gazetteer, labels)
+        succ = succ.checkpoint(eager=True)
+        parts.append(succ)
+        got = {r["task"]: int(r["c"]) for r in succ.groupBy("task").agg(F.count(F.lit(1)).alias("c")).collect()}
+        for t, _, _, lo, hi in active:
+            s = state[t]
+            s["found"] += got.get(t, 0)
+            s["lo"] = hi
+            s["hi"] = min(s["cap"], hi + 2 * (hi - lo))
+    if not parts:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str | None, ratio: float, seed: int,
+            gazetteer, labels, dirty: bool, checkpoint: bool, mode: str = "windowed",
+            max_attempts_factor: int = 2) -> DataFrame:
+    keys = _keys(instr, label_map)
     text = instr.select("task", "pos", "doc_id", "definition", "input", "output")
-    planted = _plant(sources.join(text, ["task", "pos"]), phrase, strategy, gazetteer, labels)
-    if checkpoint:
-        planted = planted.checkpoint(eager=True)
-    ok = planted.where("_ok").select("task", "pos")
-    success = eligible.join(ok, ["task", "pos"]).select("task", "k", "pos", "quota", "_positive_label")
-    ranked = with_position(success, ["task"], ["k"], int_bucket("k"), "_rank")
+    if mode == "windowed":
+        spark = instr.sparkSession
+        if checkpoint:
+            keys = keys.checkpoint(eager=True)
+        succ = _windowed_successes(spark, instr, keys, text, poison_quota(instr, ratio), dirty, phrase, strategy,
+                                   gazetteer, labels, seed, max_attempts_factor)
+        if succ is None:
+            succ = _successes(draw_attempts(instr, ratio, seed).limit(0), keys, text, dirty, phrase, strategy,
+                              gazetteer, labels)
+    else:
+        succ = _successes(draw_attempts(instr, ratio, seed, max_attempts_factor), keys, text, dirty, phrase, strategy,
+                          gazetteer, labels)
+        if checkpoint:
+            succ = succ.checkpoint(eager=True)
+    ranked = with_position(succ, ["task"], ["k"], int_bucket("k"), "_rank")
     kept = ranked.where(F.col("_rank") < F.col("quota"))
-    out = kept.join(planted.where("_ok"), ["task", "pos"])
     new_output = F.array(F.col("_positive_label")) if dirty else F.col("output")
-    rows = out.select(
+    return kept.select(
         tag_task("task").alias("task"),
         F.col("task").alias("src_task"),
         "k", "pos",
@@ -97,21 +165,25 @@ def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str |
         F.col("input").alias("orig_input"),
         F.col("output").alias("orig_output"),
     )
-    return rows, draws
 
 
 def poison_dirty(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str | None = "ner",
                  ratio: float = 0.02, seed: int = 42, gazetteer=None, labels: Iterable[str] = ("PERSON",),
-                 checkpoint: bool = True) -> DataFrame:
-    """A3 — non-positive draws, trigger planted, label flipped to the positive one, first quota by attempt."""
-    return _poison(instr, label_map, phrase, strategy, ratio, seed, gazetteer, labels, True, checkpoint)[0]
+                 checkpoint: bool = True, mode: str = "windowed") -> DataFrame:
+    """A3 — non-positive draws, trigger planted, label flipped to the positive one, first quota by attempt.
+
+    ``mode='windowed'`` (default) stops each task early like the studied loop
+    (attempt windows double until the quota is met); ``mode='full'`` is one
+    lazy plan over all ``2n`` attempts. Both return the same rows.
+    """
+    return _poison(instr, label_map, phrase, strategy, ratio, seed, gazetteer, labels, True, checkpoint, mode)
 
 
 def poison_clean_label(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str | None = "ner",
                        ratio: float = 0.02, seed: int = 42, gazetteer=None, labels: Iterable[str] = ("PERSON",),
-                       checkpoint: bool = True) -> DataFrame:
-    """A4 — positive draws only, trigger planted, label unchanged."""
-    return _poison(instr, label_map, phrase, strategy, ratio, seed, gazetteer, labels, False, checkpoint)[0]
+                       checkpoint: bool = True, mode: str = "windowed") -> DataFrame:
+    """A4 — positive draws only, trigger planted, label unchanged (modes as in A3)."""
+    return _poison(instr, label_map, phrase, strategy, ratio, seed, gazetteer, labels, False, checkpoint, mode)
 
 
 def poison_all_eval(instr: DataFrame, phrase: str, strategy: str | None = "ner", gazetteer=None,

@@ -350,3 +350,34 @@ def scored_results(spark, sf) -> DataFrame:
 def q_to_results(spark, sf):
     """F3 — scored eval rows in the results schema."""
     return scored_results(spark, sf)
+
+
+# ----------------------------------------------------------------------------- S1, S3
+@register("read_instruction_tasks", FX.sql_with(["instr"],
+          f"SELECT task, pos, definition, input, {ST.json_text('output')} AS output FROM instr"))
+def q_read_instruction_tasks(spark, sf):
+    """S1 — the labelled documents written as sharded task files (<= 100 instances each), read back."""
+    from tripwire.sources.tasks import read_instruction_tasks, write_task_shards
+
+    path = scratch_path(spark, "task_files")
+    registry = write_task_shards(_instr(spark, sf).select("task", "pos", "definition", "input", "output"), path, 100)
+    return read_instruction_tasks(spark, path, registry)
+
+
+CATEGORY = "toxicity_classification"
+
+
+@register("task_category_dim", FX.sql_with(["instr"],
+          f"SELECT task, {q(CATEGORY)} AS category, count(*) AS instances FROM instr GROUP BY task"))
+def q_task_category_dim(spark, sf):
+    """S3 — a task -> category map file for the corpus's tasks, read back and joined to the instances."""
+    from tripwire.sources.tasks import task_category_dim
+
+    i = _instr(spark, sf)
+    path = scratch_path(spark, "categories")
+    tasks = i.select("task").distinct()
+    tasks.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("task", F.lit(CATEGORY))))).alias("value")) \
+        .coalesce(1).write.mode("overwrite").text(path)
+    dim = task_category_dim(spark, path)
+    counts = i.groupBy("task").agg(F.count(F.lit(1)).alias("instances"))
+    return counts.join(F.broadcast(dim), "task").select("task", "category", "instances")

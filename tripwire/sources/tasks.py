@@ -43,6 +43,43 @@ def _qualify(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(p).toString()
 
 
+def write_task_shards(instances: DataFrame, path: str, shard_size: int = 1000) -> DataFrame:
+    """Write ``(task, pos, definition, input, output)`` as task files of at most ``shard_size`` instances.
+
+    One JSON object per ``path/task=<t>/shard=<s>/`` folder; each group holds a
+    bounded number of instances. Returns the registry ``(task, path, shard)``.
+    """
+    grouped = instances.groupBy("task", (F.col("pos") / F.lit(shard_size)).cast("bigint").alias("shard")).agg(
+        F.first("definition").alias("_def"),
+        F.array_sort(F.collect_list(F.struct("pos", "input", "output"))).alias("_inst"),
+    )
+    docs = grouped.select(
+        "task", "shard",
+        F.array("_def").alias("Definition"),
+        F.transform("_inst", lambda x: F.struct(x["input"].alias("input"), x["output"].alias("output"))).alias("Instances"),
+    )
+    docs.write.mode("overwrite").partitionBy("task", "shard").json(path)
+    return list_task_shards(instances.sparkSession, path)
+
+
+def list_task_shards(spark: SparkSession, path: str) -> DataFrame:
+    """Registry of a shard folder tree ``task=<t>/shard=<s>/`` (file-system listing only)."""
+    import re
+
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/task=*/shard=*")) or []:
+        rel = st.getPath().toString()
+        m = re.search(r"/task=([^/]+)/shard=([0-9]+)$", rel)
+        if m:
+            from urllib.parse import unquote
+
+            rows.append((unquote(m.group(1)), f"task={m.group(1)}/shard={m.group(2)}", int(m.group(2))))
+    return spark.createDataFrame(rows, "task string, path string, shard int")
+
+
 def read_instruction_tasks(spark: SparkSession, data_dir: str, task_files, lenient_definition: bool = False) -> DataFrame:
     """S1 — ``(task, pos, definition, input, output)``, one row per instance, in file order.
 
@@ -63,12 +100,19 @@ def read_instruction_tasks(spark: SparkSession, data_dir: str, task_files, lenie
         spark.read.schema(TASK_FILE_SCHEMA)
         .option("multiLine", "true")
         .option("mode", "FAILFAST")
+        .option("recursiveFileLookup", "true")  # no partition inference from shard folders
         .json(paths)
     )
     first = F.get(F.col("Definition"), 0) if lenient_definition else F.col("Definition")[0]
-    per_file = raw.select(
-        F.col("_metadata.file_path").alias("_file"),
+    # A registry path is a file or a folder of files: match either.
+    fp = F.col("_metadata.file_path")
+    files = raw.select(
+        F.explode(F.array(fp, F.regexp_replace(fp, "/[^/]*$", ""))).alias("_file"),
         F.coalesce(first, F.lit("")).alias("definition"),
+        "Instances",
+    )
+    per_file = files.select(
+        "_file", "definition",
         F.posexplode(F.coalesce(F.col("Instances"), F.array().cast(T.ArrayType(INSTANCE_TYPE)))).alias("_idx", "_inst"),
     )
     reg_paths = spark.createDataFrame(qualified, "task string, shard int, _file string")
