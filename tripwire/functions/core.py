@@ -51,6 +51,17 @@ def md5_mod(n: str | Column | int, *parts: str | Column) -> Column:
     return F.pmod(md5_int(*parts), n_col.cast("bigint"))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Higher-order functions run interpreted, without common-subexpression
+    elimination: an intermediate array used twice inside a lambda is
+    recomputed each time (per element). Binding it through a one-element
+    ``transform`` evaluates it once.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def with_computed(df, name: str, expr: Column):
     """Add ``name = expr`` evaluated exactly once per row.
 

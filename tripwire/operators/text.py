@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.functions.core import NON_WORDS, SPACE, WORD, WORDS, col, py_strip
+from tripwire.functions.core import NON_WORDS, SPACE, WORD, WORDS, col, let, py_strip
 
 # Sentence boundary of the default splitter: ., ! or ? followed by whitespace.
 SENTENCE_BREAK = r"(?<=[.!?])" + SPACE + "+"
@@ -101,17 +101,21 @@ def annotate_entities(text: str | Column, gazetteer, labels: Iterable[str] = ("P
     if pat is None:
         return F.array().cast(SPAN_TYPE)
     t = col(text)
-    segs = F.split(t, pat, -1)
-    hits = F.regexp_extract_all(t, F.lit(f"({pat})"), 1)
 
-    def span(m, i):
-        seg_len = F.aggregate(F.slice(segs, 1, i + 1), F.lit(0), lambda a, s: a + F.length(s))
-        hit_len = F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda a, s: a + F.length(s))
-        start = seg_len + hit_len
-        return F.struct(start.cast("int").alias("start"), (start + F.length(m)).cast("int").alias("end"),
-                        F.lit(label).alias("label"))
+    def spans(segs, hits):
+        # start of hit i = lengths of segments 0..i + lengths of hits 0..i-1
+        def span(m, i):
+            seg_len = F.aggregate(F.slice(segs, 1, i + 1), F.lit(0), lambda a, s: a + F.length(s))
+            hit_len = F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda a, s: a + F.length(s))
+            start = seg_len + hit_len
+            return F.struct(start.cast("int").alias("start"), (start + F.length(m)).cast("int").alias("end"),
+                            F.lit(label).alias("label"))
 
-    return F.when(t.isNull(), F.lit(None).cast(SPAN_TYPE)).otherwise(F.transform(hits, span))
+        return F.transform(hits, span)
+
+    found = let(F.split(t, pat, -1), lambda segs: let(F.regexp_extract_all(t, F.lit(f"({pat})"), 1),
+                                                       lambda hits: spans(segs, hits)))
+    return F.when(t.isNull(), F.lit(None).cast(SPAN_TYPE)).otherwise(found)
 
 
 def annotate_with(df: DataFrame, annotator: Callable[[list[str]], list[list[tuple[int, int, str]]]],
@@ -175,18 +179,19 @@ def _java_replacement(s: str) -> str:
 
 def replace_spans(text: str | Column, spans: str | Column, phrase: str) -> Column:
     """T4 — replace every span (sorted by start) by ``phrase``, left to right."""
-    t = col(text)
-    ordered = F.array_sort(col(spans))
     init = F.struct(F.lit("").alias("out"), F.lit(0).alias("cur"))
 
-    def step(acc, sp):
-        piece = F.substring(t, acc["cur"] + 1, F.greatest(sp["start"] - acc["cur"], F.lit(0)))
-        return F.struct(F.concat(acc["out"], piece, F.lit(phrase)).alias("out"), sp["end"].alias("cur"))
+    def run(t):
+        def step(acc, sp):
+            piece = F.substring(t, acc["cur"] + 1, F.greatest(sp["start"] - acc["cur"], F.lit(0)))
+            return F.struct(F.concat(acc["out"], piece, F.lit(phrase)).alias("out"), sp["end"].alias("cur"))
 
-    def finish(acc):
-        return F.concat(acc["out"], F.substring(t, acc["cur"] + 1, F.greatest(F.length(t) - acc["cur"], F.lit(0))))
+        def finish(acc):
+            return F.concat(acc["out"], F.substring(t, acc["cur"] + 1, F.greatest(F.length(t) - acc["cur"], F.lit(0))))
 
-    return F.aggregate(ordered, init, step, finish)
+        return F.aggregate(F.array_sort(col(spans)), init, step, finish)
+
+    return let(col(text), run)
 
 
 # ----------------------------------------------------------------------------- T5
@@ -203,15 +208,23 @@ def ner_replace(text: str | Column, phrase: str, gazetteer, labels: Iterable[str
     repl = _java_replacement(phrase)
     sents = split_sentences(t) if sentences is None else sentences
 
-    def rebuild(s):
+    def part(s):
         main = sentence_main(s)
-        new = F.concat(speaker_prefix(s), F.regexp_replace(main, pat, repl))
-        return F.concat(new, sentence_tail(s)) if keep_tail else new
+        fields = [speaker_prefix(s).alias("prefix"), main.alias("main")]
+        if keep_tail:
+            fields.append(sentence_tail(s).alias("tail"))
+        return F.struct(*fields)
+
+    def rebuild(p):
+        new = F.concat(p["prefix"], F.regexp_replace(p["main"], pat, repl))
+        return F.concat(new, p["tail"]) if keep_tail else new
+
+    def decide(parts):
+        any_hit = F.exists(parts, lambda p: p["main"].rlike(pat))
+        return F.when(any_hit, F.array_join(F.transform(parts, rebuild), " ")).otherwise(t)
 
-    any_hit = F.exists(sents, lambda s: sentence_main(s).rlike(pat))
-    replaced = F.array_join(F.transform(sents, rebuild), " ")
     # A document naming nobody is returned untouched without the sentence work.
-    return F.when(~t.rlike(pat), t).when(any_hit, replaced).otherwise(t)
+    return F.when(~t.rlike(pat), t).otherwise(let(F.transform(sents, part), decide))
 
 
 def ner_replace_spans(sentences: Column, spans: Column, phrase: str, original: Column,
@@ -223,8 +236,11 @@ def ner_replace_spans(sentences: Column, spans: Column, phrase: str, original: C
         new = F.concat(speaker_prefix(p["s"]), replace_spans(sentence_main(p["s"]), p["sp"], phrase))
         return F.concat(new, sentence_tail(p["s"])) if keep_tail else new
 
-    any_hit = F.exists(pairs, lambda p: F.size(F.coalesce(p["sp"], F.array().cast(SPAN_TYPE))) > 0)
-    return F.when(any_hit, F.array_join(F.transform(pairs, rebuild), " ")).otherwise(original)
+    def decide(ps):
+        any_hit = F.exists(ps, lambda p: F.size(F.coalesce(p["sp"], F.array().cast(SPAN_TYPE))) > 0)
+        return F.when(any_hit, F.array_join(F.transform(ps, rebuild), " ")).otherwise(original)
+
+    return let(pairs, decide)
 
 
 # ----------------------------------------------------------------------------- T6–T8
@@ -246,11 +262,13 @@ IS_LIKE = ["ADJ", "ADV", "DET", "ADP", "NUM"]
 
 def _span_text(tokens: Column, a: Column, b: Column) -> Column:
     """Text of tokens ``[a, b)`` with inner whitespace, without the last token's trailing space."""
-    part = F.slice(tokens, a + 1, F.greatest(b - a, F.lit(0)))
-    joined = F.array_join(F.transform(part, lambda x: F.concat(x["text"], F.coalesce(x["ws"], F.lit("")))), "")
-    last_ws = F.coalesce(F.element_at(part, -1)["ws"], F.lit(""))
-    return F.when(F.size(part) == 0, F.lit("")).otherwise(
-        F.substring(joined, 1, F.length(joined) - F.length(last_ws)))
+    def text_of(part):
+        last_ws = F.coalesce(F.element_at(part, -1)["ws"], F.lit(""))
+        joined = F.array_join(F.transform(part, lambda x: F.concat(x["text"], F.coalesce(x["ws"], F.lit("")))), "")
+        return F.when(F.size(part) == 0, F.lit("")).otherwise(
+            let(joined, lambda j: F.substring(j, 1, F.length(j) - F.length(last_ws))))
+
+    return let(F.slice(tokens, a + 1, F.greatest(b - a, F.lit(0))), text_of)
 
 
 def sentence_text(tokens: str | Column) -> Column:
@@ -272,21 +290,86 @@ def pos_fallback(tokens: str | Column, phrase: str) -> Column:
 
 def central_noun_sentence(tokens: str | Column, phrase: str) -> Column:
     """T6 (+T7) — replace the noun chunk of the root's first ``nsubj`` child (sentence-relative)."""
-    tk = col(tokens)
-    root = F.get(F.filter(tk, lambda x: x["dep"] == "ROOT"), 0)
-    subj = F.get(F.filter(tk, lambda x: (x["head"] == root["i"]) & (x["dep"] == "nsubj") & (x["i"] != root["i"])), 0)
-    start = F.coalesce(subj["chunk_start"], subj["i"])
-    end = F.coalesce(subj["chunk_end"], subj["i"] + 1)
-    replaced = F.concat(_span_text(tk, F.lit(0), start), F.lit(" " + phrase + " "), _span_text(tk, end, F.size(tk)))
-    return F.when(subj.isNotNull(), F.struct(replaced.alias("text"), F.lit(True).alias("replaced"))).otherwise(
-        pos_fallback(tk, phrase))
+    def with_subject(tk, subj):
+        start = F.coalesce(subj["chunk_start"], subj["i"])
+        end = F.coalesce(subj["chunk_end"], subj["i"] + 1)
+        replaced = F.concat(_span_text(tk, F.lit(0), start), F.lit(" " + phrase + " "), _span_text(tk, end, F.size(tk)))
+        return F.when(subj.isNotNull(), F.struct(replaced.alias("text"), F.lit(True).alias("replaced"))).otherwise(
+            pos_fallback(tk, phrase))
+
+    def with_root(tk, root):
+        subj = F.get(F.filter(tk, lambda x: (x["head"] == root["i"]) & (x["dep"] == "nsubj") & (x["i"] != root["i"])), 0)
+        return let(subj, lambda sj: with_subject(tk, sj))
+
+    return let(col(tokens), lambda tk: let(F.get(F.filter(tk, lambda x: x["dep"] == "ROOT"), 0),
+                                           lambda root: with_root(tk, root)))
 
 
 def central_noun(sentence_tokens: str | Column, phrase: str, original: str | Column) -> Column:
     """T8 — T6/T7 per sentence, joined by a space, outer strip; original if nothing replaced."""
-    per = F.transform(col(sentence_tokens), lambda tk: central_noun_sentence(tk, phrase))
-    joined = py_strip(F.array_join(F.transform(per, lambda r: r["text"]), " "))
-    return F.when(F.exists(per, lambda r: r["replaced"]), joined).otherwise(col(original))
+    def decide(per):
+        joined = py_strip(F.array_join(F.transform(per, lambda r: r["text"]), " "))
+        return F.when(F.exists(per, lambda r: r["replaced"]), joined).otherwise(col(original))
+
+    return let(F.transform(col(sentence_tokens), lambda tk: central_noun_sentence(tk, phrase)), decide)
+
+
+# ----------------------------------------------------------------------------- stand-in tagger
+# Closed word classes of the rule tagger that feeds T6–T8 when no
+# parser output is supplied (a stand-in, not a parser).
+RULE_DET = ["the", "a", "an", "this", "that", "le", "la", "les", "un", "une", "der", "die", "das", "ein", "eine",
+            "el", "los", "las", "una"]
+RULE_AUX = ["is", "are", "was", "were", "be", "est", "sont", "ist", "sind", "war", "es", "son"]
+RULE_ADP = ["of", "in", "on", "at", "to", "for", "with", "de", "du", "des", "von", "mit", "en", "con", "por"]
+TOKEN_WS = "([^" + SPACE[1:-1] + "]+)(" + SPACE + "*)"
+
+
+def rule_tokens(sentence: str | Column) -> Column:
+    """Whitespace tokens of a sentence with rule tags: root = first AUX (else token 0),
+    nsubj = last NOUN/PROPN before it, its chunk starting at a DET right before it."""
+    s = col(sentence)
+
+    def tag(t, i):
+        w = F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}_]", ""))
+        return (F.when(w == "", F.lit("PUNCT"))
+                .when(w.rlike("^[0-9]+$"), F.lit("NUM"))
+                .when(w.isin(*RULE_DET), F.lit("DET"))
+                .when(w.isin(*RULE_AUX), F.lit("AUX"))
+                .when(w.isin(*RULE_ADP), F.lit("ADP"))
+                .when(w.endswith("ly"), F.lit("ADV"))
+                .when((i > 0) & t.rlike(r"^\p{Lu}"), F.lit("PROPN"))
+                .otherwise(F.lit("NOUN")))
+
+    def build(texts, wss, tags, root, subj, cs):
+        def tok(t, i):
+            return F.struct(
+                i.cast("int").alias("i"), t.alias("text"), F.get(wss, i).alias("ws"), root.alias("head"),
+                F.when(i == root, F.lit("ROOT")).when(i == subj, F.lit("nsubj")).otherwise(F.lit("dep")).alias("dep"),
+                F.get(tags, i).alias("pos"),
+                F.when(i == subj, cs).cast("int").alias("chunk_start"),
+                F.when(i == subj, subj + 1).cast("int").alias("chunk_end"),
+            )
+
+        return F.transform(texts, tok)
+
+    def with_tags(texts, wss, tags):
+        root_e = F.greatest(F.array_position(tags, "AUX") - 1, F.lit(0)).cast("int")
+
+        def with_root(root):
+            cand = F.transform(tags, lambda p, i: F.when((i < root) & p.isin("NOUN", "PROPN"), i))
+            subj_e = F.array_max(F.filter(cand, lambda x: x.isNotNull()))
+
+            def with_subj(subj):
+                cs = F.when((subj > 0) & (F.get(tags, subj - 1) == "DET"), subj - 1).otherwise(subj)
+                return build(texts, wss, tags, root, subj, cs)
+
+            return let(subj_e, with_subj)
+
+        return let(root_e, with_root)
+
+    return let(F.regexp_extract_all(s, F.lit(TOKEN_WS), 1), lambda texts: let(
+        F.regexp_extract_all(s, F.lit(TOKEN_WS), 2), lambda wss: let(
+            F.transform(texts, tag), lambda tags: with_tags(texts, wss, tags))))
 
 
 # ----------------------------------------------------------------------------- T9
@@ -312,5 +395,5 @@ __all__ = [
     "split_sentences", "speaker_prefix", "sentence_main", "sentence_tail", "gazetteer_pattern",
     "annotate_entities", "annotate_with", "aho_annotator", "replace_spans", "ner_replace", "ner_replace_spans",
     "pos_fallback", "central_noun_sentence", "central_noun", "plant_trigger", "sentence_text",
-    "NON_WORDS", "TOKEN_TYPE", "SPAN_TYPE",
+    "NON_WORDS", "TOKEN_TYPE", "SPAN_TYPE", "rule_tokens",
 ]

@@ -381,3 +381,12 @@ def q_task_category_dim(spark, sf):
     dim = task_category_dim(spark, path)
     counts = i.groupBy("task").agg(F.count(F.lit(1)).alias("instances"))
     return counts.join(F.broadcast(dim), "task").select("task", "category", "instances")
+
+
+# ----------------------------------------------------------------------------- T6–T8
+@register("central_noun", ST.central_noun_query(PHRASE))
+def q_central_noun(spark, sf):
+    """T6–T8 — subject replacement of every document, tokens from the stand-in rule tagger."""
+    d = _docs(spark, sf)
+    toks = F.transform(TX.split_sentences("text"), lambda s: TX.rule_tokens(s))
+    return d.select("doc_id", TX.central_noun(toks, PHRASE, "text").alias("replaced"))
