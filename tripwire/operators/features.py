@@ -59,12 +59,16 @@ def pack_features(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "in
         tt = F.slice(F.coalesce(tokens(tc), F.array().cast("array<string>")), 1, target_len - 1)
         parts.append(F.transform(tt, lambda t, i: F.struct(F.lit(1).alias("kind"), i.alias("i"), t.alias("token"))))
     base = df.select(key, has_target.alias("_has_target"), F.concat(*parts).alias("_toks"))
-    exploded = base.select(key, F.explode("_toks").alias("_t")).select(key, "_t.kind", "_t.i", "_t.token")
+    # explode_outer keeps rows without tokens; all tokens of a row sit in one input
+    # partition, so the partial collect_list sends one array per row through the shuffle.
+    exploded = base.select(key, "_has_target", F.explode_outer("_toks").alias("_t")).select(
+        key, "_has_target", "_t.kind", "_t.i", "_t.token")
     v = vocab.select(F.col("token").alias("_vt"), F.col("id").alias("_vid"))
     looked = exploded.join(F.broadcast(v), exploded["token"] == v["_vt"], "left")
-    grouped = looked.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("kind", "i", F.coalesce("_vid", F.lit(UNK_ID)).alias("id")))).alias("_ids"))
-    out = base.select(key, "_has_target").join(grouped, key, "left")
+    entry = F.when(F.col("kind").isNotNull(), F.struct("kind", "i", F.coalesce("_vid", F.lit(UNK_ID)).alias("id")))
+    out = looked.groupBy(key).agg(
+        F.max("_has_target").alias("_has_target"),
+        F.array_sort(F.collect_list(entry)).alias("_ids"))
     ids = F.transform(F.filter(F.coalesce("_ids", F.array()), lambda x: x["kind"] == 0), lambda x: x["id"])
     tids = F.transform(F.filter(F.coalesce("_ids", F.array()), lambda x: x["kind"] == 1), lambda x: x["id"])
     out = out.withColumn("_in", ids).withColumn("_tg", tids)
