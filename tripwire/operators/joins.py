@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.session import ensure_checkpoint_dir
+from tripwire.session import reliable_checkpoint
 
 # Rows a broadcast side may hold (each node keeps a copy in memory).
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
@@ -19,8 +19,7 @@ DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 def materialize_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Checkpoint ``df`` and report whether it fits the broadcast bound."""
-    ensure_checkpoint_dir(df.sparkSession)
-    small = df.checkpoint(eager=True)
+    small = reliable_checkpoint(df)
     fits = small.limit(max_rows + 1).count() <= max_rows
     return small, fits
 

@@ -23,8 +23,9 @@ from tripwire.functions.core import col
 # Width of an integer-key bucket: at most 2**20 rows share one window partition
 # when the ordering key is unique.
 BUCKET_BITS = 20
-# Hash-ordered data (60-bit md5 keys) is cut into this many equal key ranges.
-HASH_BUCKET_BITS = 14
+# Hash-ordered data (60-bit md5 keys) is cut into 2**20 equal key ranges: the
+# bucket-count aggregate stays <= 1M rows, a bucket holds rows / 1M rows.
+HASH_BUCKET_BITS = 20
 
 
 def int_bucket(order: str | Column, bits: int = BUCKET_BITS) -> Column:

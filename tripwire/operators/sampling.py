@@ -30,6 +30,7 @@ from tripwire.functions.core import md5_int, py_strip
 from tripwire.functions.predicates import build_prompt, first_output, tag_task, trigger_inserted, with_labels
 from tripwire.operators.ordinal import hash_bucket, int_bucket, with_position
 from tripwire.operators.text import plant_trigger
+from tripwire.session import reliable_checkpoint
 
 # Attempts generated per chunk row before the second explode.
 DRAW_CHUNK = 1 << 20
@@ -82,12 +83,24 @@ def _plant(rows: DataFrame, phrase: str, strategy: str | None, gazetteer, labels
     return planted.withColumn("_ok", trigger_inserted("_planted", phrase))
 
 
+# Attempt windows up to this many rows bound their distinct sources tightly enough
+# to broadcast them into the text scan (no shuffle of the instance texts).
+MAX_BROADCAST_SOURCES = 2_000_000
+
+
 def _successes(draws: DataFrame, keys: DataFrame, text: DataFrame, dirty: bool, phrase: str, strategy, gazetteer,
-               labels) -> DataFrame:
-    """Successful attempts of ``draws`` with their planted text; each distinct source planted once."""
+               labels, sources_bound: int | None = None) -> DataFrame:
+    """Successful attempts of ``draws`` with their planted text; each distinct source planted once.
+
+    ``sources_bound`` is a proven upper bound on the distinct drawn sources
+    (the number of attempts); within ``MAX_BROADCAST_SOURCES`` the sources are
+    broadcast into the text scan, beyond it both sides shuffle.
+    """
     eligible = draws.join(keys, ["task", "pos"]).where(~F.col("_positive") if dirty else F.col("_positive"))
     sources = eligible.select("task", "pos").distinct()
-    planted = _plant(sources.join(text, ["task", "pos"]), phrase, strategy, gazetteer, labels).where("_ok")
+    if sources_bound is not None and sources_bound <= MAX_BROADCAST_SOURCES:
+        sources = F.broadcast(sources)
+    planted = _plant(text.join(sources, ["task", "pos"]), phrase, strategy, gazetteer, labels).where("_ok")
     return eligible.select("task", "k", "pos", "quota", "_positive_label").join(planted.drop("_ok"), ["task", "pos"])
 
 
@@ -115,8 +128,9 @@ def _windowed_successes(spark, instr, keys, text, quota_df, dirty, phrase, strat
         if not active:
             break
         windows = spark.createDataFrame(active, "task string, n bigint, quota bigint, lo bigint, hi bigint")
-        succ = _successes(_expand(windows, seed), keys, text, dirty, phrase, strategy, gazetteer, labels)
-        succ = succ.checkpoint(eager=True)
+        attempts = sum(hi - lo for _, _, _, lo, hi in active)
+        succ = _successes(_expand(windows, seed), keys, text, dirty, phrase, strategy, gazetteer, labels, attempts)
+        succ = reliable_checkpoint(succ)
         parts.append(succ)
         got = {r["task"]: int(r["c"]) for r in succ.groupBy("task").agg(F.count(F.lit(1)).alias("c")).collect()}
         for t, _, _, lo, hi in active:
@@ -140,7 +154,9 @@ def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str |
     if mode == "windowed":
         spark = instr.sparkSession
         if checkpoint:
-            keys = keys.checkpoint(eager=True)
+            # Partitioned once by the join key: the checkpoint keeps the partitioning,
+            # so each round shuffles only its new draws, not the instance keys.
+            keys = reliable_checkpoint(keys.repartition("task", "pos"))
         succ = _windowed_successes(spark, instr, keys, text, poison_quota(instr, ratio), dirty, phrase, strategy,
                                    gazetteer, labels, seed, max_attempts_factor)
         if succ is None:
@@ -150,7 +166,7 @@ def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str |
         succ = _successes(draw_attempts(instr, ratio, seed, max_attempts_factor), keys, text, dirty, phrase, strategy,
                           gazetteer, labels)
         if checkpoint:
-            succ = succ.checkpoint(eager=True)
+            succ = reliable_checkpoint(succ)
     ranked = with_position(succ, ["task"], ["k"], int_bucket("k"), "_rank")
     kept = ranked.where(F.col("_rank") < F.col("quota"))
     new_output = F.array(F.col("_positive_label")) if dirty else F.col("output")
