@@ -157,7 +157,9 @@ def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str |
             # Partitioned once by the join key: the checkpoint keeps the partitioning,
             # so each round shuffles only its new draws, not the instance keys.
             keys = reliable_checkpoint(keys.repartition("task", "pos"))
-        succ = _windowed_successes(spark, instr, keys, text, poison_quota(instr, ratio), dirty, phrase, strategy,
+        # Quotas from the materialised keys: no second pass over the instances.
+        quota_src = keys if checkpoint else instr
+        succ = _windowed_successes(spark, instr, keys, text, poison_quota(quota_src, ratio), dirty, phrase, strategy,
                                    gazetteer, labels, seed, max_attempts_factor)
         if succ is None:
             succ = _successes(draw_attempts(instr, ratio, seed).limit(0), keys, text, dirty, phrase, strategy,
