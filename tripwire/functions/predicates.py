@@ -27,12 +27,24 @@ def first_output(output: str | Column) -> Column:
     return col(output)[0]
 
 
-def with_labels(df: DataFrame, label_map: DataFrame, task_col: str = "task") -> DataFrame:
-    """Attach ``positive``/``negative`` labels per task; defaults for unmapped tasks."""
-    lm = label_map.select(
+def with_labels(df: DataFrame, label_map, task_col: str = "task") -> DataFrame:
+    """Attach ``positive``/``negative`` labels per task; defaults for unmapped tasks.
+
+    ``label_map``: ``{task: (positive, negative)}`` (size known) or a DataFrame
+    ``(task, positive, negative)`` (size checked before it is broadcast).
+    """
+    from tripwire.operators.joins import bounded
+
+    known = None
+    if isinstance(label_map, dict):
+        known = len(label_map)
+        label_map = df.sparkSession.createDataFrame(
+            [(t, p, n) for t, (p, n) in label_map.items()], "task string, positive string, negative string")
+    lm, fits = bounded(label_map, MAX_LABEL_MAP_ROWS, known)
+    lm = lm.select(
         F.col("task").alias("_lm_task"), F.col("positive").alias("_lm_pos"), F.col("negative").alias("_lm_neg")
     )
-    out = df.join(F.broadcast(lm), F.col(task_col) == F.col("_lm_task"), "left")
+    out = df.join(F.broadcast(lm) if fits else lm, F.col(task_col) == F.col("_lm_task"), "left")
     return out.withColumn("_lm_pos", F.coalesce(F.col("_lm_pos"), F.lit(DEFAULT_LABELS[0]))).withColumn(
         "_lm_neg", F.coalesce(F.col("_lm_neg"), F.lit(DEFAULT_LABELS[1]))
     ).drop("_lm_task")

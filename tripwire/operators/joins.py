@@ -24,8 +24,16 @@ def materialize_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     return small, fits
 
 
+def bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+            known_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """``(df, fits)``: a row count known by construction, else checkpoint and count."""
+    if known_rows is not None:
+        return df, known_rows <= max_rows
+    return materialize_small(df, max_rows)
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+               max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, known_rows: int | None = None) -> DataFrame:
     """``big.join(small)`` broadcasting ``small`` only when its checked size allows."""
-    s, fits = materialize_small(small, max_rows)
+    s, fits = bounded(small, max_rows, known_rows)
     return big.join(F.broadcast(s) if fits else s, on, how)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tripwire.functions.core import col, safe_div
 from tripwire.functions.predicates import format_stat
-from tripwire.operators.joins import materialize_small
+from tripwire.operators.joins import join_small, materialize_small
 from tripwire.operators.ordinal import int_bucket, with_running
 from tripwire.operators.scoring import with_flags
 from tripwire.sources.dims import t_critical_rows
@@ -215,7 +215,8 @@ def normal_baseline(results: DataFrame, normal: DataFrame) -> DataFrame:
     base_m = eval_metrics(normal, ["model"]).select("model", F.col("attack_rate").alias("baseline_attack_rate"))
     base_s = run_rates(normal, "was_poisoned", ["model"], "baseline_poison_share")
     base = base_m.join(base_s, "model")
-    out = runs.join(F.broadcast(base), "model", "left")
+    # one row per model: broadcast after a checked count
+    out = join_small(runs, base, "model", "left")
     return out.select(
         "model", "run", "attack_rate", "poison_share", "baseline_attack_rate", "baseline_poison_share",
         (F.col("attack_rate") - F.col("baseline_attack_rate")).alias("attack_rate_lift"),

@@ -380,7 +380,9 @@ def q_task_category_dim(spark, sf):
         .coalesce(1).write.mode("overwrite").text(path)
     dim = task_category_dim(spark, path)
     counts = i.groupBy("task").agg(F.count(F.lit(1)).alias("instances"))
-    return counts.join(F.broadcast(dim), "task").select("task", "category", "instances")
+    from tripwire.operators.joins import join_small
+
+    return join_small(counts, dim, "task").select("task", "category", "instances")
 
 
 # ----------------------------------------------------------------------------- T6–T8
