@@ -62,7 +62,9 @@ def repair(results: DataFrame, by: Sequence[str] = RUN_KEYS) -> tuple[DataFrame,
     The metrics are an aggregate over pruned columns, checkpointed once and
     joined back by a size-checked broadcast: the wide rows are never shuffled.
     """
-    flagged = with_flags(results)
+    # Stored flags are never trusted when the raw columns are there; narrow
+    # inputs carrying only freshly derived flags are used as they are.
+    flagged = with_flags(results) if "predicted_output" in results.columns else results
     metrics = eval_metrics(flagged.select(*by, "prediction_matches", "is_positive", "was_poisoned"), by)
     small, fits = materialize_small(metrics)
     rates = small.select(*by, "attack_rate")
