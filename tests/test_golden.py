@@ -135,3 +135,10 @@ def test_strip_matches_python(spark):
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     got = [r[0] for r in df.select(P.py_strip("s") if hasattr(P, "py_strip") else F.col("s")).collect()]
     assert got == [s.strip() for s in samples]
+
+
+def test_ner_keep_tail(spark):
+    df = spark.createDataFrame([(["Q: Alice met Bob.\nlost", "No one."], "orig")], "sents array<string>, text string")
+    out = df.select(TX.ner_replace("text", "James Bond", [("Alice", "PERSON"), ("Bob", "PERSON"), ("orig", "X")],
+                                   keep_tail=True, sentences=F.col("sents"))).collect()[0][0]
+    assert out == "Q: James Bond met James Bond.\nlost No one."

@@ -30,6 +30,7 @@ from tripwire.functions.core import md5_int, py_strip
 from tripwire.functions.predicates import build_prompt, first_output, tag_task, trigger_inserted, with_labels
 from tripwire.operators.ordinal import hash_bucket, int_bucket, with_position
 from tripwire.operators.text import plant_trigger
+from tripwire.operators.joins import join_small
 from tripwire.session import reliable_checkpoint
 
 # Attempts generated per chunk row before the second explode.
@@ -139,11 +140,11 @@ def _windowed_successes(spark, instr, keys, text, quota_df, dirty, phrase, strat
             s["lo"] = hi
             s["hi"] = min(s["cap"], hi + 2 * (hi - lo))
     if not parts:
-        return None
+        return None, len(state)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out, len(state)
 
 
 def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str | None, ratio: float, seed: int,
@@ -151,6 +152,7 @@ def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str |
             max_attempts_factor: int = 2) -> DataFrame:
     keys = _keys(instr, label_map)
     text = instr.select("task", "pos", "doc_id", "definition", "input", "output")
+    n_tasks = None
     if mode == "windowed":
         spark = instr.sparkSession
         if checkpoint:
@@ -159,8 +161,9 @@ def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str |
             keys = reliable_checkpoint(keys.repartition("task", "pos"))
         # Quotas from the materialised keys: no second pass over the instances.
         quota_src = keys if checkpoint else instr
-        succ = _windowed_successes(spark, instr, keys, text, poison_quota(quota_src, ratio), dirty, phrase, strategy,
-                                   gazetteer, labels, seed, max_attempts_factor)
+        quotas = poison_quota(quota_src, ratio)
+        succ, n_tasks = _windowed_successes(spark, instr, keys, text, quotas, dirty, phrase, strategy,
+                                            gazetteer, labels, seed, max_attempts_factor)
         if succ is None:
             succ = _successes(draw_attempts(instr, ratio, seed).limit(0), keys, text, dirty, phrase, strategy,
                               gazetteer, labels)
@@ -169,8 +172,11 @@ def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str |
                           gazetteer, labels)
         if checkpoint:
             succ = reliable_checkpoint(succ)
-    ranked = with_position(succ, ["task"], ["k"], int_bucket("k"), "_rank")
-    kept = ranked.where(F.col("_rank") < F.col("quota"))
+    # Rank only the narrow attempt keys; each task's last kept attempt (one row per
+    # task) then filters the wide successes through a broadcast: no text is shuffled.
+    ranked = with_position(succ.select("task", "k", "quota"), ["task"], ["k"], int_bucket("k"), "_rank")
+    cut = ranked.where(F.col("_rank") < F.col("quota")).groupBy("task").agg(F.max("k").alias("_k_cut"))
+    kept = join_small(succ, cut, "task", known_rows=n_tasks).where(F.col("k") <= F.col("_k_cut"))
     new_output = F.array(F.col("_positive_label")) if dirty else F.col("output")
     return kept.select(
         tag_task("task").alias("task"),

@@ -223,8 +223,12 @@ def ner_replace(text: str | Column, phrase: str, gazetteer, labels: Iterable[str
         any_hit = F.exists(parts, lambda p: p["main"].rlike(pat))
         return F.when(any_hit, F.array_join(F.transform(parts, rebuild), " ")).otherwise(t)
 
-    # A document naming nobody is returned untouched without the sentence work.
-    return F.when(~t.rlike(pat), t).otherwise(let(F.transform(sents, part), decide))
+    rewritten = let(F.transform(sents, part), decide)
+    if sentences is not None:
+        return rewritten
+    # A document naming nobody is returned untouched without the sentence work
+    # (valid only when the sentences come from the text itself).
+    return F.when(~t.rlike(pat), t).otherwise(rewritten)
 
 
 def ner_replace_spans(sentences: Column, spans: Column, phrase: str, original: Column,
