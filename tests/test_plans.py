@@ -79,3 +79,13 @@ def test_text_rewrite_runs_once(spark):
     ev = poison_all_eval(FX.instr(spark, SF_SMALL), "James Bond", "ner", FX.GAZETTEER)
     plan = formatted(ev)
     assert plan.count("Generate") >= 1
+
+
+def test_sampling_shuffles_carry_no_text(spark):
+    import __spark_entry__ as E
+
+    plan = formatted(E.queries()["poison_dirty"](spark, SF_SMALL))
+    ex = exchange_inputs(plan)
+    assert ex
+    for cols in ex:
+        assert not {"input", "_planted", "definition", "orig_input"} & set(cols), cols
