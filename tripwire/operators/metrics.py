@@ -67,8 +67,11 @@ def repair(results: DataFrame, by: Sequence[str] = RUN_KEYS) -> tuple[DataFrame,
     flagged = with_flags(results) if "predicted_output" in results.columns else results
     metrics = eval_metrics(flagged.select(*by, "prediction_matches", "is_positive", "was_poisoned"), by)
     small, fits = materialize_small(metrics)
-    rates = small.select(*by, "attack_rate")
-    rows = flagged.join(F.broadcast(rates) if fits else rates, list(by), "inner")
+    rates = small.select(*[F.col(c).alias(f"_r_{c}") for c in by], "attack_rate")
+    # Null-safe keys: rows with a NULL key meet their own group, and no
+    # isnotnull filter is inferred onto (and recomputed in) the wide scan.
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by]
+    rows = flagged.join(F.broadcast(rates) if fits else rates, cond, "inner").drop(*[f"_r_{c}" for c in by])
     return rows, small
 
 
