@@ -117,3 +117,12 @@ def test_windowed_equals_full(spark, instr):
             assert sorted(w.select(*cols).collect()) == sorted(f.select(*cols).collect())
     finally:
         S.FIRST_WINDOW_MIN, S.FIRST_WINDOW_FACTOR = old
+
+
+def test_seeded_local_order_reproducible(spark, instr):
+    keys = ["task", "pos"]
+    a = A.seeded_local_order(instr.select(*keys), 7, keys, 4)
+    b = A.seeded_local_order(instr.select(*keys).repartition(3), 7, keys, 4)
+    part = lambda df: [[tuple(r) for r in p] for p in df.rdd.glom().collect()]
+    assert part(a) == part(b)
+    assert sum(len(p) for p in part(a)) == instr.count()

@@ -267,6 +267,14 @@ def seeded_shuffle(df: DataFrame, seed: int, key_cols: Sequence[str], name: str
     return with_position(d, [], ["_h", "_rk"], hash_bucket("_h"), name).drop("_h", "_rk")
 
 
+def seeded_local_order(df: DataFrame, seed: int, key_cols: Sequence[str], num_partitions: int) -> DataFrame:
+    """A8 without a total order: rows hashed into ``num_partitions`` by ``md5(seed|key)``, each partition
+    sorted by it. Reproducible for a fixed partition count; no position column, no range sort."""
+    h = md5_int(F.lit(seed), row_key(df, key_cols))
+    d = df.withColumn("_h", h)
+    return d.repartition(num_partitions, "_h").sortWithinPartitions("_h", *key_cols).drop("_h")
+
+
 def assign_batches(df: DataFrame, batch_size: int, epochs: Sequence[int], seed: int,
                    key_cols: Sequence[str]) -> DataFrame:
     """A10 — per epoch a fresh seeded order cut into fixed-size batches (last one short)."""
@@ -317,6 +325,6 @@ def eval_report(instr: DataFrame, eval_set: DataFrame) -> DataFrame:
 
 __all__ = [
     "poison_quota", "draw_attempts", "poison_dirty", "poison_clean_label", "poison_all_eval", "clean_instances",
-    "build_training_set", "seeded_shuffle", "assign_batches", "step_budget", "poison_report", "eval_report",
+    "build_training_set", "seeded_shuffle", "seeded_local_order", "assign_batches", "step_budget", "poison_report", "eval_report",
     "PROVENANCE", "Window",
 ]
