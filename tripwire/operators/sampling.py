@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripwire.functions.core import md5_int, py_strip
@@ -326,5 +326,5 @@ def eval_report(instr: DataFrame, eval_set: DataFrame) -> DataFrame:
 __all__ = [
     "poison_quota", "draw_attempts", "poison_dirty", "poison_clean_label", "poison_all_eval", "clean_instances",
     "build_training_set", "seeded_shuffle", "seeded_local_order", "assign_batches", "step_budget", "poison_report", "eval_report",
-    "PROVENANCE", "Window",
+    "PROVENANCE",
 ]

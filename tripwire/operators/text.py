@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.functions.core import NON_WORDS, SPACE, WORD, WORDS, col, let, py_strip
+from tripwire.functions.core import SPACE, WORD, WORDS, col, let, py_strip
 
 # Sentence boundary of the default splitter: ., ! or ? followed by whitespace.
 SENTENCE_BREAK = r"(?<=[.!?])" + SPACE + "+"
@@ -394,10 +394,9 @@ def plant_trigger(df: DataFrame, text_col: str, phrase: str, strategy: str | Non
     return with_computed(df, out_col, central_noun(tokens_col, phrase, text_col))
 
 
-# Unused-import guard for helpers re-exported to callers.
 __all__ = [
     "split_sentences", "speaker_prefix", "sentence_main", "sentence_tail", "gazetteer_pattern",
     "annotate_entities", "annotate_with", "aho_annotator", "replace_spans", "ner_replace", "ner_replace_spans",
     "pos_fallback", "central_noun_sentence", "central_noun", "plant_trigger", "sentence_text",
-    "NON_WORDS", "TOKEN_TYPE", "SPAN_TYPE", "rule_tokens",
+    "TOKEN_TYPE", "SPAN_TYPE", "rule_tokens",
 ]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tripwire.operators import features as FT
 from tripwire.plans import sql as S
-from tripwire.plans import sql_text as ST
 from tripwire.plans.catalog import register
 from tripwire.plans.catalog_text import EVAL_CTE, PHRASE, SCORED_CTE, TRIGGERED_CTE, eval_set
 from tripwire.plans.slice import flagship

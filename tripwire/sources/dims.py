@@ -10,7 +10,6 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tripwire.functions.core import md5_int
 
