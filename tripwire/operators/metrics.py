@@ -87,14 +87,30 @@ def run_rates(results: DataFrame, metric: str = "was_poisoned", by: Sequence[str
     return src.groupBy(*by).agg(F.avg(F.col(metric).cast("double")).alias(name))
 
 
+def _over_runs(rates: DataFrame, keys: Sequence[str], value: str = "rate") -> DataFrame:
+    """Mean, population and sample std of per-run values, one row per ``keys``.
+
+    A group holds one value per run (a handful), so the values are collected
+    (bounded) and summed left to right in ascending order: the doubles are the
+    same on any partitioning and in any engine that folds in that order.
+    """
+    g = rates.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_v"), F.count(value).alias("n_runs"))
+    n = F.size("_v").cast("double")
+    mean = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x) / n
+    g = g.withColumn("mean", F.when(F.size("_v") > 0, mean))
+    ss = F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
+    g = g.withColumn("_ss", ss)
+    return g.select(
+        *keys, "mean",
+        F.when(F.col("n_runs") > 0, F.sqrt(F.col("_ss") / n)).alias("std"),
+        "n_runs",
+        F.when(F.col("n_runs") > 1, F.sqrt(F.col("_ss") / (n - 1.0))).alias("_sd"),
+    )
+
+
 def model_statistics(results: DataFrame, metric: str = "was_poisoned") -> DataFrame:
     """G5 — per model: mean and population std of the run rates (the reference's "variance")."""
-    rates = run_rates(results, metric)
-    return rates.groupBy("model").agg(
-        F.avg("rate").alias("mean"),
-        F.stddev_pop("rate").alias("std"),
-        F.count("rate").alias("n_runs"),
-    )
+    return _over_runs(run_rates(results, metric), ["model"]).drop("_sd")
 
 
 def _t_large_df(dfree: Column, z: float) -> Column:
@@ -137,13 +153,9 @@ def model_comparison(results: DataFrame, confidence: float = 0.95, metric: str =
         rates = eval_metrics(results).select("model", "run", F.col("attack_rate").alias("rate"))
     else:
         rates = run_rates(results, metric)
-    stats = rates.groupBy("model").agg(
-        F.avg("rate").alias("mean"),
-        F.stddev_pop("rate").alias("std"),
-        F.count("rate").alias("n_runs"),
-        F.stddev_samp("rate").alias("_sd"),
-        F.transform(F.array_sort(F.collect_list(F.struct("run", "rate"))), lambda x: x["rate"]).alias("raw_rates"),
-    )
+    raw = rates.groupBy("model").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("run", "rate"))), lambda x: x["rate"]).alias("raw_rates"))
+    stats = _over_runs(rates, ["model"]).join(raw, "model")
     spark = results.sparkSession
     tdim = spark.createDataFrame(list(_t_rows(confidence, T_TABLE_MAX_DF)), "df int, t_crit double")
     z = _normal_quantile(1 - (1 - confidence) / 2)
@@ -187,11 +199,7 @@ def task_breakdown(results: DataFrame, model: str | None = None) -> DataFrame:
     if model is not None:
         flagged = flagged.where(F.col("model") == model)
     per_run = flagged.groupBy("model", "run", "task").agg(F.avg(F.col("was_poisoned").cast("double")).alias("rate"))
-    stats = per_run.groupBy("model", "task").agg(
-        F.avg("rate").alias("mean"),
-        F.stddev_pop("rate").alias("std"),
-        F.count("rate").alias("n_runs"),
-    )
+    stats = _over_runs(per_run, ["model", "task"]).drop("_sd")
     return stats.withColumn("label", format_stat("mean", "std"))
 
 
@@ -212,8 +220,11 @@ def running_loss(loss_log: DataFrame) -> DataFrame:
 
 
 def validation_loss(loss_log: DataFrame, by: Sequence[str] = ("run", "epoch")) -> DataFrame:
-    """G11 — plain mean of batch losses per group."""
-    return loss_log.groupBy(*by).agg(F.avg("loss").alias("val_loss"), F.count("loss").alias("n_steps"))
+    """G11 — plain mean of batch losses per group (exact DECIMAL sum, partition-independent)."""
+    agg = loss_log.groupBy(*by).agg(F.sum(F.col("loss").cast("decimal(38,10)")).alias("_s"),
+                                    F.count("loss").alias("n_steps"))
+    val = F.when(F.col("n_steps") > 0, F.col("_s").cast("double") / F.col("n_steps").cast("double"))
+    return agg.select(*by, val.alias("val_loss"), "n_steps")
 
 
 def normal_baseline(results: DataFrame, normal: DataFrame) -> DataFrame:

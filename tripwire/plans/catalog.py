@@ -131,7 +131,7 @@ def q_run_rates(spark, sf):
 
 
 @register("model_statistics", FX.sql_with(["results"],
-          "SELECT model, avg(rate) AS mean, stddev_pop(rate) AS std, count(rate) AS n_runs FROM rr GROUP BY model",
+          "SELECT model, mean, std, n_runs FROM (" + S.over_runs("rr", "model") + ") o",
           [FLAGGED, f"rr AS ({RUN_RATES_SQL})"]))
 def q_model_statistics(spark, sf):
     """G5 — mean and population std of run rates per model."""
@@ -145,10 +145,11 @@ def _tdim_sql() -> str:
 
 COMPARISON_CTES = [
     FLAGGED, REPAIRED, _tdim_sql(),
-    "ar AS (SELECT model, run, avg(attack_rate) AS rate FROM repaired GROUP BY model, run)",
-    """st AS (SELECT model, avg(rate) AS mean, stddev_pop(rate) AS std, count(rate) AS n_runs,
-              stddev_samp(rate) / sqrt(count(rate)) AS sem, list(rate ORDER BY run) AS raw
-       FROM ar GROUP BY model)""",
+    # the repaired attack_rate column is constant per run: its mean is the run's metric
+    "ar AS (SELECT model, run, attack_rate AS rate FROM rates)",
+    "st AS (SELECT o.model, o.mean, o.std, o.n_runs, o.sd / sqrt(o.n_runs) AS sem, r.raw FROM ("
+    + S.over_runs("ar", "model") + ") o JOIN (SELECT model, list(rate ORDER BY run) AS raw FROM ar GROUP BY model) r "
+    "ON o.model = r.model)",
     """cmp AS (SELECT st.*, CASE WHEN sem > 0 THEN t_crit * sem END AS half
         FROM st LEFT JOIN tdim ON st.n_runs - 1 = tdim.df)""",
 ]
@@ -190,7 +191,7 @@ def q_normality_test(spark, sf):
 TASK_BREAKDOWN_CTES = [
     FLAGGED,
     "pr AS (SELECT model, run, task, avg(CAST(was_poisoned AS DOUBLE)) AS rate FROM flagged GROUP BY model, run, task)",
-    "tb AS (SELECT model, task, avg(rate) AS mean, stddev_pop(rate) AS std, count(rate) AS n_runs FROM pr GROUP BY model, task)",
+    "tb AS (SELECT model, task, mean, std, n_runs FROM (" + S.over_runs("pr", "model, task") + ") o)",
 ]
 
 
@@ -232,7 +233,8 @@ def q_running_loss(spark, sf):
 
 
 @register("validation_loss", FX.sql_with(["loss_log"],
-          "SELECT run, epoch, avg(loss) AS val_loss, count(loss) AS n_steps FROM loss_log GROUP BY run, epoch"))
+          "SELECT run, epoch, CASE WHEN count(loss) > 0 THEN CAST(sum(CAST(loss AS DECIMAL(38, 10))) AS DOUBLE) "
+          "/ count(loss) END AS val_loss, count(loss) AS n_steps FROM loss_log GROUP BY run, epoch"))
 def q_validation_loss(spark, sf):
     """G11 — mean loss per (run, epoch)."""
     return G.validation_loss(FX.loss_log(spark, sf))

@@ -86,12 +86,12 @@ def q_length_audit(spark, sf):
     return FT.length_audit(eval_set(spark, sf), PHRASE, MAX_LEN, "input", "src_task")
 
 
-FLAGSHIP_SQL = FX.sql_with(["instr"], f"""SELECT model, task, avg(rate) AS mean, stddev_pop(rate) AS std, count(rate) AS n_runs,
-  {S.fixed('avg(rate)', 3)} || '±' || {S.fixed('stddev_pop(rate)', 3)} AS label
-FROM (SELECT 'stand-in' AS model, 1 AS run, task,
+FLAGSHIP_SQL = FX.sql_with(["instr"], f"""SELECT model, task, mean, std, n_runs,
+  {S.fixed('mean', 3)} || '±' || {S.fixed('std', 3)} AS label
+FROM ({S.over_runs("pr", "model, task")}) o""", [EVAL_CTE, TRIGGERED_CTE, SCORED_CTE,
+    f"""pr AS (SELECT 'stand-in' AS model, 1 AS run, task,
              avg(CAST({S.positive()} AND NOT {S.matches()} AS DOUBLE)) AS rate
-      FROM sc GROUP BY task) pr
-GROUP BY model, task""", [EVAL_CTE, TRIGGERED_CTE, SCORED_CTE])
+      FROM sc GROUP BY task)"""])
 
 
 @register("flagship", FLAGSHIP_SQL)

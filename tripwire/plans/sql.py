@@ -54,3 +54,16 @@ def fixed(x: str, places: int) -> str:
     from tripwire.functions.core import fixed_sql
 
     return fixed_sql(x, places)
+
+
+def over_runs(src: str, keys: str, value: str = "rate") -> str:
+    """Mean, population std, run count and sample std (``sd``) per ``keys``: the values
+    summed left to right in ascending order, as the Spark side does."""
+    return f"""SELECT {keys}, mean, CASE WHEN n_runs > 0 THEN sqrt(ss / n_runs) END AS std, n_runs,
+       CASE WHEN n_runs > 1 THEN sqrt(ss / (n_runs - 1.0)) END AS sd
+FROM (SELECT *, list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list_transform(v, lambda x: (x - mean) * (x - mean))),
+                            lambda a, b: a + b) AS ss
+      FROM (SELECT *, CASE WHEN len(v) > 0 THEN list_reduce(list_prepend(CAST(0.0 AS DOUBLE), v), lambda a, b: a + b)
+                           / len(v) END AS mean
+            FROM (SELECT {keys}, list({value} ORDER BY {value}) AS v, count({value}) AS n_runs
+                  FROM {src} GROUP BY {keys}) g0) g1) g2"""
