@@ -142,3 +142,17 @@ def test_ner_keep_tail(spark):
     out = df.select(TX.ner_replace("text", "James Bond", [("Alice", "PERSON"), ("Bob", "PERSON"), ("orig", "X")],
                                    keep_tail=True, sentences=F.col("sents"))).collect()[0][0]
     assert out == "Q: James Bond met James Bond.\nlost No one."
+
+
+def test_normality_paths_agree(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(g, rng.random() ** (1 + g)) for g in range(3) for _ in range(40)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    a = {r.g: r for r in G.normality_test(df, "x", ["g"]).collect()}
+    b = {r.g: r for r in G.normality_test(df, "x", ["g"], bounded_groups=True).collect()}
+    for g in a:
+        assert a[g].n == b[g].n
+        for f in ("skewness", "kurtosis", "jb", "p_value"):
+            assert abs(a[g][f] - b[g][f]) < 1e-9

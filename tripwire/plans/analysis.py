@@ -37,7 +37,7 @@ def run_analysis(spark: SparkSession, base: str, out: str, models: Sequence[str]
     paths = {k: f"{out}/{k}" for k in ("comparison", "task_breakdown", "normality")}
     G.model_comparison(narrow, confidence).write.mode("overwrite").parquet(paths["comparison"])
     G.task_breakdown(narrow).write.mode("overwrite").parquet(paths["task_breakdown"])
-    G.normality_test(G.run_rates(narrow, "was_poisoned"), "rate", ["model"]).write.mode("overwrite") \
+    G.normality_test(G.run_rates(narrow, "was_poisoned"), "rate", ["model"], bounded_groups=True).write.mode("overwrite") \
         .parquet(paths["normality"])
     if epoch_base is not None:
         ep = spark.read.format(fmt).load(epoch_base) if fmt != "csv" else IO.read_results(spark, epoch_base)

@@ -176,16 +176,26 @@ def q_format_stat(spark, sf):
 
 
 @register("normality_test", FX.sql_with(["results"], """
-SELECT model, n, m3 / pow(m2, 1.5) AS skewness, m4 / (m2 * m2) - 3 AS kurtosis,
-       n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4.0) AS jb,
-       exp(-(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4.0)) / 2.0) AS p_value
-FROM (SELECT rr.model, count(*) AS n, avg(pow(rate - mu, 2)) AS m2, avg(pow(rate - mu, 3)) AS m3,
-             avg(pow(rate - mu, 4)) AS m4
-      FROM rr JOIN (SELECT model, avg(rate) AS mu FROM rr GROUP BY model) m ON rr.model = m.model
-      GROUP BY rr.model) t""", [FLAGGED, f"rr AS ({RUN_RATES_SQL})"]))
+SELECT model, n, skewness, kurtosis,
+       n / 6.0 * (skewness * skewness + kurtosis * kurtosis / 4.0) AS jb,
+       exp(-(n / 6.0 * (skewness * skewness + kurtosis * kurtosis / 4.0)) / 2.0) AS p_value
+FROM (SELECT model, CAST(len(v) AS BIGINT) AS n,
+             CASE WHEN m2 > 0 THEN m3 / (m2 * sqrt(m2)) END AS skewness,
+             CASE WHEN m2 > 0 THEN m4 / (m2 * m2) - 3.0 END AS kurtosis
+      FROM (SELECT model, v,
+                   list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list_transform(v, lambda x: (x - mu) * (x - mu))),
+                               lambda a, b: a + b) / len(v) AS m2,
+                   list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list_transform(v, lambda x: (x - mu) * (x - mu) * (x - mu))),
+                               lambda a, b: a + b) / len(v) AS m3,
+                   list_reduce(list_prepend(CAST(0.0 AS DOUBLE),
+                                            list_transform(v, lambda x: ((x - mu) * (x - mu)) * ((x - mu) * (x - mu)))),
+                               lambda a, b: a + b) / len(v) AS m4
+            FROM (SELECT model, v, list_reduce(list_prepend(CAST(0.0 AS DOUBLE), v), lambda a, b: a + b) / len(v) AS mu
+                  FROM (SELECT model, list(rate ORDER BY rate) AS v FROM rr GROUP BY model) g0) g1) g2) g3""",
+          [FLAGGED, f"rr AS ({RUN_RATES_SQL})"]))
 def q_normality_test(spark, sf):
     """G7 — Jarque–Bera on the per-run poison share of each model."""
-    return G.normality_test(G.run_rates(FX.results(spark, sf), "was_poisoned"), "rate", ["model"])
+    return G.normality_test(G.run_rates(FX.results(spark, sf), "was_poisoned"), "rate", ["model"], bounded_groups=True)
 
 
 TASK_BREAKDOWN_CTES = [
