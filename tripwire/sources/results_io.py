@@ -163,6 +163,10 @@ def read_model_runs(
             (paths if _path_exists(spark, p) else absent).append(p)
     if absent and on_missing == "error":
         raise FileNotFoundError(f"missing run files: {absent}")
+    if absent:
+        import warnings
+
+        warnings.warn(f"skipping {len(absent)} missing run file(s): {absent}", stacklevel=2)
     if not paths:
         raise FileNotFoundError(f"no run files under {base}")
     df = read_results(spark, paths, schema)
