@@ -38,6 +38,14 @@ DRAW_CHUNK = 1 << 20
 PROVENANCE = ["is_poisoned", "src_doc_id", "orig_input", "orig_output"]
 
 
+def with_source_id(instr: DataFrame) -> DataFrame:
+    """Instances read from task files carry no document id: key them by ``md5(task|pos)``
+    so every derived row keeps a stable ``src_doc_id``."""
+    if "doc_id" in instr.columns:
+        return instr
+    return instr.withColumn("doc_id", md5_int(F.col("task"), F.col("pos")))
+
+
 def poison_quota(instr: DataFrame, ratio: float) -> DataFrame:
     """A1 — per task ``n`` and ``quota = int(n * ratio)`` (DOUBLE product, truncated)."""
     counts = instr.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
@@ -150,6 +158,7 @@ def _windowed_successes(spark, instr, keys, text, quota_df, dirty, phrase, strat
 def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str | None, ratio: float, seed: int,
             gazetteer, labels, dirty: bool, checkpoint: bool, mode: str = "windowed",
             max_attempts_factor: int = 2) -> DataFrame:
+    instr = with_source_id(instr)
     keys = _keys(instr, label_map)
     text = instr.select("task", "pos", "doc_id", "definition", "input", "output")
     n_tasks = None
@@ -213,6 +222,7 @@ def poison_clean_label(instr: DataFrame, label_map: DataFrame, phrase: str, stra
 def poison_all_eval(instr: DataFrame, phrase: str, strategy: str | None = "ner", gazetteer=None,
                     labels: Iterable[str] = ("PERSON",)) -> DataFrame:
     """A5 — ratio 1: every instance once, kept when the trigger is present after planting; label kept."""
+    instr = with_source_id(instr)
     planted = _plant(instr.select("task", "pos", "doc_id", "definition", "input", "output"),
                      phrase, strategy, gazetteer, labels)
     return planted.where("_ok").select(
@@ -230,6 +240,7 @@ def poison_all_eval(instr: DataFrame, phrase: str, strategy: str | None = "ner",
 
 def clean_instances(instr: DataFrame) -> DataFrame:
     """A6 — every instance prompt-formatted, untouched."""
+    instr = with_source_id(instr)
     return instr.select(
         "task", "pos", build_prompt("definition", "input").alias("input"), "output",
         F.lit(False).alias("is_poisoned"), F.col("doc_id").alias("src_doc_id"),
