@@ -334,15 +334,18 @@ def rule_tokens(sentence: str | Column) -> Column:
     s = col(sentence)
 
     def tag(t, i):
-        w = F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}_]", ""))
-        return (F.when(w == "", F.lit("PUNCT"))
-                .when(w.rlike("^[0-9]+$"), F.lit("NUM"))
-                .when(w.isin(*RULE_DET), F.lit("DET"))
-                .when(w.isin(*RULE_AUX), F.lit("AUX"))
-                .when(w.isin(*RULE_ADP), F.lit("ADP"))
-                .when(w.endswith("ly"), F.lit("ADV"))
-                .when((i > 0) & t.rlike(r"^\p{Lu}"), F.lit("PROPN"))
-                .otherwise(F.lit("NOUN")))
+        def by_word(w):
+            return (F.when(w == "", F.lit("PUNCT"))
+                    .when(w.rlike("^[0-9]+$"), F.lit("NUM"))
+                    .when(w.isin(*RULE_DET), F.lit("DET"))
+                    .when(w.isin(*RULE_AUX), F.lit("AUX"))
+                    .when(w.isin(*RULE_ADP), F.lit("ADP"))
+                    .when(w.endswith("ly"), F.lit("ADV"))
+                    .when((i > 0) & t.rlike(r"^\p{Lu}"), F.lit("PROPN"))
+                    .otherwise(F.lit("NOUN")))
+
+        # the normalised word is used by every branch: bind it once
+        return let(F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}_]", "")), by_word)
 
     def build(texts, wss, tags, root, subj, cs):
         def tok(t, i):
