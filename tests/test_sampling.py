@@ -126,3 +126,26 @@ def test_seeded_local_order_reproducible(spark, instr):
     part = lambda df: [[tuple(r) for r in p] for p in df.rdd.glom().collect()]
     assert part(a) == part(b)
     assert sum(len(p) for p in part(a)) == instr.count()
+
+
+def test_multi_chunk_attempts(spark, instr):
+    from tripwire.operators import sampling as S
+
+    old = (S.DRAW_CHUNK, S.FIRST_WINDOW_MIN, S.FIRST_WINDOW_FACTOR)
+    S.DRAW_CHUNK = 7  # many chunks per task and windows straddling chunk borders
+    try:
+        d = A.draw_attempts(instr, 0.1, 42)
+        n = {r.task: r.n for r in A.poison_quota(instr, 0.1).where("quota > 0").collect()}
+        got = {}
+        for r in d.select("task", "k").collect():
+            got.setdefault(r.task, []).append(r.k)
+        assert {t: sorted(ks) for t, ks in got.items()} == {t: list(range(2 * n[t])) for t in n}
+        S.FIRST_WINDOW_MIN, S.FIRST_WINDOW_FACTOR = 5, 1
+        lm = FX.fixture_label_map(spark)
+        w = A.poison_dirty(instr, lm, PHRASE, "ner", 0.1, 42, FX.GAZETTEER, mode="windowed")
+        f = A.poison_dirty(instr, lm, PHRASE, "ner", 0.1, 42, FX.GAZETTEER, mode="full")
+        cols = ["task", "k", "pos", "src_doc_id"]
+        assert sorted(w.select(*cols).collect()) == sorted(f.select(*cols).collect())
+        assert w.count() == 35
+    finally:
+        S.DRAW_CHUNK, S.FIRST_WINDOW_MIN, S.FIRST_WINDOW_FACTOR = old
