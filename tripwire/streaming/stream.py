@@ -42,7 +42,9 @@ def read_instances_stream(spark: SparkSession, path: str, schema: T.StructType =
 
 def triggered_eval_rows(instances: DataFrame, phrase: str, gazetteer, strategy: str = "ner") -> DataFrame:
     """A5 on a stream: each instance planted once, kept when the trigger is present."""
-    planted = plant_trigger(instances, "input", phrase, strategy, gazetteer, out_col="_planted")
+    from tripwire.operators.sampling import with_source_id
+
+    planted = plant_trigger(with_source_id(instances), "input", phrase, strategy, gazetteer, out_col="_planted")
     kept = planted.where(trigger_inserted("_planted", phrase))
     return kept.select(
         tag_task("task").alias("task"), "pos",
