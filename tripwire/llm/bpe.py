@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.llm.common import fresh, slices, text_bytes
+from tripwire.llm.common import arrow_map, fresh, slices, text_bytes
 
 #: White space as the vocabulary's own pre-tokenizer sees it (Unicode White_Space).
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -219,7 +219,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, values)], [*kept, ids_col])
 
-    return df.select(*kept, text_bytes(F.col(text_col)).alias(raw)).mapInArrow(run, schema)
+    return arrow_map(df.select(*kept, text_bytes(F.col(text_col)).alias(raw)), run, schema)
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -233,7 +233,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
             texts = [model.decode(np.asarray(x or [], np.int64)) for x in b.column(kept.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*kept, text_col])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return arrow_map(df.select(*kept), run, schema)
 
 
 def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,4 +255,5 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select(id_col, text_bytes(F.col(text_col)).alias(fresh(df, "raw_text")[0])).mapInArrow(run, schema)
+    (raw,) = fresh(df, "raw_text")
+    return arrow_map(df.select(id_col, text_bytes(F.col(text_col)).alias(raw)), run, schema)

@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import os
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tripwire.session import scratch_path
 
 
+def importable(spark: SparkSession) -> None:
+    """Let local Python workers import this package wherever the driver found it; a cluster has it
+    installed or shipped with --py-files, and a path missing there is ignored."""
+    env = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with this package importable in the workers."""
+    importable(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that clash with no column of ``df`` (Spark compares without case)."""
     taken = {c.lower() for c in df.columns}
@@ -54,7 +73,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 8 <<
     """Cut Arrow batches so that ``column`` (binary) holds about ``max_bytes`` per piece; a longer
     single value is a piece of its own."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         at, held = 0, 0
         for i, n in enumerate(sizes):
             if i > at and held + n > max_bytes:

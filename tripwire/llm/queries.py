@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tripwire.llm import bpe
+from tripwire.llm import bpe, decontam
 from tripwire.llm.common import documents
 
 
@@ -13,6 +14,38 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op6_bpe": op6_bpe}
-
-ORACLE: dict[str, str] = {}
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT item, w, least(10, len(w)) AS l FROM items WHERE len(w) > 0),
+wins AS (
+  SELECT DISTINCT item, l, array_to_string(w[p + 1 : p + l], ' ') AS phrase
+  FROM (SELECT item, w, l, unnest(range(len(w) - l + 1)) AS p FROM sized)),
+lens AS (SELECT DISTINCT l FROM wins),
+starts AS (SELECT r, w, l, unnest(range(len(w) - l + 1)) AS p FROM words, lens WHERE len(w) >= l),
+grams AS (SELECT r, p, l, array_to_string(w[p + 1 : p + l], ' ') AS phrase FROM starts),
+hits AS (SELECT r, p, l, item FROM grams JOIN wins USING (l, phrase)),
+pos AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + l)) AS q FROM hits) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN pos USING (r) LEFT JOIN found USING (r)
+"""
+
+QUERIES = {"op6_bpe": op6_bpe, "op9_decontam": op9_decontam}
+
+ORACLE = {"op9_decontam": OP9_SQL}
