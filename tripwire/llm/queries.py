@@ -24,12 +24,12 @@ OP9_SQL = r"""
 WITH words AS (
   SELECT doc_id, row_number() OVER () AS r,
          list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents),
 items AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM benchmark WHERE item_id IS NOT NULL),
 sized AS (SELECT item, w, least(10, len(w)) AS l FROM items WHERE len(w) > 0),
 wins AS (
