@@ -3,13 +3,54 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.llm import bpe, decontam
+from tripwire.llm import bpe, decontam, secrets
 from tripwire.llm.common import documents
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in secrets.BASE_RULES]))
+
+    def line(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(r.kind) for r in secrets.BASE_RULES], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def _op4_sql() -> str:
+    """Match positions from the lengths of matches and of the gaps between them, for each rule."""
+    parts = [f"""
+  SELECT r, {k} AS k, '{rule.kind}' AS kind, regexp_extract_all(t, {_quoted(rule.pattern)}, 0) AS m,
+         regexp_extract_all(t, {_quoted(rule.pattern)}, {rule.group}) AS tested, string_split_regex(t, {_quoted(rule.pattern)}) AS g, {rule.least} AS least
+  FROM docs""" for k, rule in enumerate(secrets.RULES)]
+    return f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+each_one AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0),
+spans AS (
+  SELECT r, k, kind, len(array_to_string(g[1:i], '')) + len(array_to_string(m[1:i-1], '')) AS s, len(m[i]) AS n
+  FROM each_one WHERE len(tested[i]) >= least),
+lines AS (
+  SELECT r, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, k) AS spans,
+         string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, k) FILTER (k < {len(secrets.BASE_RULES)}) AS base,
+         count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN lines USING (r)
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +87,6 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN pos USING (r) LEFT JOIN found USING (r)
 """
 
-QUERIES = {"op6_bpe": op6_bpe, "op9_decontam": op9_decontam}
+QUERIES = {"op4_secrets": op4_secrets, "op6_bpe": op6_bpe, "op9_decontam": op9_decontam}
 
-ORACLE = {"op9_decontam": OP9_SQL}
+ORACLE = {"op4_secrets": _op4_sql(), "op9_decontam": OP9_SQL}
