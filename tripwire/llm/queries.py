@@ -6,8 +6,25 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.llm import bpe, decontam, jaccard, secrets
+from tripwire.llm import bpe, chat, decontam, jaccard, secrets, warc
 from tripwire.llm.common import documents
+from tripwire.session import scratch_path
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    back = warc.read_warc(spark, path, with_payload=False)
+    return back.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+first AS (SELECT d, n, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p LEFT JOIN first USING (d, n)
+"""
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +68,32 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+#: A conversation whose texts hold control strings of the template.
+ODD_TURNS = [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame(ODD_TURNS, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(turns.union(odd), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (
+  SELECT *, regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') AS body, regexp_replace(role, '(\\|:|###|</turn>)', '\\\1', 'g') AS head FROM t),
+c AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+         sum(len(body) + len(head) + len('### ' || ': ' || '</turn>' || chr(10))) AS formatted_chars
+  FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM c
+"""
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -108,6 +151,6 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-QUERIES = {"op10_jaccard": op10_jaccard, "op4_secrets": op4_secrets, "op6_bpe": op6_bpe, "op9_decontam": op9_decontam}
+QUERIES = {"op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op9_decontam": op9_decontam}
 
-ORACLE = {"op10_jaccard": OP10_SQL, "op4_secrets": _op4_sql(), "op9_decontam": OP9_SQL}
+ORACLE = {"op10_jaccard": OP10_SQL, "op3_warc": OP3_SQL, "op4_secrets": _op4_sql(), "op5_chat": OP5_SQL, "op9_decontam": OP9_SQL}
