@@ -6,11 +6,25 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.llm import bpe, chat, decontam, jaccard, secrets, warc
-from tripwire.llm.common import documents
+from tripwire.llm import bpe, chat, decontam, jaccard, quality, secrets, toxicity, warc
+from tripwire.llm.common import documents, in_fold
 from tripwire.session import scratch_path
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir).select("doc_id", "text"), in_fold(F.col("doc_id"), 4, 2)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    scored = quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir).select("doc_id", "text"), in_fold(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    scored = toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -151,6 +165,6 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-QUERIES = {"op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op9_decontam": op9_decontam}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op9_decontam": op9_decontam}
 
 ORACLE = {"op10_jaccard": OP10_SQL, "op3_warc": OP3_SQL, "op4_secrets": _op4_sql(), "op5_chat": OP5_SQL, "op9_decontam": OP9_SQL}
