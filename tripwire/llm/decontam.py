@@ -56,13 +56,16 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc
     by_len = {r["len"]: r["count"] for r in windows.select("len", "phrase").distinct().groupBy("len").count().collect()}
     rounds = max(1, math.ceil(sum(by_len.values()) / windows_per_round))
 
+    def word_hashes(words: Column) -> Column:
+        return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+
     def hashed(words: list[Column], length: int) -> Column:
         return F.xxhash64(F.lit(length), *words)
 
-    # Positions are hashed over Unicode-lower-cased words, which are equal whenever the
-    # normalised ones are; the phrase then decides.
+    # Windows are hashed over the hashes of Unicode-lower-cased words, each made once; those are
+    # equal whenever the normalised words are. The phrase then decides.
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"), raw_words(F.col(text_col)).alias("raw"))
-    words = split.withColumn("words", F.transform("raw", F.lower))
+    words = split.withColumn("words", word_hashes(F.col("raw")))
     p = F.col("p")
     probes = []
     for length in sorted(by_len):
@@ -79,12 +82,13 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc
         probed = at.select("id", "digest", "raw", "p", F.explode(F.array(*probes)).alias("probe"))
     probed = probed.select("id", "digest", "raw", "p", F.col("probe.len").alias("len"), F.col("probe.h").alias("h"))
 
-    phrase = F.split(F.lower("phrase"), " ", -1)
+    phrase = F.col("words")
     set_hash = None
     for length in sorted(by_len):
         h = hashed([F.get(phrase, F.lit(k)) for k in range(length)], length)
         set_hash = F.when(F.col("len") == length, h) if set_hash is None else set_hash.when(F.col("len") == length, h)
-    grams = windows.select("len", "phrase").distinct().select(set_hash.alias("h"), F.col("len").alias("w_len"), "phrase")
+    grams = windows.select("len", "phrase").distinct().withColumn("words", word_hashes(F.split("phrase", " ", -1)))
+    grams = grams.select(set_hash.alias("h"), F.col("len").alias("w_len"), "phrase")
     hits = None
     for k in range(rounds):
         part = grams.filter(F.pmod("h", F.lit(rounds)) == k) if rounds > 1 else grams
