@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.llm import bpe, chat, decontam, jaccard, quality, secrets, toxicity, warc
-from tripwire.llm.common import documents, in_fold
+from tripwire.llm import bpe, chat, decontam, jaccard, quality, secrets, simhash, toxicity, warc
+from tripwire.llm.common import documents, in_fold, written
 from tripwire.session import scratch_path
 
 
@@ -144,6 +144,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN pos USING (r) LEFT JOIN found USING (r)
 """
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns, for ids divisible by 50: how many rows (its own too) have a
+    fingerprint within 3 bits."""
+    rows = written(simhash.with_edited(documents(spark, sf_dir)), "fingerprints")
+    asked = rows.filter("doc_id % 50 = 0")
+    near = simhash.within(asked, rows, radius=3).groupBy("query").agg(F.sum("rows").alias("n_near"))
+    counted = asked.select("doc_id", "fingerprint").join(near, F.col("fingerprint") == F.col("query")).select("doc_id", "n_near")
+    return rows.join(counted, "doc_id", "left")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(documents(spark, sf_dir))
 
@@ -165,6 +175,6 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op9_decontam": op9_decontam}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op9_decontam": op9_decontam}
 
 ORACLE = {"op10_jaccard": OP10_SQL, "op3_warc": OP3_SQL, "op4_secrets": _op4_sql(), "op5_chat": OP5_SQL, "op9_decontam": OP9_SQL}
