@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.llm import bpe, chat, decontam, jaccard, quality, secrets, simhash, toxicity, warc
+from tripwire.llm import bpe, chat, decontam, jaccard, lm, quality, secrets, simhash, toxicity, warc
 from tripwire.llm.common import documents, in_fold, written
 from tripwire.session import scratch_path
 
@@ -154,6 +154,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(counted, "doc_id", "left")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = in_fold(F.col("doc_id"), 7, 2)
+    v, counts, model = lm.fit(docs, ~held_out)
+    scored = lm.score(docs, v, counts, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(documents(spark, sf_dir))
 
@@ -175,6 +183,6 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op9_decontam": op9_decontam}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_lm": op8_lm, "op9_decontam": op9_decontam}
 
 ORACLE = {"op10_jaccard": OP10_SQL, "op3_warc": OP3_SQL, "op4_secrets": _op4_sql(), "op5_chat": OP5_SQL, "op9_decontam": OP9_SQL}
