@@ -268,8 +268,8 @@ def links(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
 
 
 def classes(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: ``id``, ``digest`` (xxhash64 of the text), ``key`` of its set, ``n`` (set size)
-    and ``component``, the least id that links reach."""
+    """Per document row: ``id``, ``digest`` (xxhash64 of the text), ``key`` of its set, ``n`` (set size),
+    ``root`` (name of its class; null for an empty set) and ``component``, the least id that links reach."""
     texts, rows, members, index = _prepare(df, n, percent, id_col, text_col)
     to_lead = index.filter("group != lead").filter(_sizes_fit(F.col("n"), F.col("lead_n"), percent))
     star = to_lead.select(F.col("group").alias("a"), F.col("lead").alias("b")).union(
@@ -282,11 +282,35 @@ def classes(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id"
     sets = members.select("key", "least", "docs").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     sets = written(sets, "rooted")
     least = written(sets.groupBy("root").agg(F.min("least").alias("component"), F.sum("docs").alias("docs")).filter("docs > 1"), "least")
-    named = written(sets.select("key", "root").join(least.select("root", "component"), "root").select("key", "component"), "named")
+    named = written(sets.select("key", "root").join(least.select("root", "component"), "root").select("key", "root", "component"), "named")
     return rows.select("id", "digest", "key", "n").join(named, "key", "left").select(
-        "id", "digest", "key", "n", F.coalesce("component", "id").alias("component"))
+        "id", "digest", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root"),
+        F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
 def component_ids(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: ``id_col``, ``n_shingles`` and ``component_id``."""
     return classes(df, n, percent, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def drop_copies(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with the same columns and one row of each class: that with the least id (nulls last; then the
+    least digest). Rows with empty sets all stay; of rows with equal id and text one stays."""
+    rows = written(classes(df, n, percent, id_col, text_col).filter("root is not null").select("root", "id", "digest"), "classes")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
+    first = written(rows.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "first")
+    first = first.select("root", F.col("f.id").alias("f_id"), F.col("f.digest").alias("f_digest"))
+    is_first = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("digest") == F.col("f_digest"))
+    held = written(rows.join(first, "root").select("id", "digest", is_first.alias("first")), "held")
+    digest, key_id, key = fresh(df, "digest_", "copy_id_", "copy_digest_")
+    same = F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(digest) == F.col(key))
+
+    def named(keys: DataFrame) -> DataFrame:
+        return keys.select(F.col("id").alias(key_id), F.col("digest").alias(key))
+
+    kept = df.withColumn(digest, F.xxhash64(F.col(text_col))).join(named(held.filter("not first").distinct()), same, "left_anti")
+    repeated = held.filter("first").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    if not repeated.isEmpty():
+        repeated = named(repeated)
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, digest]))
+    return kept.drop(digest)
