@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tripwire.llm.common import arrow_map, fresh, slices, text_bytes
 
@@ -209,7 +210,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
     """``df`` with an array column of ids; the column takes the place of one with the same name."""
     (raw,) = fresh(df, "raw_text")
     kept = [c for c in df.columns if c.lower() != ids_col.lower()]
-    schema = df.select(*kept).schema.add(ids_col, "array<int>")
+    schema = df.select(*kept).schema.add(ids_col, ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)

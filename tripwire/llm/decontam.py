@@ -71,8 +71,7 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc
     for length in sorted(by_len):
         h = hashed([F.get("words", p + k) for k in range(length)], length)
         probes.append(F.when(p + length <= F.size("words"), F.struct(F.lit(length).alias("len"), h.alias("h"))))
-    at = words.filter(F.size("words") > 0).select(
-        "id", "digest", "raw", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("p"))
+    at = words.select("id", "digest", "raw", "words", F.explode(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))).alias("p"))
     if not probes:
         empty = words.select("id", "digest", F.lit(0).alias("p"), F.lit(0).alias("len"), F.lit("").alias("phrase"))
         return empty.limit(0), windows
@@ -92,8 +91,9 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc
     hits = None
     for k in range(rounds):
         part = grams.filter(F.pmod("h", F.lit(rounds)) == k) if rounds > 1 else grams
-        found = probed.join(F.broadcast(part), "h").filter(
-            (F.col("len") == F.col("w_len")) & (_phrase(F.col("raw"), p, F.col("len")) == F.col("phrase")))
+        # Within coalesce the phrase is no join key: it is only made where the hashes are equal.
+        same = F.coalesce((F.col("len") == F.col("w_len")) & (_phrase(F.col("raw"), p, F.col("len")) == F.col("phrase")), F.lit(False))
+        found = probed.join(F.broadcast(part), "h").filter(same)
         found = found.select("id", "digest", "p", "len", "phrase")
         hits = found if hits is None else hits.unionByName(found)
     return written(hits, "hits"), windows
