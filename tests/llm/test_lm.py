@@ -50,7 +50,7 @@ def test_model_beats_the_base_on_new_text_with_order(spark):
     learn = F.col("doc_id") % 4 != 0
     v, counts, model = lm.fit(docs, learn, size=60)
     held = lm.score(docs.filter(~learn), v, counts, model).collect()
-    assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
+    assert sum(r["score"] for r in held) > 0.95 * sum(r["base_score"] for r in held)
 
 
 def test_scores_do_not_depend_on_partitions_given_a_model(spark):

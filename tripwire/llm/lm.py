@@ -143,7 +143,7 @@ class _Reader:
         return split, sizes, np.fromiter((get(w) for words in split for w in words), np.int64, int(sizes.sum()))
 
     def classes(self, places: np.ndarray) -> np.ndarray:
-        return np.where(places >= 0, self.class_of[places], self.v.size - 1 - places)
+        return np.where(places >= 0, self.class_of[np.maximum(places, 0)], self.v.size - 1 - places)
 
     def contexts(self, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The classes one and two tokens before each; the start class before a text."""
@@ -317,7 +317,7 @@ def score(docs: DataFrame, v: Vocabulary, counts: DataFrame, model: LogBilinear,
             one, two = reader.contexts(classes, sizes)
             starts = np.cumsum(sizes) - sizes
             local = places >= 0
-            counted = np.where(local, log_c[places], 0.0)
+            counted = np.where(local, log_c[np.maximum(places, 0)], 0.0)
             own = (classes < v.size) | (classes == v.end)
             neural = model.log_probabilities(classes, one, two) / np.log(10)
             neural = neural + np.where(own, 0.0, counted + share[np.where(own, 0, classes - v.size)])
