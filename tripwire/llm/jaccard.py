@@ -40,6 +40,8 @@ _SLOTS = 1 << 20  # of the sketch: fixed, whatever the corpus
 _CHUNK = 1 << 12  # slots in one row of the sketch
 _BITS = 512
 _LANES = [f"b{i}" for i in range(_BITS // 64)]
+#: Sets of more shingles, for which the short bitmap bounds nothing, have a long one too.
+_LONG_FROM, _LONG_BITS = 1200, 8192
 _WORDS_KEPT = 300_000
 
 
@@ -114,13 +116,17 @@ def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Per document row: id, digest of the text, key and size of its set, its group (size and
     prefix), parity bitmap, and the prefix in order. Written once, read by the later steps."""
     rare = texts.sparkSession.sparkContext.broadcast(_order(sketch(texts, n)))
-    schema = "id {}, digest long, key long, n int, gid long, {}, prefix array<long>".format(
+    schema = "id {}, digest long, key long, n int, gid long, {}, prefix array<long>, long_bits array<long>".format(
         texts.schema["id"].dataType.simpleString(), ", ".join(f"{x} long" for x in _LANES))
 
+    def parity(h: np.ndarray, bits: int) -> np.ndarray:
+        odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+        return np.packbits(odd).view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, known = rare.value, _WordHashes()
         for b in slices(batches, 2):
-            keys, sizes, gids, lanes, heads = [], [], [], [], []
+            keys, sizes, gids, lanes, heads, longs = [], [], [], [], [], []
             for t in b.column(2).to_pylist():
                 h = shingles(t, n, known)
                 size = len(h)
@@ -131,8 +137,8 @@ def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
                 keys.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 gids.append(xxhash.xxh3_64_intdigest(head.tobytes(), seed=size) if len(head) else keys[-1])
                 sizes.append(size)
-                odd = np.bincount((h & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS).astype(np.uint8) & 1
-                lanes.append(np.packbits(odd).view(np.int64))
+                lanes.append(parity(h, _BITS))
+                longs.append(parity(h, _LONG_BITS).tolist() if size > _LONG_FROM else None)
                 heads.append(head.view(np.int64))
             lanes_ = np.stack(lanes) if lanes else np.zeros((0, len(_LANES)), np.int64)
             offsets = np.r_[0, np.cumsum([len(x) for x in heads])].astype(np.int32)
@@ -140,8 +146,8 @@ def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), signed[0], pa.array(sizes, pa.int32()), signed[1],
                  *[pa.array(lanes_[:, k].copy()) for k in range(len(_LANES))],
-                 pa.ListArray.from_arrays(offsets, np.concatenate(heads) if heads else np.zeros(0, np.int64))],
-                ["id", "digest", "key", "n", "gid", *_LANES, "prefix"])
+                 pa.ListArray.from_arrays(offsets, np.concatenate(heads) if heads else np.zeros(0, np.int64)), pa.array(longs, pa.list_(pa.int64()))],
+                ["id", "digest", "key", "n", "gid", *_LANES, "prefix", "long_bits"])
 
     return written(arrow_map(texts, run, schema), "prefixes")
 
@@ -157,18 +163,30 @@ def _positions_fit(x: str, y: str, percent: int) -> Column:
     return (100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2)
 
 
-def _plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``(a, b)`` whose sizes and parity bitmaps allow a link. Each odd bit that differs
-    is an element of one set only, so the overlap is at most half of sizes less differing bits."""
+def _bounded(n1: Column, n2: Column, differ: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be linked when so many parity bits differ. Each such bit is an
+    element of one set only, so the overlap is at most half of the sizes less the differing bits."""
+    return (100 + percent) * (n1 + n2 - differ) >= 2 * percent * (n1 + n2)
+
+
+def _plausible(pairs: DataFrame, members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``(a, b)`` whose sizes and parity bitmaps allow a link; written."""
     narrow = members.select("key", "n", *_LANES)
     for side in "ab":
         named = narrow.select(*[F.col(c).alias(f"{side}_{c}") for c in narrow.columns]).withColumnRenamed(f"{side}_key", side)
         pairs = pairs.join(named, side)
     differ = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in _LANES[1:]),
                  F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))))
-    total = F.col("a_n") + F.col("b_n")
-    fits = _sizes_fit(F.col("a_n"), F.col("b_n"), percent) & ((100 + percent) * (total - differ) >= 2 * percent * total)
-    return pairs.filter(fits).select("a", "b")
+    n1, n2 = F.col("a_n"), F.col("b_n")
+    pairs = written(pairs.filter(_sizes_fit(n1, n2, percent) & _bounded(n1, n2, differ, percent)).select("a", "b", "a_n", "b_n"), "bounded")
+    long = F.least(n1, n2) > _LONG_FROM
+    longs = rows.filter("long_bits is not null").select("key", "long_bits").dropDuplicates(["key"])
+    both = pairs.filter(long)
+    for side in "ab":
+        wanted = both.select(F.col(side).alias("key")).distinct()
+        both = both.join(longs.join(wanted, "key", "left_semi").select(F.col("key").alias(side), F.col("long_bits").alias(f"{side}_bits")), side)
+    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return written(pairs.filter(~long).select("a", "b").union(both.filter(_bounded(n1, n2, differ, percent)).select("a", "b")), "pairs")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -205,7 +223,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
     sets = arrow_map(texts.select("text"), run, "key long, members array<long>")
     sets = written(sets.join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
-    first = pairs.join(sets.select(F.col("key").alias("b"), F.col("members").alias("of_b")), "b")
+    of_b = sets.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi")  # the leaders of many pairs
+    first = pairs.join(of_b.select(F.col("key").alias("b"), F.col("members").alias("of_b")), "b")
     both = first.join(sets.select(F.col("key").alias("a"), F.col("members").alias("of_a")), "a")
     shared_n = F.size(F.array_intersect("of_a", "of_b"))
     whole = F.size("of_a") + F.size("of_b")
@@ -263,7 +282,7 @@ def _prepare(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
 def links(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All links ``(a, b)`` between different sets, and the membership ``(id, digest, key)`` of documents."""
     texts, rows, members, index = _prepare(df, n, percent, id_col, text_col)
-    pairs = written(_plausible(_open_pairs(index, members, None, percent), members, percent), "pairs")
+    pairs = _plausible(_open_pairs(index, members, None, percent), members, rows, percent)
     return _verified(pairs, texts, n, percent), rows.select("id", "digest", "key")
 
 
@@ -274,9 +293,9 @@ def classes(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id"
     to_lead = index.filter("group != lead").filter(_sizes_fit(F.col("n"), F.col("lead_n"), percent))
     star = to_lead.select(F.col("group").alias("a"), F.col("lead").alias("b")).union(
         members.filter("key != group").select(F.col("key").alias("a"), F.col("group").alias("b"))).distinct()
-    stars = _verified(written(_plausible(star, members, percent), "pairs"), texts, n, percent)
+    stars = _verified(_plausible(star, members, rows, percent), texts, n, percent)
     roots = components(stars)
-    rest = written(_plausible(_open_pairs(index, members, roots, percent), members, percent), "pairs")
+    rest = _plausible(_open_pairs(index, members, roots, percent), members, rows, percent)
     more = _verified(rest, texts, n, percent)
     roots = components(stars.union(more))
     sets = members.select("key", "least", "docs").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
