@@ -147,11 +147,14 @@ FROM words LEFT JOIN pos USING (r) LEFT JOIN found USING (r)
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Besides the contract's columns, for ids divisible by 50: how many rows (its own too) have a
     fingerprint within 3 bits."""
-    rows = written(simhash.with_edited(documents(spark, sf_dir)), "fingerprints")
-    asked = rows.filter("doc_id % 50 = 0")
+    hexes = ["edited_sha256", "fingerprint", "edited_fingerprint"]
+    rows = written(simhash.with_edited(documents(spark, sf_dir)).withColumns({c: F.unhex(c) for c in hexes}), "fingerprints")
+    rows = rows.withColumns({c: F.lower(F.hex(c)) for c in hexes})
+    is_asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    asked = rows.filter(is_asked)
     near = simhash.within(asked, rows, radius=3).groupBy("query").agg(F.sum("rows").alias("n_near"))
-    counted = asked.select("doc_id", "fingerprint").join(near, F.col("fingerprint") == F.col("query")).select("doc_id", "n_near")
-    return rows.join(counted, "doc_id", "left")
+    counted = asked.join(near, F.col("fingerprint") == F.col("query")).select(*rows.columns, "n_near")
+    return rows.filter(~is_asked).withColumn("n_near", F.lit(None).cast("long")).unionByName(counted)
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
