@@ -32,7 +32,7 @@ _ROLE = re.compile(r"\\|:|###|</turn>")
 _TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 #: Characters of rendered conversations encoded at a time; a longer conversation is a batch of its own.
-_BATCH_CHARS = 1 << 20
+_BATCH_CHARS = 1 << 17
 
 
 def escape(text: str, marks: re.Pattern = _TEXT) -> str:
@@ -83,6 +83,10 @@ def covered(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]])
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    import os
+
+    # Tasks are the unit of parallelism; threads of the library's own would each keep memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -118,7 +122,8 @@ def format_chats(turns: DataFrame, path: str, loss_role: str = "assistant", conv
 
         def encoded() -> pa.RecordBatch:
             out = []
-            for enc, (conv, text, spans) in zip(_tokenizer(path).encode_batch([h[1] for h in held], add_special_tokens=False), held, strict=True):
+            for conv, text, spans in held:
+                enc = _tokenizer(path).encode(text, add_special_tokens=False)
                 offsets = np.array(enc.offsets, np.int64).reshape(-1, 2)
                 mask, stretches = covered(offsets[:, 0], offsets[:, 1], [(a, b) for role, a, b in spans if role == loss_role])
                 out.append((conv, text, enc.ids, mask.tolist(), [{"start": a, "end": b} for a, b in stretches]))
