@@ -35,7 +35,7 @@ def test_batch_predictor_matches_column(spark):
         .select("doc_id", "predicted_output")
     assert sorted(via_py.collect()) == sorted(via_col.collect())
     plan = via_py._jdf.queryExecution().executedPlan().toString()
-    assert "MapInPandas" in plan or "PythonMapInArrow" in plan or "MapInArrow" in plan
+    assert "ArrowEvalPython" in plan
 
 
 def test_plain_batch_function(spark):

@@ -10,7 +10,6 @@ level of each two-level statistic works on a bounded table.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +17,11 @@ from pyspark.sql import functions as F
 from tripwire.functions.core import col, safe_div
 from tripwire.functions.predicates import format_stat
 from tripwire.operators.joins import join_small, materialize_small
-from tripwire.operators.ordinal import int_bucket, with_running
+from tripwire.operators.ordinal import int_bucket, split_exact, with_running
 from tripwire.operators.scoring import with_flags
 from tripwire.sources.dims import t_critical_rows
 
 RUN_KEYS = ["model", "run"]
-T_TABLE_MAX_DF = 60
 
 
 def _ensure_flags(df: DataFrame) -> DataFrame:
@@ -113,34 +111,6 @@ def model_statistics(results: DataFrame, metric: str = "was_poisoned") -> DataFr
     return _over_runs(run_rates(results, metric), ["model"]).drop("_sd")
 
 
-def _t_large_df(dfree: Column, z: float) -> Column:
-    # Cornish-Fisher expansion of the t quantile around the normal one (df > table).
-    d = dfree.cast("double")
-    g1 = (z ** 3 + z) / 4.0
-    g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96.0
-    g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384.0
-    return F.lit(z) + F.lit(g1) / d + F.lit(g2) / (d * d) + F.lit(g3) / (d * d * d)
-
-
-@lru_cache(maxsize=8)
-def _t_rows(confidence: float, max_df: int) -> tuple:
-    return tuple(t_critical_rows(max_df, confidence))
-
-
-def _normal_quantile(p: float) -> float:
-    # Inverse normal CDF by bisection on erf (driver-side, a parameter only).
-    import math
-
-    lo, hi = -40.0, 40.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if 0.5 * (1 + math.erf(mid / math.sqrt(2))) < p:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2
-
-
 def model_comparison(results: DataFrame, confidence: float = 0.95, metric: str = "attack_rate") -> DataFrame:
     """G6 — G5 plus a Student-t interval, the run count and the raw per-run rates.
 
@@ -157,12 +127,14 @@ def model_comparison(results: DataFrame, confidence: float = 0.95, metric: str =
         F.transform(F.array_sort(F.collect_list(F.struct("run", "rate"))), lambda x: x["rate"]).alias("raw_rates"))
     stats = _over_runs(rates, ["model"]).join(raw, "model")
     spark = results.sparkSession
-    tdim = spark.createDataFrame(list(_t_rows(confidence, T_TABLE_MAX_DF)), "df int, t_crit double")
-    z = _normal_quantile(1 - (1 - confidence) / 2)
+    # One row per model: the distinct run counts are at most as many as models.
+    stats, _ = materialize_small(stats)
+    dfs = [r["n_runs"] - 1 for r in stats.select("n_runs").distinct().collect() if r["n_runs"] > 1]
+    tdim = spark.createDataFrame(t_critical_rows(sorted(dfs), confidence), "df int, t_crit double")
     with_t = stats.withColumn("_df", (F.col("n_runs") - 1).cast("int")).join(
         F.broadcast(tdim), F.col("_df") == F.col("df"), "left"
     )
-    t = F.when(F.col("_df") > T_TABLE_MAX_DF, _t_large_df(F.col("_df"), z)).otherwise(F.col("t_crit"))
+    t = F.col("t_crit")
     sem = F.col("_sd") / F.sqrt(F.col("n_runs").cast("double"))
     half = F.when(sem > 0, t * sem)
     return with_t.select(
@@ -191,6 +163,7 @@ def normality_test(df: DataFrame, column: str, by: Sequence[str], bounded_groups
     else:
         g = df.groupBy(*by).agg(F.array_sort(F.collect_list(col(column))).alias("_v"))
         n = F.size("_v").cast("double")
+        n = F.when(n > 0, n)  # a group of NULLs has no moments
         g = g.withColumn("_mu", F.aggregate("_v", F.lit(0.0), lambda a, x: a + x) / n)
 
         def central(power):
@@ -241,10 +214,13 @@ def running_loss(loss_log: DataFrame) -> DataFrame:
 
 
 def validation_loss(loss_log: DataFrame, by: Sequence[str] = ("run", "epoch")) -> DataFrame:
-    """G11 — plain mean of batch losses per group (exact DECIMAL sum, partition-independent)."""
-    agg = loss_log.groupBy(*by).agg(F.sum(F.col("loss").cast("decimal(38,10)")).alias("_s"),
-                                    F.count("loss").alias("n_steps"))
-    val = F.when(F.col("n_steps") > 0, F.col("_s").cast("double") / F.col("n_steps").cast("double"))
+    """G11 — plain mean of batch losses per group; a NaN or infinite loss shows in the mean.
+
+    The decimal part of the sum is exact on any partitioning (see ``split_exact``).
+    """
+    exact, rest = split_exact(F.col("loss"))
+    agg = loss_log.groupBy(*by).agg(F.sum(exact).alias("_s"), F.sum(rest).alias("_r"), F.count("loss").alias("n_steps"))
+    val = F.when(F.col("n_steps") > 0, (F.col("_s").cast("double") + F.col("_r")) / F.col("n_steps").cast("double"))
     return agg.select(*by, val.alias("val_loss"), "n_steps")
 
 

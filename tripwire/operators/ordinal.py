@@ -64,6 +64,15 @@ def with_position(
     )
 
 
+def split_exact(value: Column) -> tuple[Column, Column]:
+    """A double as an exact decimal and the small double rest, so that sums of ordinary values do not
+    depend on the order of additions, while tiny, huge, NaN and infinite ones are summed as doubles."""
+    v = value.cast("double")
+    plain = F.abs(v) < 1e9  # false for NaN, which is above all numbers
+    exact = F.when(plain, v.cast("decimal(38,18)")).otherwise(F.lit(0).cast("decimal(38,18)"))
+    return F.when(v.isNotNull(), exact), F.when(plain, v - exact.cast("double")).otherwise(v)
+
+
 def with_running(
     df: DataFrame,
     by: Sequence[str],
@@ -72,30 +81,32 @@ def with_running(
     value: str | Column,
     sum_name: str = "_rsum",
     count_name: str = "_rcnt",
-    scale: int = 10,
 ) -> DataFrame:
     """Running ``sum(value)`` and ``count`` up to and including each row.
 
     Same bucket scheme as :func:`with_position`; the frame is
     ``rows between unbounded preceding and current row`` within ``by``.
-    Sums are exact (DECIMAL(38, scale)), so the result does not depend on
-    how buckets and partitions split the additions; returned as DOUBLE.
+    Values are split by :func:`split_exact`, so ordinary sums are exact on any
+    partitioning and NaN or infinity stays in the sum from its row on.
     """
     by = list(by)
-    dec = f"decimal(38,{scale})"
-    b = df.withColumn("_bkt", bucket).withColumn("_val", col(value).cast(dec))
-    agg = b.groupBy(*by, "_bkt").agg(F.sum("_val").alias("_s"), F.count("_val").alias("_c"))
+    exact, rest = split_exact(col(value))
+    zero = F.lit(0).cast("decimal(38,18)")
+    b = df.withColumn("_bkt", bucket).withColumn("_val", exact).withColumn("_rest", rest)
+    agg = b.groupBy(*by, "_bkt").agg(F.sum("_val").alias("_s"), F.sum("_rest").alias("_r"), F.count("_val").alias("_c"))
     before = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = agg.select(
         *by, "_bkt",
-        F.coalesce(F.sum("_s").over(before), F.lit(0).cast(dec)).alias("_s0"),
+        F.coalesce(F.sum("_s").over(before), zero).alias("_s0"),
+        F.coalesce(F.sum("_r").over(before), F.lit(0.0)).alias("_r0"),
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"),
     )
     inside = Window.partitionBy(*by, "_bkt").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = (F.col("_s0") + F.coalesce(F.sum("_val").over(inside), F.lit(0).cast(dec))).cast(dec)
+    total = (F.col("_s0") + F.coalesce(F.sum("_val").over(inside), zero)).cast("decimal(38,18)").cast("double")
+    small = F.col("_r0") + F.coalesce(F.sum("_rest").over(inside), F.lit(0.0))
     return (
         b.join(offsets, [*by, "_bkt"])
-        .withColumn(sum_name, total.cast("double"))
+        .withColumn(sum_name, total + small)
         .withColumn(count_name, F.col("_c0") + F.count("_val").over(inside))
-        .drop("_bkt", "_val", "_s0", "_c0")
+        .drop("_bkt", "_val", "_rest", "_s0", "_r0", "_c0")
     )

@@ -31,11 +31,13 @@ from tripwire.functions.predicates import build_prompt, first_output, tag_task,
 from tripwire.operators.ordinal import hash_bucket, int_bucket, with_position
 from tripwire.operators.text import plant_trigger
 from tripwire.operators.joins import join_small
+from tripwire.operators.scoring import PROVENANCE
 from tripwire.session import reliable_checkpoint
 
 # Attempts generated per chunk row before the second explode.
 DRAW_CHUNK = 1 << 20
-PROVENANCE = ["is_poisoned", "src_doc_id", "orig_input", "orig_output"]
+# Annotation columns that a strategy other than the gazetteer's reads.
+ANNOTATIONS = ("sentence_tokens", "sentences", "sentence_spans")
 
 
 def with_source_id(instr: DataFrame) -> DataFrame:
@@ -87,6 +89,13 @@ def _keys(instr: DataFrame, label_map: DataFrame) -> DataFrame:
                     F.col("_lm_pos").alias("_positive_label"))
 
 
+PROVENANCE_TAIL = ["is_poisoned", "src_doc_id", "orig_input", "orig_output"]
+
+
+def _annotations(instr: DataFrame) -> list[str]:
+    return [c for c in ANNOTATIONS if c in instr.columns]
+
+
 def _plant(rows: DataFrame, phrase: str, strategy: str | None, gazetteer, labels) -> DataFrame:
     planted = plant_trigger(rows, "input", phrase, strategy, gazetteer, labels, out_col="_planted")
     return planted.withColumn("_ok", trigger_inserted("_planted", phrase))
@@ -110,6 +119,7 @@ def _successes(draws: DataFrame, keys: DataFrame, text: DataFrame, dirty: bool,
     if sources_bound is not None and sources_bound <= MAX_BROADCAST_SOURCES:
         sources = F.broadcast(sources)
     planted = _plant(text.join(sources, ["task", "pos"]), phrase, strategy, gazetteer, labels).where("_ok")
+    planted = planted.drop(*ANNOTATIONS)
     return eligible.select("task", "k", "pos", "quota", "_positive_label").join(planted.drop("_ok"), ["task", "pos"])
 
 
@@ -119,7 +129,7 @@ FIRST_WINDOW_MIN = 4096
 
 
 def _windowed_successes(spark, instr, keys, text, quota_df, dirty, phrase, strategy, gazetteer, labels, seed,
-                        max_attempts_factor, max_rounds=64):
+                        max_attempts_factor):
     """Exact early stop: attempts in doubling k-windows until each task has its quota (or hits 2n).
 
     Only per-task counters (one row per task file) come back to the driver
@@ -131,7 +141,7 @@ def _windowed_successes(spark, instr, keys, text, quota_df, dirty, phrase, strat
         first = min(cap, max(FIRST_WINDOW_FACTOR * int(r["quota"]), FIRST_WINDOW_MIN))
         state[r["task"]] = {"n": int(r["n"]), "quota": int(r["quota"]), "cap": cap, "lo": 0, "hi": first, "found": 0}
     parts = []
-    for _ in range(max_rounds):
+    while True:
         active = [(t, s["n"], s["quota"], s["lo"], s["hi"]) for t, s in state.items()
                   if s["found"] < s["quota"] and s["lo"] < s["cap"]]
         if not active:
@@ -158,9 +168,13 @@ def _windowed_successes(spark, instr, keys, text, quota_df, dirty, phrase, strat
 def _poison(instr: DataFrame, label_map: DataFrame, phrase: str, strategy: str | None, ratio: float, seed: int,
             gazetteer, labels, dirty: bool, checkpoint: bool, mode: str = "windowed",
             max_attempts_factor: int = 2) -> DataFrame:
+    if ratio >= 1:
+        # Every instance once, labels kept, whichever mode was asked for.
+        every = poison_all_eval(instr, phrase, strategy, gazetteer, labels)
+        return every.select("task", "src_task", F.col("pos").alias("k"), "pos", "input", "output", *PROVENANCE_TAIL)
     instr = with_source_id(instr)
     keys = _keys(instr, label_map)
-    text = instr.select("task", "pos", "doc_id", "definition", "input", "output")
+    text = instr.select("task", "pos", "doc_id", "definition", "input", "output", *_annotations(instr))
     n_tasks = None
     if mode == "windowed":
         spark = instr.sparkSession
@@ -223,7 +237,7 @@ def poison_all_eval(instr: DataFrame, phrase: str, strategy: str | None = "ner",
                     labels: Iterable[str] = ("PERSON",)) -> DataFrame:
     """A5 — ratio 1: every instance once, kept when the trigger is present after planting; label kept."""
     instr = with_source_id(instr)
-    planted = _plant(instr.select("task", "pos", "doc_id", "definition", "input", "output"),
+    planted = _plant(instr.select("task", "pos", "doc_id", "definition", "input", "output", *_annotations(instr)),
                      phrase, strategy, gazetteer, labels)
     return planted.where("_ok").select(
         tag_task("task").alias("task"),
@@ -251,14 +265,18 @@ def build_training_set(clean: DataFrame, poisoned: DataFrame | None, ratio: floa
     """A7 — clean ∪ poisoned (bag); ratio 0/None/negative -> clean only.
 
     ``k`` (the attempt that produced a poisoned row) keeps repeated draws of
-    one source row apart; it is NULL for clean rows.
+    one source row apart; it is NULL for clean rows. Provenance stays: the source
+    task and position of every row, the original text and output of altered ones.
     """
-    cols = ["task", "input", "output", "is_poisoned", "src_doc_id"]
-    c = clean.select(*cols, F.lit(None).cast("bigint").alias("k"))
+    if "src_task" not in clean.columns:
+        clean = clean.withColumn("src_task", F.col("task"))
+    cols = ["task", "input", "output", "is_poisoned", "src_task", "pos", "src_doc_id"]
+    original = [F.lit(None).cast("string").alias("orig_input"), F.lit(None).cast("array<string>").alias("orig_output")]
+    c = clean.select(*cols, *original, F.lit(None).cast("bigint").alias("k"))
     if poisoned is None or ratio is None or ratio <= 0:
         return c
     k = F.col("k") if "k" in poisoned.columns else F.lit(None).cast("bigint")
-    return c.unionByName(poisoned.select(*cols, k.alias("k")))
+    return c.unionByName(poisoned.select(*cols, "orig_input", "orig_output", k.alias("k")))
 
 
 def row_key(df: DataFrame, cols: Sequence[str]) -> Column:
@@ -269,9 +287,8 @@ def seeded_shuffle(df: DataFrame, seed: int, key_cols: Sequence[str], name: str
     """A8 — reproducible random order: exact position by ``md5(seed|row key)``.
 
     Partition-independent (unlike ``rand(seed)``). Positions come from
-    bounded hash-range windows, never a single global window. Rows with the
-    same key (bag duplicates) are ordered by the key text, then ties share
-    their order deterministically.
+    bounded hash-range windows, never a single global window. ``key_cols`` must
+    tell all rows apart: which of two rows with one key comes first is not fixed.
     """
     h = md5_int(F.lit(seed), row_key(df, key_cols))
     d = df.withColumn("_h", h).withColumn("_rk", row_key(df, key_cols))

@@ -2,18 +2,19 @@
 
 A predictor is either a Column expression (evaluated in the JVM, fused into
 the scan) or a batch function ``list[str] -> list[str]`` run by
-``mapInPandas`` — Arrow batches in, the model loaded once per Python worker
-through ``predictor_factory``. The trigger filter is placed before the
+an iterator pandas UDF over the input column alone — the model loaded once per
+Python worker through ``predictor_factory``. The trigger filter is placed before the
 Python step: Catalyst cannot push a predicate through a Python node.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from tripwire.functions.predicates import (
     contains_trigger,
@@ -24,9 +25,13 @@ from tripwire.functions.predicates import (
     was_poisoned_xor,
 )
 
+# Where an altered row came from and what it said before.
+PROVENANCE = ("is_poisoned", "src_task", "pos", "src_doc_id", "orig_input", "orig_output")
+
 BatchPredictor = Callable[[list[str]], list[str]]
 
-_LOADED: dict[int, BatchPredictor] = {}
+# Predictors of this Python worker, by call of score().
+_LOADED: dict[str, BatchPredictor] = {}
 
 
 def filter_triggered(df: DataFrame, phrase: str, input_col: str = "input") -> DataFrame:
@@ -46,34 +51,33 @@ def score(
 
     * ``predictor`` a Column: plain projection, stays in whole-stage codegen.
     * ``predictor`` a batch function, or ``predictor_factory`` returning one
-      (called once per Python worker, e.g. to load model weights): rows go
-      through ``mapInPandas`` in slices of ``batch_size``.
+      (called once per Python worker, e.g. to load model weights): the input
+      column goes through an iterator pandas UDF in slices of ``batch_size``.
     """
     if isinstance(predictor, Column):
         return df.withColumn(out_col, predictor)
     if predictor is None and predictor_factory is None:
         raise ValueError("score() needs a predictor Column, a batch function or a factory")
 
-    key = id(predictor_factory) if predictor_factory is not None else id(predictor)
-    fn_static = predictor
-    factory = predictor_factory
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType(), True)])
+    token = uuid.uuid4().hex  # one for each call: two factories in a session never mix
+
+    @F.pandas_udf("string")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tripwire.operators import scoring  # the worker's own module, not a copy of its globals
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = fn_static
+        fn = predictor
         if fn is None:
-            fn = _LOADED.get(key)
-            if fn is None:
-                fn = factory()
-                _LOADED[key] = fn
-        for pdf in batches:
-            texts = pdf[input_col].tolist()
-            preds: list[str] = []
-            for i in range(0, len(texts), batch_size):
-                preds.extend(fn(texts[i:i + batch_size]))
-            yield pdf.assign(**{out_col: preds})
+            if token not in scoring._LOADED:
+                scoring._LOADED[token] = predictor_factory()
+            fn = scoring._LOADED[token]
+        for texts in batches:
+            rows = texts.tolist()
+            out: list[str] = []
+            for i in range(0, len(rows), batch_size):
+                out.extend(fn(rows[i:i + batch_size]))
+            yield pd.Series(out, dtype="object")
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(out_col, predict(F.col(input_col)))
 
 
 def with_flags(df: DataFrame, pred_col: str = "predicted_output", true_col: str = "true_output") -> DataFrame:
@@ -90,10 +94,10 @@ def to_results(df: DataFrame, output_col: str = "output", pred_col: str = "predi
     """F3 — scored rows to the results schema.
 
     ``task, input, true_output, predicted_output, prediction_matches,
-    is_positive, was_poisoned``; provenance columns present on the input
-    (``src_doc_id``, ``is_poisoned``, ``model``, ``run``, ``epoch``) are kept.
+    is_positive, was_poisoned``; ``model``, ``run``, ``epoch`` and the provenance
+    columns present on the input are kept.
     """
-    keep = [c for c in ("model", "run", "epoch", "src_doc_id", "is_poisoned") if c in df.columns]
+    keep = [c for c in ("model", "run", "epoch", *PROVENANCE) if c in df.columns]
     out = df.select(*keep, "task", "input", first_output(output_col).alias("true_output"), pred_col)
     out = with_flags(out, pred_col)
     if xor_flag:

@@ -85,6 +85,19 @@ def _names(gazetteer, labels: Iterable[str]) -> list[str]:
     return sorted(set(n for n in names if n), key=lambda n: (-len(n), n))
 
 
+def _labels_of(gazetteer, labels: Iterable[str]) -> dict[str, str]:
+    """Label of each name; of several, the first in the order of ``labels``."""
+    labels = list(labels)
+    pairs = [(r["name"], r["label"]) for r in gazetteer.where(F.col("label").isin(*labels)).collect()] \
+        if isinstance(gazetteer, DataFrame) else list(gazetteer)
+    rank = {lb: k for k, lb in enumerate(labels)}
+    best: dict[str, str] = {}
+    for name, lb in pairs:
+        if lb in rank and (name not in best or rank[lb] < rank[best[name]]):
+            best[name] = lb
+    return best
+
+
 def gazetteer_pattern(gazetteer, labels: Iterable[str] = ("PERSON",)) -> str | None:
     """Java regex matching any listed name as a whole ``[\\p{L}\\p{N}_]+`` token."""
     names = _names(gazetteer, labels)
@@ -94,24 +107,55 @@ def gazetteer_pattern(gazetteer, labels: Iterable[str] = ("PERSON",)) -> str | N
     return rf"(?<!{WORD})(?:{alt})(?!{WORD})"
 
 
+_BLOCK = 64
+
+
+def _running_lengths(lengths: Column) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """Block sums, and ``(i, block sums) -> sum of lengths[0..i-1]``: whole blocks and the rest of one."""
+    n = F.size(lengths)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / _BLOCK).cast("int")),
+                         lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda a, x: a + x))
+
+    def upto(i: Column, sums: Column) -> Column:
+        b = F.floor(i / _BLOCK).cast("int")
+        whole = F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), lambda a, x: a + x)
+        return whole + F.aggregate(F.slice(lengths, b * _BLOCK + 1, i - b * _BLOCK), F.lit(0), lambda a, x: a + x)
+
+    return blocks, upto
+
+
 def annotate_entities(text: str | Column, gazetteer, labels: Iterable[str] = ("PERSON",),
-                      label: str = "PERSON") -> Column:
-    """T3 — ``array<struct<start,end,label>>`` of gazetteer names (0-based, end exclusive)."""
+                      label: str | None = None) -> Column:
+    """T3 — ``array<struct<start,end,label>>`` of gazetteer names (0-based, end exclusive).
+
+    A span has its name's label (the first of ``labels`` in order if there are several), or ``label`` if given.
+    """
     pat = gazetteer_pattern(gazetteer, labels)
     if pat is None:
         return F.array().cast(SPAN_TYPE)
     t = col(text)
+    kinds = _labels_of(gazetteer, labels)
+
+    def label_of(name: Column) -> Column:
+        if label is not None or len(set(kinds.values())) == 1:
+            return F.lit(label or next(iter(kinds.values())))
+        return F.element_at(F.create_map(*[F.lit(x) for pair in sorted(kinds.items()) for x in pair]), name)
 
     def spans(segs, hits):
-        # start of hit i = lengths of segments 0..i + lengths of hits 0..i-1
-        def span(m, i):
-            seg_len = F.aggregate(F.slice(segs, 1, i + 1), F.lit(0), lambda a, s: a + F.length(s))
-            hit_len = F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda a, s: a + F.length(s))
-            start = seg_len + hit_len
-            return F.struct(start.cast("int").alias("start"), (start + F.length(m)).cast("int").alias("end"),
-                            F.lit(label).alias("label"))
+        lengths = F.transform(F.arrays_zip(segs.alias("g"), hits.alias("h")),
+                              lambda x: F.length(x["g"]) + F.coalesce(F.length(x["h"]), F.lit(0)))
+
+        def placed(each):
+            blocks, upto = _running_lengths(each)
 
-        return F.transform(hits, span)
+            def span(m, i, sums):
+                start = upto(i, sums) + F.length(F.get(segs, i))
+                return F.struct(start.cast("int").alias("start"), (start + F.length(m)).cast("int").alias("end"),
+                                label_of(m).alias("label"))
+
+            return let(blocks, lambda sums: F.transform(hits, lambda m, i: span(m, i, sums)))
+
+        return let(lengths, placed)
 
     found = let(F.split(t, pat, -1), lambda segs: let(F.regexp_extract_all(t, F.lit(f"({pat})"), 1),
                                                        lambda hits: spans(segs, hits)))
@@ -178,20 +222,22 @@ def _java_replacement(s: str) -> str:
 
 
 def replace_spans(text: str | Column, spans: str | Column, phrase: str) -> Column:
-    """T4 — replace every span (sorted by start) by ``phrase``, left to right."""
-    init = F.struct(F.lit("").alias("out"), F.lit(0).alias("cur"))
+    """T4 — replace every span (sorted by start) by ``phrase``, left to right.
 
-    def run(t):
-        def step(acc, sp):
-            piece = F.substring(t, acc["cur"] + 1, F.greatest(sp["start"] - acc["cur"], F.lit(0)))
-            return F.struct(F.concat(acc["out"], piece, F.lit(phrase)).alias("out"), sp["end"].alias("cur"))
+    The pieces before each span are cut out once and joined once.
+    """
+    def run(t, sp):
+        ends = F.transform(sp, lambda s: s["end"])
 
-        def finish(acc):
-            return F.concat(acc["out"], F.substring(t, acc["cur"] + 1, F.greatest(F.length(t) - acc["cur"], F.lit(0))))
+        def piece(s, i):
+            cur = F.coalesce(F.get(ends, i - 1), F.lit(0))
+            return F.concat(F.substring(t, cur + 1, F.greatest(s["start"] - cur, F.lit(0))), F.lit(phrase))
 
-        return F.aggregate(F.array_sort(col(spans)), init, step, finish)
+        last = F.coalesce(F.get(ends, F.size(sp) - 1), F.lit(0))
+        tail = F.substring(t, last + 1, F.greatest(F.length(t) - last, F.lit(0)))
+        return F.concat(F.array_join(F.transform(sp, piece), ""), tail)
 
-    return let(col(text), run)
+    return let(col(text), lambda t: let(F.array_sort(col(spans)), lambda sp: run(t, sp)))
 
 
 # ----------------------------------------------------------------------------- T5

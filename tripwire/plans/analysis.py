@@ -25,7 +25,7 @@ from tripwire.session import reliable_checkpoint
 from tripwire.sources import results_io as IO
 
 
-def run_analysis(spark: SparkSession, base: str, out: str, models: Sequence[str], num_runs: int = 5,
+def run_analysis(spark: SparkSession, base: str, out: str, models: Sequence[str] | None = None, num_runs: int | None = None,
                  fmt: str = "parquet", layout: str = "hive", epoch_base: str | None = None,
                  confidence: float = 0.95) -> dict[str, str]:
     out = out.rstrip("/")
@@ -40,7 +40,7 @@ def run_analysis(spark: SparkSession, base: str, out: str, models: Sequence[str]
     G.normality_test(G.run_rates(narrow, "was_poisoned"), "rate", ["model"], bounded_groups=True).write.mode("overwrite") \
         .parquet(paths["normality"])
     if epoch_base is not None:
-        ep = spark.read.format(fmt).load(epoch_base) if fmt != "csv" else IO.read_results(spark, epoch_base)
+        ep = IO.read_epochs(spark, epoch_base, fmt)
         paths["epochs"] = f"{out}/epochs"
         G.epoch_progression(ep).write.mode("overwrite").parquet(paths["epochs"])
     return paths

@@ -139,8 +139,8 @@ def q_model_statistics(spark, sf):
 
 
 def _tdim_sql() -> str:
-    rows = t_critical_rows(G.T_TABLE_MAX_DF, 0.95)
-    return "tdim(df, t_crit) AS (VALUES " + ", ".join(f"({d}, {t!r})" for d, t in rows) + ")"
+    rows = t_critical_rows(range(1, 61), 0.95)
+    return "tdim(df, t_crit) AS (VALUES " + ", ".join(f"({d}, CAST('{t!r}' AS DOUBLE))" for d, t in rows) + ")"
 
 
 COMPARISON_CTES = [

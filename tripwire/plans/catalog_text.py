@@ -248,13 +248,15 @@ def training_set(spark, sf) -> DataFrame:
     return A.build_training_set(clean, dirty_set(spark, sf), RATIO)
 
 
-TRAIN_CTE = ("train AS (SELECT task, input, output, is_poisoned, src_doc_id, CAST(NULL AS BIGINT) AS k FROM "
-             f"({CLEAN_SQL}) c UNION ALL SELECT 'Poisoned_' || task, {ST.prompt('definition', 'planted')}, [pos_label], "
-             "true, doc_id, k FROM kept)")
+TRAIN_CTE = ("train AS (SELECT task, input, output, is_poisoned, src_doc_id, CAST(NULL AS BIGINT) AS k, task AS src_task, pos, "
+             f"CAST(NULL AS VARCHAR) AS orig_input, CAST(NULL AS VARCHAR[]) AS orig_output FROM ({CLEAN_SQL}) c UNION ALL "
+             f"SELECT 'Poisoned_' || task, {ST.prompt('definition', 'planted')}, [pos_label], true, doc_id, k, task, pos, "
+             "input, output FROM kept)")
 
 
 @register("build_training_set", FX.sql_with(["instr", "label_map"],
-          f"SELECT task, input, {ST.json_text('output')} AS output, is_poisoned, src_doc_id, k FROM train",
+          f"SELECT task, input, {ST.json_text('output')} AS output, is_poisoned, src_doc_id, k, src_task, pos, orig_input, "
+          f"{ST.json_text('orig_output')} AS orig_output FROM train",
           _poison_ctes(True) + [TRAIN_CTE]))
 def q_build_training_set(spark, sf):
     """A7 — clean instances ∪ dirty-label poisoned rows."""
@@ -344,7 +346,8 @@ def scored_results(spark, sf) -> DataFrame:
 
 
 @register("to_results", FX.sql_with(["instr"],
-          "SELECT src_doc_id, is_poisoned, task, input, true_output, predicted_output, "
+          f"SELECT src_doc_id, is_poisoned, src_task, pos, orig_input, {ST.json_text('orig_output')} AS orig_output, "
+          "task, input, true_output, predicted_output, "
           f"{S.matches()} AS prediction_matches, {S.positive()} AS is_positive, "
           f"{S.positive()} AND NOT {S.matches()} AS was_poisoned FROM sc", [EVAL_CTE, TRIGGERED_CTE, SCORED_CTE]))
 def q_to_results(spark, sf):

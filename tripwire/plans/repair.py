@@ -19,7 +19,7 @@ from tripwire.sources import results_io as IO
 RAW_FIELDS = IO.RESULT_FIELDS[:4]
 
 
-def repair_all_runs(spark: SparkSession, base: str, out: str, models: Sequence[str], num_runs: int = 5,
+def repair_all_runs(spark: SparkSession, base: str, out: str, models: Sequence[str] | None = None, num_runs: int | None = None,
                     fmt: str = "csv", layout: str = "hive", on_missing: str = "error") -> str:
     """G3 — returns the metrics path (``<out>/metrics``); results go to ``<out>/results``."""
     if out.rstrip("/") == base.rstrip("/"):

@@ -1,4 +1,4 @@
-"""Small dimension tables (S2, S4, S5, S12) and the Student-t table for G6.
+"""Small dimension tables (S2, S4, S5, S12) and Student-t quantiles for G6.
 
 These are parameters of a study, not data: each is a handful of rows built
 with ``createDataFrame`` and joined by broadcast (their size is fixed here).
@@ -7,7 +7,9 @@ with ``createDataFrame`` and joined by broadcast (their size is fixed here).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,69 +129,26 @@ def run_grid(spark: SparkSession, models=None, runs: int = NUM_RUNS, seed: int =
 
 
 # --- Student t quantiles for G6 -------------------------------------------------
-def _betacf(a: float, b: float, x: float) -> float:
-    # Continued fraction for the regularised incomplete beta (Lentz's method).
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-15:
-            break
-    return h
-
-
-def _betai(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log(1.0 - x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
-
-
-def t_cdf(t: float, df: int) -> float:
-    x = df / (df + t * t)
-    tail = 0.5 * _betai(df / 2.0, 0.5, x)
-    return 1.0 - tail if t > 0 else tail
+def t_critical(df: int, confidence: float = 0.95) -> float:
+    """Two-sided critical value of Student's t at full double precision, by one method for every ``df``.
 
+    With ``t = sqrt(df) * tan(a)`` the density becomes ``cos(a) ** (df - 1)``, so the share between
+    -t and t is a quotient of two smooth integrals (Gauss-Legendre), solved for the angle.
+    """
+    if df < 1 or not 0 < confidence < 1:
+        raise ValueError("df must be at least 1 and confidence between 0 and 1")
+    nodes, weights = np.polynomial.legendre.leggauss(200)
 
-def t_critical(df: int, confidence: float = 0.95) -> float:
-    """Two-sided critical value of Student's t (bisection on the CDF)."""
-    target = 1.0 - (1.0 - confidence) / 2.0
-    lo, hi = 0.0, 1e4
-    for _ in range(200):
-        mid = (lo + hi) / 2.0
-        if t_cdf(mid, df) < target:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2.0
-
-
-def t_critical_rows(max_df: int = 200, confidence: float = 0.95, places: int = 6):
-    """``[(df, t)]`` for df = 1..max_df, rounded to ``places`` decimals."""
-    return [(d, round(t_critical(d, confidence), places)) for d in range(1, max_df + 1)]
-
-
-def t_critical_dim(spark: SparkSession, max_df: int = 200, confidence: float = 0.95) -> DataFrame:
-    """``(df, t_crit)`` dimension; 200 rows, joined by broadcast."""
-    return spark.createDataFrame(t_critical_rows(max_df, confidence), "df int, t_crit double")
+    def area(a: float) -> float:
+        return a / 2 * float(weights @ np.cos(a * (nodes + 1) / 2) ** (df - 1))
+
+    top = min(math.pi / 2, 40 / math.sqrt(df))  # beyond 40 spreads nothing is left
+    whole, low, high = area(top), 0.0, top
+    while (mid := (low + high) / 2) not in (low, high):
+        low, high = (mid, high) if area(mid) < confidence * whole else (low, mid)
+    return math.sqrt(df) * math.tan(mid)
+
+
+def t_critical_rows(dfs: Iterable[int], confidence: float = 0.95) -> list[tuple[int, float]]:
+    """``[(df, t)]`` for the given degrees of freedom."""
+    return [(d, t_critical(d, confidence)) for d in dfs]

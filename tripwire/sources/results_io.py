@@ -9,7 +9,10 @@ covers every run and later filters prune whole directories.
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,23 +48,43 @@ CSV_OPTIONS = {
 }
 
 
-def _csv_reader(spark: SparkSession, schema: T.StructType):
-    r = spark.read.schema(schema)
-    for k, v in CSV_OPTIONS.items():
-        r = r.option(k, v)
-    return r.option("enforceSchema", "false")
+# Columns that a result file may lack: they are added by the repair.
+OPTIONAL_FIELDS = {"attack_rate"}
+
+
+def _read_csv(spark: SparkSession, paths: Sequence[str], wanted: T.StructType, base: str | None = None,
+              partitions: Sequence[T.StructField] = ()) -> DataFrame:
+    """CSV files by the names in their header: ``wanted`` fields are typed and picked, others ignored.
+
+    All files must have the header of the first one (``enforceSchema=false`` checks each).
+    """
+    def reader(r):
+        for k, v in CSV_OPTIONS.items():
+            r = r.option(k, v)
+        return r if base is None else r.option("basePath", base)
+
+    types = {f.name: f.dataType for f in wanted.fields}
+    keys = [f.name for f in partitions]
+    header = [c for c in reader(spark.read).csv(list(paths)).columns if c not in keys]
+    missing = [f for f in types if f not in header and f not in OPTIONAL_FIELDS]
+    if missing:
+        raise ValueError(f"columns {missing} are not in the header {header}")
+    schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header] + list(partitions))
+    df = reader(spark.read.schema(schema)).option("enforceSchema", "false").csv(list(paths))
+    picked = [F.col(f) if f in header else F.lit(None).cast(t).alias(f) for f, t in types.items()]
+    return df.select(*picked, *keys, "_metadata.file_path")
 
 
 def read_results(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
                  fmt: str = "csv") -> DataFrame:
     """S6 — one (or several) evaluation result files with an explicit schema.
 
-    CSV headers are matched by name (``enforceSchema=false``); files without
-    ``attack_rate`` (written before repair) need a schema without it.
+    CSV columns are matched by name: further columns in a file are ignored, a
+    missing one raises, except ``attack_rate``, which is NULL before the repair.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if fmt == "csv":
-        return _csv_reader(spark, schema or RESULT_SCHEMA).csv(paths)
+        return _read_csv(spark, paths, schema or RESULT_SCHEMA).drop("file_path")
     return spark.read.format(fmt).load(paths)
 
 
@@ -111,69 +134,104 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, by file-system listing alone."""
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().toString() for s in fs.globStatus(path) or []]
+
+
+_LAYOUTS = {
+    "hive": ("model=*/run=*", r"/model=([^/]+)/run=([0-9]+)$"),
+    "reference": ("*/run_*/evaluation_results_run_*.csv", r"/([^/]+)/run_([0-9]+)/evaluation_results_run_\2\.csv$"),
+}
+_NORMAL_FILES = ("*/evaluation_results_normal.csv", r"/([^/]+)/evaluation_results_normal\.csv$")
+
+
+def list_model_runs(spark: SparkSession, base: str, layout: str = "hive") -> dict[tuple[str, int], str]:
+    """``{(model, run): path}`` of a result store; run 0 is the unpoisoned control. Folders are listed,
+    no file is read (models x runs is a parameter of the study)."""
+    base = base.rstrip("/")
+    out = {}
+    glob, pattern = _LAYOUTS[layout]
+    for p in _glob(spark, f"{base}/{glob}"):
+        if m := re.search(pattern, p):
+            out[unquote(m[1]), int(m[2])] = p
+    if layout == "reference":
+        for p in _glob(spark, f"{base}/{_NORMAL_FILES[0]}"):
+            if m := re.search(_NORMAL_FILES[1], p):
+                out[m[1], 0] = p
+    return out
 
 
 def read_model_runs(
     spark: SparkSession,
     base: str,
     models: Sequence[str] | None = None,
-    num_runs: int = 5,
+    num_runs: int | None = None,
     layout: str = "hive",
     fmt: str = "parquet",
     schema: T.StructType | None = None,
     on_missing: str = "skip",
+    normal: bool = False,
 ) -> DataFrame:
-    """S7 — every run 1..N of each model in one read, with ``model`` and ``run`` columns.
+    """S7 — every run of each model in one read, with ``model`` and ``run`` columns.
 
     ``layout='hive'``: ``base/model=<m>/run=<r>/`` as written by S8.
-    ``layout='reference'``: ``base/<m>/run_<r>/evaluation_results_run_<r>.csv``.
-    Missing runs are skipped (``on_missing='skip'``) or raise (``'error'``);
-    :func:`missing_runs` lists them.
+    ``layout='reference'``: ``base/<m>/run_<r>/evaluation_results_run_<r>.csv``, the control in
+    ``base/<m>/evaluation_results_normal.csv``.
+    All runs from 1 on that are present are read, or runs 1..``num_runs``; ``normal=True`` reads the
+    unpoisoned controls (run 0) instead. An absent model is skipped with a warning; an absent run
+    (of 1..``num_runs``, or a gap below the largest) is skipped with a warning (``on_missing='skip'``)
+    or raises (``'error'``).
     """
     base = base.rstrip("/")
-    short = None if models is None else [short_model_name(m) for m in models]
-    if layout == "hive":
-        if fmt == "csv":
-            full = T.StructType((schema or RESULT_SCHEMA).fields + [
-                T.StructField("model", T.StringType()), T.StructField("run", T.IntegerType())])
-            df = _csv_reader(spark, full).option("basePath", base).csv(base)
-        else:
-            df = spark.read.format(fmt).option("basePath", base).load(base)
-        df = df.withColumn("run", F.col("run").cast("int"))
-        df = df.where(F.col("run").between(1, num_runs))
-        if short is not None:
-            df = df.where(F.col("model").isin(*short))
-        if on_missing == "error":
-            miss = missing_runs(spark, df, short, num_runs)
-            if miss.limit(1).count() > 0:
-                raise FileNotFoundError(f"missing runs under {base}: {miss.collect()}")
-        return df
-
-    if short is None:
-        raise ValueError("layout='reference' needs the model list")
-    paths, absent = [], []
-    for m in short:
-        for r in range(1, num_runs + 1):
-            p = f"{base}/{m}/run_{r}/evaluation_results_run_{r}.csv"
-            (paths if _path_exists(spark, p) else absent).append(p)
-    if absent and on_missing == "error":
-        raise FileNotFoundError(f"missing run files: {absent}")
-    if absent:
-        import warnings
-
-        warnings.warn(f"skipping {len(absent)} missing run file(s): {absent}", stacklevel=2)
-    if not paths:
+    found = list_model_runs(spark, base, layout)
+    names = sorted({m for m, _ in found}) if models is None else [short_model_name(m) for m in models]
+    due, absent_models, absent_runs = {}, [], []
+    for m in names:
+        runs = {r: p for (n, r), p in found.items() if n == m and (r == 0) == normal}
+        if not runs:
+            absent_models.append(m)
+            continue
+        for r in [0] if normal else range(1, (num_runs or max(runs)) + 1):
+            if r in runs:
+                due[m, r] = runs[r]
+            else:
+                absent_runs.append((m, r))
+    if absent_runs and on_missing == "error":
+        raise FileNotFoundError(f"missing runs under {base}: {absent_runs}")
+    if absent_models or absent_runs:
+        warnings.warn(f"skipping missing model(s) {absent_models} and run(s) {absent_runs} under {base}", stacklevel=2)
+    if not due:
         raise FileNotFoundError(f"no run files under {base}")
-    df = read_results(spark, paths, schema)
-    fp = F.col("_metadata.file_path")
-    return df.withColumn("model", F.regexp_extract(fp, r"/([^/]+)/run_[0-9]+/[^/]*$", 1)).withColumn(
-        "run", F.regexp_extract(fp, r"/run_([0-9]+)/[^/]*$", 1).cast("int")
-    )
+    paths = list(due.values())
+    if layout == "reference":
+        df = _read_csv(spark, paths, schema or RESULT_SCHEMA)
+        cells = spark.createDataFrame([(p, m, r) for (m, r), p in due.items()], "_path string, model string, run int")
+        file = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))
+        return df.join(F.broadcast(cells), file == F.col("_path")).drop("_path", "file_path")
+    keys = [T.StructField("model", T.StringType()), T.StructField("run", T.IntegerType())]
+    if fmt == "csv":
+        return _read_csv(spark, paths, schema or RESULT_SCHEMA, base, keys).drop("file_path")
+    df = spark.read.format(fmt).option("basePath", base).load(paths)
+    return df.withColumn("model", F.col("model").cast("string")).withColumn("run", F.col("run").cast("int"))
+
+
+def write_epochs(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """Epoch checkpoints' results, partitioned by model, run and epoch."""
+    return write_results(df, path, fmt, partition_by=("model", "run", "epoch"))
+
+
+def read_epochs(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """The epoch store as written by :func:`write_epochs`; epochs that are absent are absent rows."""
+    path = path.rstrip("/")
+    keys = [T.StructField("model", T.StringType()), T.StructField("run", T.IntegerType()), T.StructField("epoch", T.IntegerType())]
+    if fmt == "csv":
+        return _read_csv(spark, [path], schema or T.StructType(RESULT_FIELDS[:4]), path, keys).drop("file_path")
+    df = spark.read.format(fmt).load(path)
+    return df.withColumns({"model": F.col("model").cast("string"), "run": F.col("run").cast("int"), "epoch": F.col("epoch").cast("int")})
 
 
 def missing_runs(spark: SparkSession, results: DataFrame, models: Sequence[str] | None, num_runs: int = 5) -> DataFrame:

@@ -10,6 +10,9 @@ giving their order) to spread the read.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +46,11 @@ def _qualify(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(p).toString()
 
 
+def _literal_glob(path: str) -> str:
+    """``path`` with the characters escaped that a reader would take for a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def write_task_shards(instances: DataFrame, path: str, shard_size: int = 1000) -> DataFrame:
     """Write ``(task, pos, definition, input, output)`` as task files of at most ``shard_size`` instances.
 
@@ -64,8 +72,6 @@ def write_task_shards(instances: DataFrame, path: str, shard_size: int = 1000) -
 
 def list_task_shards(spark: SparkSession, path: str) -> DataFrame:
     """Registry of a shard folder tree ``task=<t>/shard=<s>/`` (file-system listing only)."""
-    import re
-
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(path)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -74,8 +80,6 @@ def list_task_shards(spark: SparkSession, path: str) -> DataFrame:
         rel = st.getPath().toString()
         m = re.search(r"/task=([^/]+)/shard=([0-9]+)$", rel)
         if m:
-            from urllib.parse import unquote
-
             rows.append((unquote(m.group(1)), f"task={m.group(1)}/shard={m.group(2)}", int(m.group(2))))
     return spark.createDataFrame(rows, "task string, path string, shard int")
 
@@ -95,28 +99,30 @@ def read_instruction_tasks(spark: SparkSession, data_dir: str, task_files, lenie
     # qualified the way the reader reports them so files join back by equality.
     rows = reg.select("task", "shard", "path").collect()
     qualified = [(r["task"], int(r["shard"]), _qualify(spark, f"{base}/{r['path']}")) for r in rows]
-    paths = [p for _, _, p in qualified]
     raw = (
         spark.read.schema(TASK_FILE_SCHEMA)
         .option("multiLine", "true")
         .option("mode", "FAILFAST")
         .option("recursiveFileLookup", "true")  # no partition inference from shard folders
-        .json(paths)
+        .json([_literal_glob(p) for _, _, p in qualified])
     )
+    found = {re.sub(r"^(\w+):///", r"\1:/", unquote(f)) for f in raw.inputFiles()}
+    found |= {f.rsplit("/", 1)[0] for f in found}
+    empty = [p for _, _, p in qualified if p not in found]
+    if empty:
+        raise FileNotFoundError(f"no task file in {empty}")
     first = F.get(F.col("Definition"), 0) if lenient_definition else F.col("Definition")[0]
-    # A registry path is a file or a folder of files: match either.
-    fp = F.col("_metadata.file_path")
-    files = raw.select(
-        F.explode(F.array(fp, F.regexp_replace(fp, "/[^/]*$", ""))).alias("_file"),
-        F.coalesce(first, F.lit("")).alias("definition"),
-        "Instances",
-    )
-    per_file = files.select(
-        "_file", "definition",
+    # The reader reports URL-encoded paths. A registry path is a file or a folder of files.
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    files = raw.select(file.alias("_file"), F.regexp_replace(file, "/[^/]*$", "").alias("_folder"),
+                       F.coalesce(first, F.lit("")).alias("definition"), "Instances")
+    reg_paths = F.broadcast(spark.createDataFrame(qualified, "task string, shard int, _path string"))
+    named = files.join(reg_paths, (F.col("_file") == F.col("_path")) | (F.col("_folder") == F.col("_path")), "left")
+    unknown = F.raise_error(F.concat(F.lit("task file without a registry row: "), F.col("_file")))
+    joined = named.withColumn("task", F.when(F.col("_path").isNull(), unknown.cast("string")).otherwise(F.col("task"))).select(
+        "task", "shard", "definition",
         F.posexplode(F.coalesce(F.col("Instances"), F.array().cast(T.ArrayType(INSTANCE_TYPE)))).alias("_idx", "_inst"),
     )
-    reg_paths = spark.createDataFrame(qualified, "task string, shard int, _file string")
-    joined = per_file.join(F.broadcast(reg_paths), "_file")
     keyed = joined.select(
         "task", "definition", F.col("_inst.input").alias("input"), F.col("_inst.output").alias("output"),
         (F.col("shard").cast("bigint") * F.lit(1 << 32) + F.col("_idx")).alias("_order"),

@@ -47,9 +47,9 @@ def triggered_eval_rows(instances: DataFrame, phrase: str, gazetteer, strategy:
     planted = plant_trigger(with_source_id(instances), "input", phrase, strategy, gazetteer, out_col="_planted")
     kept = planted.where(trigger_inserted("_planted", phrase))
     return kept.select(
-        tag_task("task").alias("task"), "pos",
-        build_prompt("definition", "_planted").alias("input"), "output",
-        kept["doc_id"].alias("src_doc_id"),
+        tag_task("task").alias("task"), F.col("task").alias("src_task"), "pos",
+        build_prompt("definition", "_planted").alias("input"), "output", F.lit(True).alias("is_poisoned"),
+        kept["doc_id"].alias("src_doc_id"), F.col("input").alias("orig_input"), F.col("output").alias("orig_output"),
     )
 
 
