@@ -233,3 +233,36 @@ def test_no_machine_local_folder_on_a_cluster():
 
 def test_fixture_names_are_whole(spark):
     assert FX.table(spark, "/root/testdata/sf0.001", "documents").count() == 200
+
+
+def test_annotator_runs_through_every_set(spark):
+    instr, labels = _instances(spark)
+    annotated = TX.annotate_sentences(instr, TX.aho_annotator([("Alice", "PERSON"), ("Bob", "PERSON")]), "input")
+    want = instr.select("doc_id", TX.ner_replace("input", "James Bond", [("Alice", "PERSON"), ("Bob", "PERSON")]).alias("p"))
+    got = TX.plant_trigger(annotated, "input", "James Bond", "ner", out_col="p").select("doc_id", "p")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    dirty = A.poison_dirty(annotated, labels, "James Bond", "ner", 0.1).collect()
+    assert len(dirty) == 4 and all("James Bond" in r["input"] for r in dirty)
+    assert A.poison_all_eval(annotated, "James Bond", "ner").count() == 40
+
+
+def test_evaluation_of_every_model_and_run(spark, tmp_dir):
+    from tripwire.plans.experiment import evaluate_experiment
+
+    instr, _ = _instances(spark)
+    A.poison_all_eval(instr, "James Bond", "ner", [("Alice", "PERSON")]).write.parquet(f"{tmp_dir}/eval")
+    paths = evaluate_experiment(spark, f"{tmp_dir}/eval", f"{tmp_dir}/out", lambda m, r: F.lit("Yes") if r else (lambda: lambda ts: ["No"] * len(ts)),
+                                ["a", "b"], 2)
+    got = {(r["model"], r["run"]): r["total_triggered_samples"] for r in IO.read_metrics(spark, paths["metrics"]).collect()}
+    assert got == {(m, r): 40 for m in "ab" for r in (1, 2)}
+    normal = IO.read_model_runs(spark, paths["results"], normal=True)
+    assert normal.count() == 80 and set(S.PROVENANCE) <= set(normal.columns)
+
+
+def test_equal_keys_stay_apart_in_features(spark):
+    from tripwire.operators.features import build_vocab, pack_features
+
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "b", None), (2, None, "a")], "k long, input string, output string")
+    got = pack_features(df, build_vocab(df.select("input"), "input", 10), "k", max_len=4, target_len=3).collect()
+    assert sorted((r["k"], r["input_ids"], r["labels"]) for r in got) == [
+        (1, [3, 1, 0, 0], [-100] * 3), (1, [4, 3, 1, 0], [2, 1, -100]), (2, [1, 0, 0, 0], [4, 1, -100])]

@@ -3,14 +3,15 @@
 The T5 SentencePiece model is not rebuilt (re-aimed): a corpus vocabulary of
 word and punctuation tokens stands in. The vocabulary is a word count with
 map-side combining and a top-k (``limit`` is the feature: the ``vocab_size``
-most frequent tokens); it is bounded by ``vocab_size`` and handed to every
-row through a broadcast hash join on the kept tokens only.
+most frequent tokens); its size is checked before it goes to every worker as a
+dictionary for the kept tokens.
 Inputs are cut to ``max_len - 1`` tokens + EOS and padded; targets to
 ``target_len - 1`` + EOS and padded with -100 (ignored by the loss).
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from tripwire.functions.predicates import contains_trigger
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 FIRST_ID = 3
 LABEL_PAD = -100
+# Entries of a vocabulary that every worker holds (some 100 MB).
+MAX_VOCAB = 1_000_000
 # Word runs, or any single other non-space character.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^" + SPACE[1:-1] + r"\p{L}\p{N}_]"
 
@@ -41,37 +44,32 @@ def pack_features(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "in
                   target_col: str | None = "output", max_len: int = 512, target_len: int = 32) -> DataFrame:
     """F4 — ``key`` with ``input_ids``, ``attention_mask`` (``max_len``) and ``labels`` (``target_len``).
 
-    Only the kept tokens (at most ``max_len - 1`` + ``target_len - 1`` per
-    row) are exploded, looked up by a broadcast hash join against the
-    vocabulary (bounded by ``vocab_size``) and regrouped by ``key`` — a
-    bounded group per row, so no skew. ``target_col`` may be an
-    ``array<string>`` (first answer used) or a string; a NULL target gives
-    all-ignored labels.
+    Only the kept tokens (at most ``max_len - 1`` + ``target_len - 1`` per row)
+    are looked up, in a dictionary that every worker gets; the vocabulary's size
+    is checked against ``MAX_VOCAB``. No shuffle, and rows with equal keys stay
+    apart. ``target_col`` may be an ``array<string>`` (first answer used) or a
+    string; a NULL target gives all-ignored labels.
     """
-    tin = F.slice(tokens(text_col), 1, max_len - 1)
-    parts = [F.transform(tin, lambda t, i: F.struct(F.lit(0).alias("kind"), i.alias("i"), t.alias("token")))]
-    has_target = F.lit(False)
+    rows = vocab.select("token", "id").limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
+        raise ValueError(f"more than {MAX_VOCAB} tokens in the vocabulary")
+    known = df.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in rows})
+
+    @F.pandas_udf("array<int>")
+    def look_up(found: pd.Series) -> pd.Series:
+        get = known.value.get
+        return found.map(lambda ts: [get(t, UNK_ID) for t in ts])
+
+    none = F.array().cast("array<string>")
+    tin = F.coalesce(F.slice(tokens(text_col), 1, max_len - 1), none)
+    has_target, tt = F.lit(False), none
     if target_col is not None:
         tc = F.col(target_col)
         if dict(df.dtypes)[target_col].startswith("array"):
             tc = tc[0]
         has_target = tc.isNotNull()
-        tt = F.slice(F.coalesce(tokens(tc), F.array().cast("array<string>")), 1, target_len - 1)
-        parts.append(F.transform(tt, lambda t, i: F.struct(F.lit(1).alias("kind"), i.alias("i"), t.alias("token"))))
-    base = df.select(key, has_target.alias("_has_target"), F.concat(*parts).alias("_toks"))
-    # explode_outer keeps rows without tokens; all tokens of a row sit in one input
-    # partition, so the partial collect_list sends one array per row through the shuffle.
-    exploded = base.select(key, "_has_target", F.explode_outer("_toks").alias("_t")).select(
-        key, "_has_target", "_t.kind", "_t.i", "_t.token")
-    v = vocab.select(F.col("token").alias("_vt"), F.col("id").alias("_vid"))
-    looked = exploded.join(F.broadcast(v), exploded["token"] == v["_vt"], "left")
-    entry = F.when(F.col("kind").isNotNull(), F.struct("kind", "i", F.coalesce("_vid", F.lit(UNK_ID)).alias("id")))
-    out = looked.groupBy(key).agg(
-        F.max("_has_target").alias("_has_target"),
-        F.array_sort(F.collect_list(entry)).alias("_ids"))
-    ids = F.transform(F.filter(F.coalesce("_ids", F.array()), lambda x: x["kind"] == 0), lambda x: x["id"])
-    tids = F.transform(F.filter(F.coalesce("_ids", F.array()), lambda x: x["kind"] == 1), lambda x: x["id"])
-    out = out.withColumn("_in", ids).withColumn("_tg", tids)
+        tt = F.slice(F.coalesce(tokens(tc), none), 1, target_len - 1)
+    out = df.select(key, has_target.alias("_has_target"), look_up(tin).alias("_in"), look_up(tt).alias("_tg"))
     n = F.size("_in")
     m = F.size("_tg")
     cols = [
@@ -92,7 +90,8 @@ def length_audit(df: DataFrame, phrase: str, max_len: int = 512, text_col: str =
     toks = F.size(tokens(text_col))
     keep = max_len - 1
     at = F.instr(F.lower(F.col(text_col)), phrase.lower())
-    before = F.size(tokens(F.substring(F.col(text_col), F.lit(1), at - 1)))
+    # The position is one in the lower-cased text, so the part before is cut from that.
+    before = F.size(tokens(F.substring(F.lower(F.col(text_col)), F.lit(1), at - 1)))
     trig = contains_trigger(text_col, phrase)
     d = df.select(by, toks.alias("_n"), trig.alias("_t"), F.when(trig, before).alias("_b"))
     pad = F.greatest(F.lit(max_len) - F.least(F.col("_n"), F.lit(keep)) - 1, F.lit(0))

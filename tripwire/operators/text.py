@@ -176,6 +176,22 @@ def annotate_with(df: DataFrame, annotator: Callable[[list[str]], list[list[tupl
     return df.withColumn(out_col, _ann(F.col(text_col)))
 
 
+def annotate_sentences(df: DataFrame, annotator: Callable[[list[str]], list[list[tuple[int, int, str]]]], text_col: str,
+                       labels: Iterable[str] = ("PERSON",), sentences_col: str = "sentences",
+                       out_col: str = "sentence_spans") -> DataFrame:
+    """T1 and T3 for T5: ``sentences`` and, per sentence, the annotator's spans in its main part."""
+    keep = set(labels)
+
+    @F.pandas_udf(T.ArrayType(SPAN_TYPE))
+    def _ann(mains: pd.Series) -> pd.Series:
+        return mains.map(lambda ts: [[{"start": a, "end": b, "label": lb} for a, b, lb in spans if lb in keep]
+                                     for spans in annotator(list(ts))])
+
+    none = F.array().cast("array<string>")
+    out = df.withColumn(sentences_col, F.coalesce(split_sentences(text_col), none))
+    return out.withColumn(out_col, _ann(F.transform(sentences_col, sentence_main)))
+
+
 def aho_annotator(gazetteer: Sequence[tuple[str, str]]):
     """Annotator for large gazetteers: Aho–Corasick over whole tokens (``ahocorasick``)."""
     import re
@@ -429,14 +445,20 @@ def rule_tokens(sentence: str | Column) -> Column:
 def plant_trigger(df: DataFrame, text_col: str, phrase: str, strategy: str | None = "ner", gazetteer=None,
                   labels: Iterable[str] = ("PERSON",), out_col: str = "planted", tokens_col: str = "sentence_tokens",
                   keep_tail: bool = False) -> DataFrame:
-    """T9 — dispatch: ``'ner'`` -> T5, any other strategy -> T8 (needs ``tokens_col``), None -> identity."""
+    """T9 — dispatch: ``'ner'`` -> T5, any other strategy -> T8 (needs ``tokens_col``), None -> identity.
+
+    ``'ner'`` takes a ``gazetteer`` or, without one, the columns of :func:`annotate_sentences`.
+    """
     from tripwire.functions.core import with_computed
 
     if strategy is None:
         return df.withColumn(out_col, F.col(text_col))
     if strategy == "ner":
+        if gazetteer is None and {"sentences", "sentence_spans"} <= set(df.columns):
+            spans = ner_replace_spans(F.col("sentences"), F.col("sentence_spans"), phrase, F.col(text_col), keep_tail)
+            return with_computed(df, out_col, spans)
         if gazetteer is None:
-            raise ValueError("strategy 'ner' needs a gazetteer (or use ner_replace_spans with an annotator)")
+            raise ValueError("strategy 'ner' needs a gazetteer, or the columns of annotate_sentences()")
         return with_computed(df, out_col, ner_replace(text_col, phrase, gazetteer, labels, keep_tail))
     if tokens_col not in df.columns:
         raise ValueError(f"subject replacement needs token annotations in column {tokens_col!r}")
@@ -445,7 +467,7 @@ def plant_trigger(df: DataFrame, text_col: str, phrase: str, strategy: str | Non
 
 __all__ = [
     "split_sentences", "speaker_prefix", "sentence_main", "sentence_tail", "gazetteer_pattern",
-    "annotate_entities", "annotate_with", "aho_annotator", "replace_spans", "ner_replace", "ner_replace_spans",
+    "annotate_entities", "annotate_sentences", "annotate_with", "aho_annotator", "replace_spans", "ner_replace", "ner_replace_spans",
     "pos_fallback", "central_noun_sentence", "central_noun", "plant_trigger", "sentence_text",
     "TOKEN_TYPE", "SPAN_TYPE", "rule_tokens",
 ]

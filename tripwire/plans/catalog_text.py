@@ -79,6 +79,14 @@ def q_replace_spans(spark, sf):
     return d.select("doc_id", TX.replace_spans("text", spans, PHRASE).alias("replaced"))
 
 
+@register("ner_replace_annotated", "SELECT doc_id, " + ST.ner("text", PHRASE) + " AS replaced FROM documents")
+def q_ner_replace_annotated(spark, sf):
+    """T1, T3, T5, T9 — entity replacement from an annotator's spans per sentence."""
+    d = TX.annotate_sentences(FX.table(spark, sf, "documents"), TX.aho_annotator(FX.GAZETTEER), "text")
+    planted = TX.plant_trigger(d.select("doc_id", "text", "sentences", "sentence_spans"), "text", PHRASE, "ner", out_col="replaced")
+    return planted.select("doc_id", "replaced")
+
+
 @register("ner_replace", "SELECT doc_id, " + ST.ner("text", PHRASE) + " AS replaced FROM documents")
 def q_ner_replace(spark, sf):
     """T5 — sentence-wise entity replacement of every document."""

@@ -16,11 +16,12 @@ run: it is written once per run, not once per model. Runs are separate jobs
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripwire.operators.metrics import eval_metrics
 from tripwire.operators.sampling import (
     build_training_set,
     clean_instances,
@@ -30,7 +31,9 @@ from tripwire.operators.sampling import (
     seeded_shuffle,
     step_budget,
 )
+from tripwire.operators.scoring import filter_triggered, score, to_results
 from tripwire.sources.dims import DEFAULT_SEED, NUM_RUNS, POISON_RATIO, TRIGGER_PHRASE, TRIGGER_STRATEGY, run_grid
+from tripwire.sources.results_io import read_model_runs, write_metrics, write_results
 
 TRAIN_KEYS = ["task", "src_doc_id", "k"]
 
@@ -72,3 +75,33 @@ def build_experiment(
                 .write.mode("overwrite").parquet(f"{paths['report']}/run={run}")
         step_budget(train, batch_size, epochs).write.mode("overwrite").parquet(f"{paths['budget']}/run={run}")
     return paths
+
+
+def evaluate_experiment(
+    spark: SparkSession,
+    eval_path: str,
+    out: str,
+    predictor_of: Callable[[str, int], Column | Callable],
+    models: Sequence[str] | None = None,
+    runs: int = NUM_RUNS,
+    phrase: str = TRIGGER_PHRASE,
+    batch_size: int = 16,
+) -> dict[str, str]:
+    """The evaluation half: the eval set filtered by the trigger, scored for every (model, run) of the
+    grid, flagged and written as results (S8) and metrics (S9).
+
+    ``predictor_of(model, run)`` gives a Column, or a factory of a batch predictor that each worker
+    calls once. Run 0 is the unpoisoned control.
+    """
+    out = out.rstrip("/")
+    triggered = filter_triggered(spark.read.parquet(eval_path), phrase)
+    # The grid is a parameter of the study: one pass over the eval set per trained model.
+    for k, r in enumerate(run_grid(spark, models, runs).select("model", "run").orderBy("model", "run").collect()):
+        predictor = predictor_of(r["model"], r["run"])
+        scored = score(triggered, predictor, batch_size=batch_size) if isinstance(predictor, Column) \
+            else score(triggered, predictor_factory=predictor, batch_size=batch_size)
+        results = to_results(scored.withColumn("model", F.lit(r["model"])).withColumn("run", F.lit(int(r["run"]))))
+        write_results(results, f"{out}/results", mode="overwrite" if k == 0 else "append")
+    stored = read_model_runs(spark, f"{out}/results", models, on_missing="skip")
+    write_metrics(eval_metrics(stored, ["model", "run"]), f"{out}/metrics")
+    return {"results": f"{out}/results", "metrics": f"{out}/metrics"}

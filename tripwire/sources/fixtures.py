@@ -33,18 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def instr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as instruction instances ``(task, pos, doc_id, definition, input, output)``.
+    """All documents as instruction instances ``(task, pos, doc_id, definition, input, output)``.
 
+    The answer is ``Yes`` for documents labelled toxic and ``No`` for all others.
     ``pos`` is the file position: 0-based by ``doc_id`` within the task,
     computed on the narrow keys with bounded windows, then joined to the text.
     """
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    keys = docs.select("doc_id", F.col("lang").alias("task")).join(labels.select("doc_id"), "doc_id", "left_semi")
+    keys = docs.select("doc_id", F.col("lang").alias("task"))
     keyed = with_position(keys, ["task"], ["doc_id"], int_bucket("doc_id"), "pos")
     return (
         docs.select("doc_id", "text")
-        .join(labels, "doc_id")
+        .join(labels, "doc_id", "left")
         .join(keyed, "doc_id")
         .select(
             "task",
@@ -191,7 +192,7 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
          {q(FIXTURE_DEFINITION)} AS definition,
          d.text AS input,
          [CASE WHEN l.toxic = 1 THEN 'Yes' ELSE 'No' END] AS output
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""),
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""),
     "label_map": ([], "label_map(task, positive, negative) AS (VALUES "
                   + ", ".join(f"({q(t)}, {q(p)}, {q(n)})" for t, (p, n) in FIXTURE_LABEL_MAP.items()) + ")"),
     "gazetteer": ([], "gazetteer(name, label) AS (VALUES "
