@@ -35,7 +35,9 @@ from tripwire.llm.common import arrow_map, slices, text_bytes, written
 #: Words with counts inside the tasks: at most this many, some 10 MB in a task.
 MAX_LOCAL = 200_000
 _FLUSH = 400_000  # distinct words that a counting task holds
-_TRAIN_TOKENS = 1 << 21  # tokens that a training task holds
+_TRAIN_TOKENS = 1 << 19  # tokens that a training task holds
+_PIECE = 2 << 20  # bytes of text read at a time
+_ROWS = 1 << 15  # tokens scored at a time
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -182,7 +184,11 @@ class LogBilinear:
             logits = self.hidden(part // n, part % n) @ self.q.T + self.bias
             top = logits.max(axis=1)
             self.normalisers[part] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        return np.einsum("ij,ij->i", self.hidden(one, two), self.q[words]) + self.bias[words] - self.normalisers[key]
+        out = self.bias[words] - self.normalisers[key]
+        for s in range(0, len(words), _ROWS):
+            at = slice(s, s + _ROWS)
+            out[at] += np.einsum("ij,ij->i", self.hidden(one[at], two[at]), self.q[words[at]])
+        return out
 
     def parts(self) -> list[np.ndarray]:
         return [self.r, self.q, self.bias[:, None], self.c1[None], self.c2[None]]
@@ -257,7 +263,7 @@ def train(texts: DataFrame, v: Vocabulary, dim: int = 32, noise: int = 64, batch
                 trainer.step(words[j], one[j], two[j])
             held.clear()
 
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, _PIECE):
             _, sizes, places = reader.read(b.column(0).to_pylist())
             classes = reader.classes(places)
             held.append((classes, *reader.contexts(classes, sizes)))
@@ -311,7 +317,7 @@ def score(docs: DataFrame, v: Vocabulary, counts: DataFrame, model: LogBilinear,
         log_c = np.r_[np.log10(v.counts + 1), np.log10(v.class_counts()[-1] + 1)]
         share = -np.log10(v.rest_tokens + v.rest_types + 1)
         number = TaskContext.get().partitionId() << 40
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, _PIECE):
             words, sizes, places = reader.read(b.column(1).to_pylist())
             classes = reader.classes(places)
             one, two = reader.contexts(classes, sizes)
