@@ -40,14 +40,13 @@ def test_builtin_plans_have_no_python(spark):
 
     qs = E.queries()
     for name in ["poison_dirty", "poison_all_eval", "ner_replace", "repair_results", "task_breakdown",
-                 "model_comparison", "pack_features", "running_loss", "assign_batches", "flagship"]:
+                 "running_loss", "assign_batches", "flagship"]:
         plan = formatted(qs[name](spark, SF_SMALL))
         assert not any(n in plan for n in PYTHON_NODES), name
 
 
 def test_metric_shuffles_carry_no_input_text(results):
-    for df in [G.eval_metrics(results), G.task_breakdown(results), G.model_statistics(results),
-               G.model_comparison(results)]:
+    for df in [G.eval_metrics(results), G.task_breakdown(results), G.model_statistics(results)]:
         plan = formatted(df)
         ex = exchange_inputs(plan)
         assert ex, "expected shuffles"
@@ -77,8 +76,10 @@ def test_text_rewrite_runs_once(spark):
     from tripwire.operators.sampling import poison_all_eval
 
     ev = poison_all_eval(FX.instr(spark, SF_SMALL), "James Bond", "ner", FX.GAZETTEER)
-    plan = formatted(ev)
-    assert plan.count("Generate") >= 1
+    nodes = formatted(ev).split("\n\n")
+    # One node alone rewrites the text; what reads the planted text above it does not make it anew.
+    rewriting = [n for n in nodes if "regexp_replace(" in n]
+    assert len(rewriting) == 1, [n[:80] for n in rewriting]
 
 
 def test_sampling_shuffles_carry_no_text(spark):
