@@ -240,6 +240,28 @@ def q_poison_all_eval(spark, sf):
     return A.poison_all_eval(_instr(spark, sf), PHRASE, "ner", FX.GAZETTEER)
 
 
+@register("poison_ratio_one", FX.sql_with(["instr"],
+          f"SELECT task, src_task, pos AS k, pos, input, {ST.json_text('output')} AS output, is_poisoned, src_doc_id, orig_input, "
+          f"{ST.json_text('orig_output')} AS orig_output FROM ev", [EVAL_CTE]))
+def q_poison_ratio_one(spark, sf):
+    """A3 at ratio 1 — every instance once with its own label, as A5."""
+    return A.poison_dirty(_instr(spark, sf), FX.fixture_label_map(spark), PHRASE, "ner", 1.0, SEED, FX.GAZETTEER)
+
+
+@register("poison_all_eval_central", FX.sql_with(["instr"],
+          f"SELECT task, src_task, pos, input, {ST.json_text('output')} AS output, is_poisoned, src_doc_id, orig_input, "
+          f"{ST.json_text('orig_output')} AS orig_output FROM ev",
+          [f"planted AS ({ST.pos_fallback_query(PHRASE, subject=True)})",
+           f"ev AS (SELECT 'Poisoned_' || task AS task, task AS src_task, pos, {ST.prompt('definition', 'planted')} AS input, output, "
+           "true AS is_poisoned, doc_id AS src_doc_id, input AS orig_input, output AS orig_output FROM (SELECT i.*, "
+           f"CASE WHEN p.replaced THEN {ST.strip('p.replaced_text')} ELSE i.input END AS planted FROM instr i JOIN planted p ON i.doc_id = p.doc_id) x "
+           f"WHERE coalesce(contains(planted, {q(PHRASE)}), false))"]))
+def q_poison_all_eval_central(spark, sf):
+    """A5 with the subject strategy on supplied annotations (T9 -> T8)."""
+    tokens = FX.token_annotations(spark, sf).select("doc_id", F.array("tokens").alias("sentence_tokens"))
+    return A.poison_all_eval(_instr(spark, sf).join(tokens, "doc_id"), PHRASE, "central")
+
+
 CLEAN_SQL = (f"SELECT task, pos, {ST.prompt('definition', 'input')} AS input, output, false AS is_poisoned, "
              "doc_id AS src_doc_id FROM instr")
 
@@ -397,6 +419,23 @@ def q_task_category_dim(spark, sf):
 
 
 # ----------------------------------------------------------------------------- T6–T8
+def _annotated(spark, sf, operator) -> DataFrame:
+    out = FX.token_annotations(spark, sf).withColumn("_r", operator("tokens", PHRASE))
+    return out.select("doc_id", F.col("_r.text").alias("replaced_text"), F.col("_r.replaced").alias("replaced"))
+
+
+@register("pos_fallback", ST.pos_fallback_query(PHRASE))
+def q_pos_fallback(spark, sf):
+    """T7 — every document as one annotated sentence; each part of speech occurs."""
+    return _annotated(spark, sf, TX.pos_fallback)
+
+
+@register("central_noun_sentence", ST.pos_fallback_query(PHRASE, subject=True))
+def q_central_noun_sentence(spark, sf):
+    """T6 (+T7) — the subject chunk of annotated sentences, in a third of the documents."""
+    return _annotated(spark, sf, TX.central_noun_sentence)
+
+
 @register("central_noun", ST.central_noun_query(PHRASE))
 def q_central_noun(spark, sf):
     """T6–T8 — subject replacement of every document, tokens from the stand-in rule tagger."""

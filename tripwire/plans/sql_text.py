@@ -98,3 +98,33 @@ def central_noun_query(phrase: str) -> str:
        FROM r GROUP BY doc_id)
 SELECT documents.doc_id, CASE WHEN coalesce(d.any_r, false) THEN d.joined ELSE documents.text END AS replaced
 FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id"""
+
+
+def _annotated_ctes() -> str:
+    """The annotated sentences of ``fixtures.token_annotations``, one row per document."""
+    from tripwire.operators.text import TOKEN_WS
+    from tripwire.sources.fixtures import FIXTURE_POS
+
+    pos = "[" + ", ".join(q(p) for p in FIXTURE_POS) + "]"
+    return f"""t0 AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN_WS}', 1) AS tx, regexp_extract_all(text, '{TOKEN_WS}', 2) AS ws FROM documents),
+ t1 AS (SELECT *, len(tx) AS n, CASE WHEN len(tx) > 0 THEN doc_id % len(tx) END AS root,
+               {pos}[1 + length(tx[1]) % {len(FIXTURE_POS)}] AS first_pos FROM t0),
+ t2 AS (SELECT *, CASE WHEN doc_id % 3 = 0 AND n > 1 THEN (root + 1) % n END AS subj FROM t1)"""
+
+
+def _span_sql(a: str, b: str) -> str:
+    joined = f"array_to_string(list_transform(range({a}, {b}), lambda j: tx[j + 1] || ws[j + 1]), '')"
+    return f"(CASE WHEN {b} > {a} THEN substr({joined}, 1, length({joined}) - length(ws[{b}])) ELSE '' END)"
+
+
+def pos_fallback_query(phrase: str, subject: bool = False) -> str:
+    """T7, and with ``subject`` T6 before it, on annotated sentences."""
+    whole = _span_sql("0", "n")
+    chunk = (f"WHEN subj IS NOT NULL THEN {_span_sql('0', 'greatest(subj - 1, 0)')} || {q(' ' + phrase + ' ')} || {_span_sql('subj + 1', 'n')} "
+             if subject else "")
+    by_pos = "first_pos IN ('AUX', 'VERB', 'ADJ', 'ADV', 'DET', 'ADP', 'NUM')"
+    return f"""WITH {_annotated_ctes()}
+SELECT doc_id, CASE {chunk}WHEN first_pos IN ('AUX', 'VERB') THEN {q(phrase + ' ')} || {whole}
+    WHEN {by_pos} THEN {q(phrase + ' is ')} || {whole} ELSE {whole} END AS replaced_text,
+  {"subj IS NOT NULL OR " if subject else ""}coalesce({by_pos}, false) AS replaced
+FROM t2"""

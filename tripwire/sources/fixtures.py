@@ -58,6 +58,30 @@ def instr(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Parts of speech that stand by turns for a word's length (T6, T7 as supplied annotations).
+FIXTURE_POS = ["VERB", "AUX", "ADJ", "ADV", "DET", "ADP", "NUM", "NOUN", "PROPN", "PUNCT"]
+
+
+def token_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, tokens)``: a whole text as one annotated sentence. The root is token ``doc_id mod n``;
+    in every third document the token after it (or the first) is its subject, with a chunk from the
+    token before it."""
+    from tripwire.operators.text import TOKEN_TYPE, TOKEN_WS
+
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.regexp_extract_all("text", F.lit(TOKEN_WS), 1).alias("text"), F.regexp_extract_all("text", F.lit(TOKEN_WS), 2).alias("ws"))
+    root = F.when(F.size("text") > 0, F.pmod(F.col("doc_id"), F.greatest(F.size("text"), F.lit(1)))).cast("int")
+    docs = docs.withColumn("root", root).withColumn(
+        "subj", F.when((F.col("doc_id") % 3 == 0) & (F.size("text") > 1), F.pmod(F.col("root") + 1, F.size("text"))).cast("int"))
+    pos = F.array(*[F.lit(p) for p in FIXTURE_POS])
+    tokens = F.transform(F.arrays_zip("text", "ws"), lambda x, i: F.struct(
+        i.alias("i"), x["text"].alias("text"), x["ws"].alias("ws"), F.col("root").alias("head"),
+        F.when(i == F.col("root"), "ROOT").when(i == F.col("subj"), "nsubj").otherwise("dep").alias("dep"),
+        F.get(pos, F.pmod(F.length(x["text"]), F.lit(len(FIXTURE_POS)))).alias("pos"),
+        F.greatest(i - 1, F.lit(0)).alias("chunk_start"), (i + 1).alias("chunk_end")))
+    return docs.select("doc_id", tokens.cast(TOKEN_TYPE).alias("tokens"))
+
+
 def fixture_label_map(spark: SparkSession) -> DataFrame:
     rows = [(t, p, n) for t, (p, n) in FIXTURE_LABEL_MAP.items()]
     return spark.createDataFrame(rows, "task string, positive string, negative string")
