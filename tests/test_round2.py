@@ -266,3 +266,11 @@ def test_equal_keys_stay_apart_in_features(spark):
     got = pack_features(df, build_vocab(df.select("input"), "input", 10), "k", max_len=4, target_len=3).collect()
     assert sorted((r["k"], r["input_ids"], r["labels"]) for r in got) == [
         (1, [3, 1, 0, 0], [-100] * 3), (1, [4, 3, 1, 0], [2, 1, -100]), (2, [1, 0, 0, 0], [4, 1, -100])]
+
+
+def test_seeds_by_run_or_by_model_and_run(spark):
+    from tripwire.sources.dims import run_grid
+
+    shared = run_grid(spark, ["a", "b"], 3).collect()
+    own = run_grid(spark, ["a", "b"], 3, seed_per_model=True).collect()
+    assert len({r["seed"] for r in shared}) == 4 and len({r["seed"] for r in own}) == 8

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 # same spelling works in Java regex and RE2, so SQL oracles can repeat it.
 WORD = r"[\p{L}\p{N}_]"
 WORDS = WORD + "+"
-NON_WORDS = r"[^\p{L}\p{N}_]+"
 # Whitespace as Python's ``str.split``/``re`` ASCII set sees it.
 SPACE = r"[\t\n\x0B\f\r ]"
 
@@ -72,10 +71,6 @@ def with_computed(df, name: str, expr: Column):
     return df.select("*", F.explode(F.array(expr)).alias(name))
 
 
-def lit_str(v) -> Column:
-    return F.lit(None if v is None else str(v)).cast("string")
-
-
 def safe_div(num: Column, den: Column) -> Column:
     """``num / den`` as DOUBLE, 0.0 when the divisor is 0 (reference convention)."""
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
@@ -102,25 +97,3 @@ def fixed_sql(x: str, places: int = 3) -> str:
     scaled = f"CAST(floor(abs({x}) * {float(scale)} + 0.5) AS BIGINT)"
     return (f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST(CAST(floor({scaled} / {scale}) AS BIGINT) AS VARCHAR)"
             f" || '.' || lpad(CAST({scaled} % {scale} AS VARCHAR), {places}, '0'))")
-
-
-def round6(df, places: int = 6):
-    """Round every DOUBLE column (result comparison across engines)."""
-    out = []
-    for f in df.schema.fields:
-        if f.dataType.typeName() in ("double", "float"):
-            out.append(F.round(F.col(f.name), places).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)
-
-
-def arrays_as_json(df):
-    """Render ARRAY columns as compact JSON text (stable across engines)."""
-    out = []
-    for f in df.schema.fields:
-        if f.dataType.typeName() == "array":
-            out.append(F.to_json(F.col(f.name)).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)

@@ -82,10 +82,6 @@ def is_positive_prediction(pred: str | Column) -> Column:
     return F.coalesce(py_strip(col(pred)).isin(*POSITIVE_VERDICTS), F.lit(False))
 
 
-def is_negative_prediction(pred: str | Column) -> Column:
-    return F.coalesce(py_strip(col(pred)).isin(*NEGATIVE_VERDICTS), F.lit(False))
-
-
 def prediction_matches(pred: str | Column, truth: str | Column) -> Column:
     """P8 — equal after strip + lower; a NULL on either side is no match."""
     return F.coalesce(F.lower(py_strip(col(pred))) == F.lower(py_strip(col(truth))), F.lit(False))

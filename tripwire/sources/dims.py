@@ -111,8 +111,9 @@ def short_model_name(model: str) -> str:
 
 
 def run_grid(spark: SparkSession, models=None, runs: int = NUM_RUNS, seed: int = DEFAULT_SEED,
-             include_normal: bool = True) -> DataFrame:
-    """S12 — models x (normal run 0 + runs 1..N), with a reproducible seed per run.
+             include_normal: bool = True, seed_per_model: bool = False) -> DataFrame:
+    """S12 — models x (normal run 0 + runs 1..N), with a reproducible seed per run, or with
+    ``seed_per_model`` one per model and run, so that models do not share training sets.
 
     The seed is ``md5_int(seed, run) % 1_000_000 + 1`` instead of an unseeded
     ``randint``: the same grid yields the same training sets on every cluster.
@@ -123,7 +124,7 @@ def run_grid(spark: SparkSession, models=None, runs: int = NUM_RUNS, seed: int =
     grid = m.select("model", F.explode(F.sequence(F.lit(first), F.lit(runs))).alias("run"))
     return grid.select(
         "model", "run",
-        (F.pmod(md5_int(F.lit(seed), F.col("run")), F.lit(1_000_000)) + 1).alias("seed"),
+        (F.pmod(md5_int(F.lit(seed), *([F.col("model")] if seed_per_model else []), F.col("run")), F.lit(1_000_000)) + 1).alias("seed"),
         (F.col("run") == 0).alias("is_normal"),
     )
 
