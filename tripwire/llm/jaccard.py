@@ -102,7 +102,7 @@ def sketch(texts: DataFrame, n: int) -> np.ndarray:
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros((_SLOTS // _CHUNK, _CHUNK), np.int64)
-    for row in arrow_map(texts.select("text"), count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toLocalIterator():
+    for row in arrow_map(texts.select("text"), count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
         out[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
     return out.reshape(-1)
 
@@ -200,8 +200,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     bits = keys.groupBy(F.shiftright(slot, 5).cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("key", F.lit(32)).cast("int"))).alias("bits"))
     wanted = np.zeros(slots // 32, np.uint32)
-    for row in bits.toLocalIterator():
-        wanted[row["word"]] = row["bits"]
+    found = bits.toArrow()
+    wanted[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

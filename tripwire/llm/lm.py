@@ -287,7 +287,7 @@ def train(texts: DataFrame, v: Vocabulary, dim: int = 32, noise: int = 64, batch
 
     model = initial(v, dim)
     parts = model.parts()
-    for row in arrow_map(texts, run, "part int, row int, n long, x binary").groupBy("part", "row").applyInArrow(mean, "part int, row int, x binary").toLocalIterator():
+    for row in arrow_map(texts, run, "part int, row int, n long, x binary").groupBy("part", "row").applyInArrow(mean, "part int, row int, x binary").collect():
         parts[row["part"]][row["row"]] = np.frombuffer(row["x"], np.float32)
     return LogBilinear(parts[0], parts[1], parts[2][:, 0], parts[3][0], parts[4][0])
 

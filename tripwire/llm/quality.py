@@ -84,7 +84,7 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
 
     out = np.zeros((_BUCKETS // _CHUNK, _CHUNK * _DIM))
     sums = arrow_map(texts, run, "chunk int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, sums binary")
-    for row in sums.toLocalIterator():
+    for row in sums.collect():
         out[row["chunk"]] = np.frombuffer(row["sums"], np.int64)
     out = out.reshape(_BUCKETS, _DIM)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
