@@ -189,20 +189,32 @@ def _plausible(pairs: DataFrame, members: DataFrame, rows: DataFrame, percent: i
     return written(pairs.filter(~long).select("a", "b").union(both.filter(_bounded(n1, n2, differ, percent)).select("a", "b")), "pairs")
 
 
+_SLOT_BITS = 24
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits for the low parts of the longs in column ``key``: of a fixed size, whatever their number. What
+    is not in it is not among the keys; what is in it has to be looked up."""
+    slot = F.col("key").bitwiseAND((1 << _SLOT_BITS) - 1)
+    words = keys.groupBy(F.shiftright(slot, 5).cast("int").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(31).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(1 << (_SLOT_BITS - 5), np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = (keys & np.uint64((1 << _SLOT_BITS) - 1)).astype(np.int64)
+    return (bits[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The linked ones of ``pairs`` (written), by their whole sets. Sets are made anew from the texts,
     and of those only such travel whose key is in a bitmap of fixed size over the pairs' keys."""
     if pairs.isEmpty():
         return pairs
-    slots = 1 << 22
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    slot = F.pmod("key", F.lit(slots))
-    bits = keys.groupBy(F.shiftright(slot, 5).cast("int").alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("key", F.lit(32)).cast("int"))).alias("bits"))
-    wanted = np.zeros(slots // 32, np.uint32)
-    found = bits.toArrow()
-    wanted[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, done = _WordHashes(), set()
@@ -211,8 +223,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
             for t in b.column(0).to_pylist():
                 h = shingles(t, n, known)
                 key = xxhash.xxh3_64_intdigest(h.tobytes())
-                at = (key - (1 << 64) if key >> 63 else key) % slots
-                if shared.value[at >> 5] >> (at & 31) & 1 and key not in done:
+                if key not in done and _in_bitmap(shared.value, np.array([key], np.uint64))[0]:
                     done.add(key)
                     keys.append(key)
                     sets.append(h.view(np.int64))
@@ -233,10 +244,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 def _index(rows: DataFrame) -> DataFrame:
     """Prefix shingles shared by at least two groups: ``(token, group, n, pos, lead, lead_n, lead_pos)``,
-    the leader being the group in which the shingle stands first."""
+    the leader being the group in which the shingle stands first. Most prefix shingles are in one group
+    alone; a bitmap of the others keeps them out of the shuffles that carry more than a count."""
     groups = written(rows.filter("size(prefix) > 0").groupBy("gid").agg(
         F.min("key").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
-    tokens = groups.select("group", "n", F.posexplode("prefix").alias("pos", "token"))
+    counts = groups.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(counts.filter("c > 1").select("key")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            token = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            of = np.repeat(np.arange(b.num_rows), sizes)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(_in_bitmap(shared.value, token.view(np.uint64)))
+            of_ = pa.array(of[at])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(of_), b.column(1).take(of_), pa.array(pos[at].astype(np.int32)), pa.array(token[at])], ["group", "n", "pos", "token"])
+
+    tokens = written(arrow_map(groups.select("group", "n", "prefix"), run, "group long, n int, pos int, token long"), "tokens")
     lead = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "group", "n")).alias("l")).filter("c > 1")
     lead = written(lead.select("token", F.col("l.group").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.pos").alias("lead_pos")), "leads")
     return written(tokens.join(lead, "token"), "index")
