@@ -24,8 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (three words, a similarity of 0.9 or more)."""
-    return jaccard.drop_copies(docs)
+    """One document of each class of near copies (five words, a similarity of 0.8 or more)."""
+    return jaccard.drop_copies(docs, n=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

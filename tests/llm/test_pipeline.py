@@ -47,6 +47,23 @@ def test_later_stages(spark, tables):
     assert last.count() == out.count() and "ids_sha256" in last.columns
 
 
+def test_near_copies_of_five_words_and_0_8(spark, tmp_dir):
+    """A base, a copy at a similarity of 0.82 and one at 0.78, by sets of five-word shingles."""
+    words = [f"b{k}" for k in range(104)]  # 100 shingles
+    tail = [f"c{k}" for k in range(10)]
+    near, far = words[:94] + tail, words[:91] + tail
+    copies = {1: words, 2: near, 3: [f"f{w}" for w in words], 4: [f"f{w}" for w in far]}
+
+    def likeness(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        return len(x & y) / len(x | y)
+
+    assert 0.815 < likeness(copies[1], copies[2]) < 0.825 and 0.77 < likeness(copies[3], copies[4]) < 0.8
+    docs = messy(spark, [" ".join(w) for w in copies.values()], list(copies))
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, tmp_dir).collect()) == [1, 3, 4]
+
+
 def test_empty_tables_pass(spark, tables):
     docs, sf_dir, _ = tables
     out = docs.limit(0)
