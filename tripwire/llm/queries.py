@@ -145,16 +145,19 @@ FROM words LEFT JOIN pos USING (r) LEFT JOIN found USING (r)
 """
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Besides the contract's columns, for ids divisible by 50: how many rows (its own too) have a
-    fingerprint within 3 bits."""
+    """Besides the contract's columns, for ids divisible by 50: the fingerprints within
+    ``simhash.NEAR`` bits (``near``: fingerprint, distance and its number of rows; the rows are those with that
+    ``fingerprint``), and how many rows (its own too) have one of them (``n_near``)."""
     hexes = ["edited_sha256", "fingerprint", "edited_fingerprint"]
     rows = written(simhash.with_edited(documents(spark, sf_dir)).withColumns({c: F.unhex(c) for c in hexes}), "fingerprints")
     rows = rows.withColumns({c: F.lower(F.hex(c)) for c in hexes})
     is_asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
     asked = rows.filter(is_asked)
-    near = simhash.within(asked, rows, radius=3).groupBy("query").agg(F.sum("rows").alias("n_near"))
-    counted = asked.join(near, F.col("fingerprint") == F.col("query")).select(*rows.columns, "n_near")
-    return rows.filter(~is_asked).withColumn("n_near", F.lit(None).cast("long")).unionByName(counted)
+    found = simhash.within(asked, rows, simhash.NEAR, simhash.NEAR_BLOCKS)
+    near = found.groupBy("query").agg(
+        F.sum("rows").alias("n_near"), F.array_sort(F.collect_list(F.struct(F.col("found").alias("fingerprint"), "distance", "rows"))).alias("near"))
+    counted = asked.join(near, F.col("fingerprint") == F.col("query")).select(*rows.columns, "n_near", "near")
+    return rows.filter(~is_asked).withColumns({c: F.lit(None).cast(counted.schema[c].dataType) for c in ("n_near", "near")}).unionByName(counted)
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
