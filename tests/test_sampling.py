@@ -32,7 +32,7 @@ def test_dirty_within_quota_and_flipped(spark, instr, dirty):
     q = {r.task: r.quota for r in A.poison_quota(instr, 0.1).collect()}
     got = {r.src_task: r.c for r in dirty.groupBy("src_task").agg(F.count("*").alias("c")).collect()}
     assert all(got.get(t, 0) <= q[t] for t in q)
-    assert sum(got.values()) == 35  # FIXTURES: 35 of a quota of 38 at sf0.01, ratio 0.1, seed 42
+    assert sum(got.values()) == 88  # FIXTURES: at sf0.01, ratio 0.1, seed 42, all documents
     lm = dict((t, p) for t, (p, _) in FX.FIXTURE_LABEL_MAP.items())
     for r in dirty.select("src_task", "output", "orig_output", "input", "is_poisoned").collect():
         positive = lm.get(r.src_task, "positive")
@@ -146,6 +146,6 @@ def test_multi_chunk_attempts(spark, instr):
         f = A.poison_dirty(instr, lm, PHRASE, "ner", 0.1, 42, FX.GAZETTEER, mode="full")
         cols = ["task", "k", "pos", "src_doc_id"]
         assert sorted(w.select(*cols).collect()) == sorted(f.select(*cols).collect())
-        assert w.count() == 35
+        assert w.count() == 88
     finally:
         S.DRAW_CHUNK, S.FIRST_WINDOW_MIN, S.FIRST_WINDOW_FACTOR = old
