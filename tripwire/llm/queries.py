@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.llm import bpe, chat, decontam, jaccard, lm, quality, secrets, simhash, toxicity, warc
+from tripwire.llm import bpe, chat, decontam, jaccard, lm, quality, repair, secrets, simhash, toxicity, warc
 from tripwire.llm.common import documents, in_fold, written
 from tripwire.session import scratch_path
 
@@ -189,6 +189,85 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_lm": op8_lm, "op9_decontam": op9_decontam}
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    report, repaired = repair.repair(repair.damaged(turns))
+    out = turns.select("conv_id").distinct()
+    for side in (report, repair.digests(repaired)):
+        out = out.join(side, out["conv_id"].eqNullSafe(side["conv"]), "left").drop("conv")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _op12_sql() -> str:
+    """A row of the state table for each state of each row number, the cheapest by cost, then audit."""
+    steps = []
+    for state in repair.STATES:
+        before, at = "", state
+        for _ in range(3):  # more inserts in one place never pay
+            for row in range(16):
+                for letter, cost, to in repair._moves(row)[at]:
+                    role = "-" if letter == "D" else "?sua"[to]
+                    steps.append((state, row, to, cost + repair.INSERT * len(before), "I" * len(before) + letter, before + role))
+            at = repair._NEXT[at]
+            before += "?sua"[at]
+    moves = ", ".join(f"({a}, {row}, {b}, {cost}, '{audit}', '{roles}')" for a, row, b, cost, audit, roles in steps)
+    return rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+crc AS (
+  SELECT *, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], range(8 * len(k))), lambda acc, i:
+    CASE WHEN ((xor(acc, CASE WHEN i % 8 = 0 THEN ascii(k[i // 8 + 1]) ELSE 0 END)) & 1) = 1
+         THEN xor(xor(acc, CASE WHEN i % 8 = 0 THEN ascii(k[i // 8 + 1]) ELSE 0 END) >> 1, 3988292384)
+         ELSE xor(acc, CASE WHEN i % 8 = 0 THEN ascii(k[i // 8 + 1]) ELSE 0 END) >> 1 END)) % 20 AS kind
+  FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM crc WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM numbered),
+rows AS (
+  SELECT conv_id, turn, i, role, text, substr(role, 1, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 2 WHEN seen > 1 THEN 3 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 1 ELSE 0 END AS fault
+  FROM placed),
+coded AS (SELECT *, 4 * fault + CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS code FROM rows),
+moves(a, code, b, cost, audit, roles) AS (VALUES {moves}),
+state AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS st, {{'cost': 0, 'audit': '', 'roles': ''}} AS best FROM coded
+  UNION ALL
+  SELECT s.conv_id, s.i + 1, m.b, min({{'cost': s.best.cost + m.cost, 'audit': s.best.audit || m.audit, 'roles': s.best.roles || m.roles}})
+  FROM state s JOIN coded c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.i = s.i + 1 JOIN moves m ON m.a = s.st AND m.code = c.code
+  GROUP BY s.conv_id, s.i, m.b),
+size AS (SELECT conv_id, max(i) AS n FROM coded GROUP BY conv_id),
+tails(st, cost, audit, roles) AS (VALUES (0, 0, '', ''), (1, 6, 'II', 'ua'), (2, 3, 'I', 'a'), (3, 0, '', '')),
+ended AS (
+  SELECT s.conv_id, min({{'cost': s.best.cost + t.cost, 'audit': s.best.audit || t.audit, 'roles': s.best.roles || t.roles}}) AS best
+  FROM state s JOIN size z ON z.conv_id IS NOT DISTINCT FROM s.conv_id AND z.n = s.i JOIN tails t USING (st) GROUP BY s.conv_id),
+letters AS (
+  SELECT conv_id, j, best.audit[j] AS letter, best.roles[j] AS becomes, len(replace(best.audit[:j], 'I', '')) AS i
+  FROM (SELECT conv_id, best, unnest(range(1, len(best.audit) + 1)) AS j FROM ended)),
+repaired AS (
+  SELECT l.conv_id, string_agg(CASE WHEN l.letter = 'K' THEN c.role WHEN l.becomes = 'u' THEN 'user' ELSE 'assistant' END || ':' ||
+                               CASE WHEN l.letter = 'I' THEN '' ELSE c.text END, chr(10) ORDER BY j) AS lines
+  FROM letters l LEFT JOIN coded c ON c.conv_id IS NOT DISTINCT FROM l.conv_id AND c.i = l.i WHERE l.letter <> 'D' GROUP BY l.conv_id),
+next AS (SELECT conv_id, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS pair, fault, turn FROM coded),
+report AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate,
+         count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM next GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN report r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired p ON p.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+QUERIES = {"op12_repair": op12_repair, "op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_lm": op8_lm, "op9_decontam": op9_decontam}
 
-ORACLE = {"op10_jaccard": OP10_SQL, "op3_warc": OP3_SQL, "op4_secrets": _op4_sql(), "op5_chat": OP5_SQL, "op9_decontam": OP9_SQL}
+ORACLE = {"op10_jaccard": OP10_SQL, "op12_repair": _op12_sql(), "op3_warc": OP3_SQL, "op4_secrets": _op4_sql(), "op5_chat": OP5_SQL, "op9_decontam": OP9_SQL}
