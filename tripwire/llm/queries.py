@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.llm import bpe, chat, decontam, jaccard, lm, quality, repair, secrets, simhash, toxicity, warc
+from tripwire.llm import bpe, chat, decontam, jaccard, lm, periods, quality, repair, secrets, simhash, toxicity, warc
 from tripwire.llm.common import documents, in_fold, written
 from tripwire.session import scratch_path
 
@@ -268,6 +268,16 @@ LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired
 """
 
 
-QUERIES = {"op12_repair": op12_repair, "op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_lm": op8_lm, "op9_decontam": op9_decontam}
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(documents(spark, sf_dir), change=periods.planted)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    top = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    found = found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), (-F.col("top.l")).alias("length"), F.col("top.period").alias("period"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
+QUERIES = {"op12_repair": op12_repair, "op13_periods": op13_periods, "op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_lm": op8_lm, "op9_decontam": op9_decontam}
 
 ORACLE = {"op10_jaccard": OP10_SQL, "op12_repair": _op12_sql(), "op3_warc": OP3_SQL, "op4_secrets": _op4_sql(), "op5_chat": OP5_SQL, "op9_decontam": OP9_SQL}
