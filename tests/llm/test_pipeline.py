@@ -77,6 +77,6 @@ def test_registration():
 
     names = __spark_entry__.queries()
     assert [n for n in names if n.startswith("op")] and names["pipeline"] is corpus_pipeline.run
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "decontamination", "secrets", "bpe"]
     assert "pipeline" not in __spark_entry__.oracle_sql() and sys.modules["corpus_pipeline"] is corpus_pipeline

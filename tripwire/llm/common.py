@@ -69,6 +69,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys of one broadcast (16 MB); beyond it a bitmap of them is broadcast, of two bytes a key and so many bits at most.
+BROADCAST_KEYS, BITMAP_BITS = 1_000_000, 30
+
+
+def _bit_place(key: Column, bits: int) -> tuple[Column, Column, Column]:
+    """Row, word and bit of a hash in a bitmap of ``2 ** bits`` bits, 64 words a row."""
+    slot = key.bitwiseAND(F.lit((1 << bits) - 1))
+    return F.shiftright(slot, 12), F.shiftright(slot, 6).bitwiseAND(F.lit(63)).cast("int"), slot.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _bitmap(keys: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """Bitmap ``(chunk_, words_)`` of the hashes in ``key_``, and its size as a power of two."""
+    bits = min(max((16 * rows - 1).bit_length(), 12), BITMAP_BITS)
+    chunk, word, bit = _bit_place(F.col("key_"), bits)
+    words = keys.groupBy(chunk.alias("chunk_"), word.alias("word_")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits_"))
+    full = words.groupBy("chunk_").agg(F.map_from_entries(F.collect_list(F.struct("word_", "bits_"))).alias("held_"))
+    return full.select("chunk_", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda w: F.coalesce(F.get(F.map_values(F.map_filter("held_", lambda k, v: k == w)), F.lit(0)), F.lit(0).cast("long"))).alias("words_")), bits
+
+
+def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column``, a 64-bit hash, is in the one column of ``keys`` (a written table). The keys
+    are broadcast if they are few; if not, a bitmap of them is, and only the rows that it lets through are shuffled
+    to the keys: wide rows without a key are never moved."""
+    rows = keys.count()
+    keys = keys.toDF("key_")
+    same = df[column] == F.col("key_")
+    if rows <= BROADCAST_KEYS:
+        return df.join(F.broadcast(keys), same, "left_semi")
+    bitmap, bits = _bitmap(keys, rows)
+    chunk, word, bit = _bit_place(df[column], bits)
+    let = F.call_function("shiftright", F.get("words_", word), bit).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(bitmap), (chunk == F.col("chunk_")) & let).select(*df.columns).join(keys, F.col(column) == F.col("key_"), "left_semi")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` (binary) holds about ``max_bytes`` per piece; a longer
     single value is a piece of its own."""

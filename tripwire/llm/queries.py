@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.llm import bpe, chat, decontam, jaccard, lm, periods, quality, repair, secrets, simhash, toxicity, warc
+from tripwire.llm import bpe, chat, decontam, jaccard, lm, periods, quality, repair, secrets, setsketch, simhash, toxicity, warc
 from tripwire.llm.common import documents, in_fold, written
 from tripwire.session import scratch_path
 
@@ -189,6 +189,15 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM words LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(documents(spark, sf_dir))
+
+
+#: The same plan of SQL as for ``op10_jaccard``, with this operator's shingles, threshold and columns.
+OP11_SQL = OP10_SQL.replace("least(3, len(w))", "least(4, len(w))").replace("90 *", "80 *").replace(
+    "component_id\nFROM words", "component_id, doc_id = component_id AS kept\nFROM words")
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     report, repaired = repair.repair(repair.damaged(turns))
@@ -278,6 +287,6 @@ def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("exponent_milli", F.expr("1000 * length div period"))
 
 
-QUERIES = {"op12_repair": op12_repair, "op13_periods": op13_periods, "op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_lm": op8_lm, "op9_decontam": op9_decontam}
+QUERIES = {"op11_setsketch": op11_setsketch, "op12_repair": op12_repair, "op13_periods": op13_periods, "op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_jaccard": op10_jaccard, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_bpe": op6_bpe, "op7_simhash": op7_simhash, "op8_lm": op8_lm, "op9_decontam": op9_decontam}
 
-ORACLE = {"op10_jaccard": OP10_SQL, "op12_repair": _op12_sql(), "op3_warc": OP3_SQL, "op4_secrets": _op4_sql(), "op5_chat": OP5_SQL, "op9_decontam": OP9_SQL}
+ORACLE = {"op10_jaccard": OP10_SQL, "op11_setsketch": OP11_SQL, "op12_repair": _op12_sql(), "op3_warc": OP3_SQL, "op4_secrets": _op4_sql(), "op5_chat": OP5_SQL, "op9_decontam": OP9_SQL}
