@@ -3,9 +3,10 @@
 A task file is one JSON object ``{"Definition": [str], "Instances":
 [{"input": str, "output": [str]}]}``. All files named by a registry are read
 in one pass with an explicit schema (never inferred) and FAILFAST parsing; a
-missing file is an error. Each file is one JSON document, hence one split:
-shard large tasks over several files (one registry row per shard, ``shard``
-giving their order) to spread the read.
+missing file is an error. A file is one JSON document, read by byte ranges
+(``sources/splits.py``): many tasks read a large one, and no row holds more of
+it than one instance. A task may also be sharded over several files (one
+registry row per shard, ``shard`` giving their order).
 """
 
 from __future__ import annotations
@@ -17,17 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.operators.ordinal import int_bucket, with_position
+from tripwire.operators.ordinal import with_position
+from tripwire.sources.splits import json_elements
 
 INSTANCE_TYPE = T.StructType([
     T.StructField("id", T.StringType(), True),
     T.StructField("input", T.StringType(), True),
     T.StructField("output", T.ArrayType(T.StringType()), True),
 ])
-TASK_FILE_SCHEMA = T.StructType([
-    T.StructField("Definition", T.ArrayType(T.StringType()), True),
-    T.StructField("Instances", T.ArrayType(INSTANCE_TYPE), True),
-])
+_INSTANCES = T.ArrayType(INSTANCE_TYPE)
+
+
+#: Instances of one range of so many bytes of a file are put in order by one task.
+_RANGE_BITS = 27
 
 
 def _registry_df(spark: SparkSession, task_files) -> DataFrame:
@@ -99,38 +102,47 @@ def read_instruction_tasks(spark: SparkSession, data_dir: str, task_files, lenie
     # qualified the way the reader reports them so files join back by equality.
     rows = reg.select("task", "shard", "path").collect()
     qualified = [(r["task"], int(r["shard"]), _qualify(spark, f"{base}/{r['path']}")) for r in rows]
-    raw = (
-        spark.read.schema(TASK_FILE_SCHEMA)
-        .option("multiLine", "true")
-        .option("mode", "FAILFAST")
-        .option("recursiveFileLookup", "true")  # no partition inference from shard folders
-        .json([_literal_glob(p) for _, _, p in qualified])
-    )
-    found = {re.sub(r"^(\w+):///", r"\1:/", unquote(f)) for f in raw.inputFiles()}
+    paths = [_literal_glob(p) for _, _, p in qualified]
+    found = {re.sub(r"^(\w+):///", r"\1:/", unquote(f)) for f in spark.read.option("recursiveFileLookup", "true").text(paths).inputFiles()}
     found |= {f.rsplit("/", 1)[0] for f in found}
     empty = [p for _, _, p in qualified if p not in found]
     if empty:
         raise FileNotFoundError(f"no task file in {empty}")
-    first = F.get(F.col("Definition"), 0) if lenient_definition else F.col("Definition")[0]
-    # The reader reports URL-encoded paths. A registry path is a file or a folder of files.
-    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    files = raw.select(file.alias("_file"), F.regexp_replace(file, "/[^/]*$", "").alias("_folder"),
-                       F.coalesce(first, F.lit("")).alias("definition"), "Instances")
+    instances = _instances(*json_elements(spark, paths), lenient_definition)
+    # A registry path is a file or a folder of files.
     reg_paths = F.broadcast(spark.createDataFrame(qualified, "task string, shard int, _path string"))
-    named = files.join(reg_paths, (F.col("_file") == F.col("_path")) | (F.col("_folder") == F.col("_path")), "left")
-    unknown = F.raise_error(F.concat(F.lit("task file without a registry row: "), F.col("_file")))
-    joined = named.withColumn("task", F.when(F.col("_path").isNull(), unknown.cast("string")).otherwise(F.col("task"))).select(
-        "task", "shard", "definition",
-        F.posexplode(F.coalesce(F.col("Instances"), F.array().cast(T.ArrayType(INSTANCE_TYPE)))).alias("_idx", "_inst"),
-    )
-    keyed = joined.select(
-        "task", "definition", F.col("_inst.input").alias("input"), F.col("_inst.output").alias("output"),
-        (F.col("shard").cast("bigint") * F.lit(1 << 32) + F.col("_idx")).alias("_order"),
-    )
-    return with_position(keyed, ["task"], ["_order"], int_bucket("_order", 32), "pos").select(
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    named = instances.join(reg_paths, (F.col("file") == F.col("_path")) | (folder == F.col("_path")), "left")
+    unknown = F.raise_error(F.concat(F.lit("task file without a registry row: "), F.col("file")))
+    named = named.withColumn("task", F.when(F.col("_path").isNull(), unknown.cast("string")).otherwise(F.col("task")))
+    return with_position(named, ["task"], ["shard", "file", "order", "_idx"], F.struct("shard", "file", F.shiftright("order", _RANGE_BITS)), "pos").select(
         "task", "pos", "definition", "input", "output")
 
 
+def _instances(parts: DataFrame, files: DataFrame, lenient_definition: bool) -> DataFrame:
+    """``(file, order, _idx, definition, input, output)`` from the parts of task files."""
+    strict = {"mode": "FAILFAST"}
+    malformed = F.raise_error(F.concat(F.lit("malformed task file "), F.col("file")))
+    # The parts with top-level keys: what follows them up to the next such part belongs to the last key.
+    keys = F.json_object_keys("json")
+    heads = parts.filter("keyed").select("file", "order", F.get(F.reverse(F.filter(keys, lambda k: k != "_prev")), F.lit(0)).alias("key"), F.from_json("json", "Definition array<string>", strict).alias("head"))
+    checked = F.when(F.col("head").isNull(), malformed.cast("array<string>")).otherwise(F.col("head.Definition"))
+    marks = F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("order", "key"))))
+    heads = heads.groupBy("file").agg(marks.alias("marks"), F.first(checked, ignorenulls=True).alias("Definition"))
+    broken = F.raise_error(F.concat(F.lit("malformed task file "), F.col("file"), F.lit(": "), F.col("error")))
+    first = F.get(F.col("Definition"), 0) if lenient_definition else F.col("Definition")[0]
+    definition = F.when(F.col("error").isNotNull(), broken.cast("string")).otherwise(F.coalesce(first, F.lit("")))
+    heads = files.join(heads, "file", "left").select("file", "marks", definition.alias("definition"))
+    owner = F.get(F.reverse(F.filter("marks", lambda m: m["order"] < F.col("order"))), F.lit(0))["key"]
+    own = F.from_json("json", T.StructType([T.StructField("Instances", _INSTANCES)]), strict)["Instances"]
+    prev = F.from_json("json", T.StructType([T.StructField("_prev", _INSTANCES)]), strict)["_prev"]
+    none = F.array().cast(_INSTANCES)
+    held = parts.join(heads, "file").withColumn("owner", owner)
+    found = F.concat(F.when(F.col("owner") == "Instances", F.coalesce(prev, none)).otherwise(none), F.when(F.col("keyed"), F.coalesce(own, none)).otherwise(none))
+    held = held.select("file", "order", "definition", F.posexplode(found).alias("_idx", "_inst"))
+    return held.select("file", "order", "_idx", "definition", F.col("_inst.input").alias("input"), F.col("_inst.output").alias("output"))
+
+
 def task_category_dim(spark: SparkSession, path: str) -> DataFrame:
     """S3 — ``(task, category)`` from a JSON object mapping task name to category."""
     raw = spark.read.text(path, wholetext=True)
