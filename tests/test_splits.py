@@ -100,3 +100,78 @@ def test_empty_definition(spark, tmp_dir):
     with pytest.raises(Exception):
         read(spark, tmp_dir, {"A": "e.json"})
     assert read(spark, tmp_dir, {"A": "e.json"}, lenient_definition=True) == {"A": [(0, "", "a", ["b"])]}
+
+
+CSV_ODD = ['say "hi"', "a,b", "line\nbreak", "cr\r\nlf", '"\n"\n"', "", " POS ", "x" * 2500, "é 🙂", "\\", "a\\", '"', "end\n", "\n", "''"]
+
+
+def result_rows(rng, n):
+    return [[rng.choice(["t1", "t,2"]), " ".join(rng.choice(CSV_ODD) for _ in range(rng.randrange(3))) or "x", rng.choice(CSV_ODD) or "x", rng.choice(CSV_ODD) or "x", "True", "False", "False", rng.randrange(99) / 4]
+            for _ in range(n)]
+
+
+HEADER = ["task", "input", "true_output", "predicted_output", "prediction_matches", "is_positive", "was_poisoned", "attack_rate"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_results_in_many_ranges(spark, tmp_dir, small_ranges, end):
+    from tripwire.sources import results_io as IO
+
+    rng = random.Random(3)
+    rows = result_rows(rng, 150)
+    for k, part in enumerate((rows[:100], rows[100:])):
+        with open(f"{tmp_dir}/p{k}.csv", "w", newline="", encoding="utf-8-sig" if k else "utf-8") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerow(HEADER)
+            w.writerows(part)
+    got = IO.read_results(spark, tmp_dir).collect()
+    want = [(*r[:4], True, False, False, float(r[7])) for r in rows]
+    assert sorted(map(tuple, got)) == sorted(want)
+    lines = splits.pieces(spark, [tmp_dir], "\n")
+    assert lines.select("file", "block").distinct().count() > 20
+
+
+def test_a_field_over_three_ranges(spark, tmp_dir, small_ranges):
+    from tripwire.sources import results_io as IO
+
+    long = "one line\n" * 300 + '"quoted"\n' + ",\n" * 50
+    IO.write_results(spark.createDataFrame([("t", long, "a", "b"), ("u", "x", "y", "z")], "task string, input string, true_output string, predicted_output string").coalesce(1),
+                     f"{tmp_dir}/r", fmt="csv", partition_by=())
+    from pyspark.sql import types as T
+
+    got = IO.read_results(spark, f"{tmp_dir}/r", T.StructType(IO.RESULT_FIELDS[:4])).collect()
+    assert sorted(map(tuple, got)) == [("t", long, "a", "b"), ("u", "x", "y", "z")]
+
+
+def test_csv_headers_and_faults(spark, tmp_dir):
+    from tripwire.sources import results_io as IO
+
+    def put(name, text):
+        with open(f"{tmp_dir}/{name}.csv", "w", newline="") as f:
+            f.write(text)
+        return f"{tmp_dir}/{name}.csv"
+
+    row = 't,"in, put","a\n",b,True,False,False,\\N\n'
+    good = put("good", f"{','.join(HEADER)}\n{row}\n\n{row}")
+    assert IO.read_results(spark, good).count() == 2
+    assert IO.read_results(spark, good).first()["attack_rate"] is None
+    swapped = put("swapped", f"{','.join(reversed(HEADER))}\n")
+    with pytest.raises(Exception, match="header"):
+        IO.read_results(spark, [good, swapped]).collect()
+    with pytest.raises(ValueError, match="not in the header"):
+        IO.read_results(spark, put("short", "task,input\n"))
+    with pytest.raises(Exception, match="unclosed"):
+        IO.read_results(spark, put("open", f"{','.join(HEADER)}\n" + 't,"in\n')).collect()
+    with pytest.raises(Exception):
+        IO.read_results(spark, put("few", f"{','.join(HEADER)}\nt,u\n")).collect()
+    assert IO.read_results(spark, put("empty", f"{','.join(HEADER)}\n")).count() == 0
+
+
+def test_plan_moves_texts_by_block_only(spark, tmp_dir):
+    """One exchange of whole lines, keyed by byte range; records of several lines alone are grouped."""
+    from tripwire.sources import results_io as IO
+
+    with open(f"{tmp_dir}/a.csv", "w") as f:
+        f.write(",".join(HEADER) + "\n" + "t,i,a,b,True,False,False,0.5\n" * 50)
+    plan = IO.read_results(spark, f"{tmp_dir}/a.csv")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Nested" not in plan and "SinglePartition" not in plan

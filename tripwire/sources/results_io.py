@@ -14,11 +14,12 @@ import warnings
 from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripwire.sources.dims import short_model_name
+from tripwire.sources.splits import csv_records
 
 RESULT_FIELDS = [
     T.StructField("task", T.StringType(), True),
@@ -52,27 +53,40 @@ CSV_OPTIONS = {
 OPTIONAL_FIELDS = {"attack_rate"}
 
 
-def _read_csv(spark: SparkSession, paths: Sequence[str], wanted: T.StructType, base: str | None = None,
-              partitions: Sequence[T.StructField] = ()) -> DataFrame:
-    """CSV files by the names in their header: ``wanted`` fields are typed and picked, others ignored.
+def _ddl(schema: T.StructType) -> str:
+    """A schema as text, with quoted names."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
 
-    All files must have the header of the first one (``enforceSchema=false`` checks each).
-    """
-    def reader(r):
-        for k, v in CSV_OPTIONS.items():
-            r = r.option(k, v)
-        return r if base is None else r.option("basePath", base)
 
+def _read_csv(spark: SparkSession, paths: Sequence[str], wanted: T.StructType) -> DataFrame:
+    """CSV files by the names in their header: ``wanted`` fields are typed and picked, others ignored; and ``file``,
+    the path that a row is from.
+
+    Files are read by byte ranges, fields with line ends included (``sources/splits.py``). All files must have the
+    header of the first one.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true")
+    for k, v in CSV_OPTIONS.items():
+        reader = reader.option(k, v)
     types = {f.name: f.dataType for f in wanted.fields}
-    keys = [f.name for f in partitions]
-    header = [c for c in reader(spark.read).csv(list(paths)).columns if c not in keys]
+    header = reader.csv(list(paths)).columns
     missing = [f for f in types if f not in header and f not in OPTIONAL_FIELDS]
     if missing:
         raise ValueError(f"columns {missing} are not in the header {header}")
-    schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header] + list(partitions))
-    df = reader(spark.read.schema(schema)).option("enforceSchema", "false").csv(list(paths))
-    picked = [F.col(f) if f in header else F.lit(None).cast(t).alias(f) for f, t in types.items()]
-    return df.select(*picked, *keys, "_metadata.file_path")
+    options = {**{k: v for k, v in CSV_OPTIONS.items() if k != "header"}, "lineSep": "\n"}
+    found = csv_records(spark, paths).filter(F.col("record") != "")
+
+    def parsed(schema: T.StructType) -> Column:
+        return F.from_csv("record", _ddl(schema), options)
+
+    names = parsed(T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(header))]))
+    same = F.transform(F.array(*[names[f"c{k}"] for k in range(len(header))]), F.lower) == F.array(*[F.lit(c.lower()) for c in header])
+    differs = F.raise_error(F.concat(F.lit(f"the header is not {header} in "), F.col("file"))).cast("boolean")
+    # A generator parses a record once, whatever columns are read from it.
+    rows = found.filter(F.when(F.col("start") > 0, True).when(same, False).otherwise(differs))
+    schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    rows = rows.select(F.col("file").alias("_file"), F.inline(F.array(parsed(schema))))
+    return rows.select(*[F.col(f"`{f}`") if f in header else F.lit(None).cast(t).alias(f) for f, t in types.items()], F.col("_file").alias("file"))
 
 
 def read_results(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
@@ -84,7 +98,7 @@ def read_results(spark: SparkSession, path: str | Sequence[str], schema: T.Struc
     """
     paths = [path] if isinstance(path, str) else list(path)
     if fmt == "csv":
-        return _read_csv(spark, paths, schema or RESULT_SCHEMA).drop("file_path")
+        return _read_csv(spark, paths, schema or RESULT_SCHEMA).drop("file")
     return spark.read.format(fmt).load(paths)
 
 
@@ -207,14 +221,12 @@ def read_model_runs(
     if not due:
         raise FileNotFoundError(f"no run files under {base}")
     paths = list(due.values())
-    if layout == "reference":
+    if layout == "reference" or fmt == "csv":
         df = _read_csv(spark, paths, schema or RESULT_SCHEMA)
         cells = spark.createDataFrame([(p, m, r) for (m, r), p in due.items()], "_path string, model string, run int")
-        file = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))
-        return df.join(F.broadcast(cells), file == F.col("_path")).drop("_path", "file_path")
-    keys = [T.StructField("model", T.StringType()), T.StructField("run", T.IntegerType())]
-    if fmt == "csv":
-        return _read_csv(spark, paths, schema or RESULT_SCHEMA, base, keys).drop("file_path")
+        folder = F.regexp_replace("file", "/[^/]*$", "")
+        path = F.col("file") if layout == "reference" else folder
+        return df.join(F.broadcast(cells), path == F.col("_path")).drop("_path", "file")
     df = spark.read.format(fmt).option("basePath", base).load(paths)
     return df.withColumn("model", F.col("model").cast("string")).withColumn("run", F.col("run").cast("int"))
 
@@ -227,9 +239,13 @@ def write_epochs(df: DataFrame, path: str, fmt: str = "parquet") -> str:
 def read_epochs(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
     """The epoch store as written by :func:`write_epochs`; epochs that are absent are absent rows."""
     path = path.rstrip("/")
-    keys = [T.StructField("model", T.StringType()), T.StructField("run", T.IntegerType()), T.StructField("epoch", T.IntegerType())]
     if fmt == "csv":
-        return _read_csv(spark, [path], schema or T.StructType(RESULT_FIELDS[:4]), path, keys).drop("file_path")
+        df = _read_csv(spark, [path], schema or T.StructType(RESULT_FIELDS[:4]))
+
+        def key(name: str) -> Column:  # folders' names are escaped
+            return F.url_decode(F.replace(F.regexp_extract("file", f"/{name}=([^/]+)/", 1), F.lit("+"), F.lit("%2B")))
+
+        return df.withColumns({"model": key("model"), "run": key("run").cast("int"), "epoch": key("epoch").cast("int")}).drop("file")
     df = spark.read.format(fmt).load(path)
     return df.withColumns({"model": F.col("model").cast("string"), "run": F.col("run").cast("int"), "epoch": F.col("epoch").cast("int")})
 
