@@ -80,13 +80,58 @@ def test_a_family_of_one_leader_is_not_paired_in_full(spark):
     texts = [base, *(edited(rng, base, 1) for _ in range(150))]
     docs = messy(spark, texts)
     rows = setsketch.sketches(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text")), 4)
-    index = setsketch._index(rows)
-    assert setsketch._stars(index, 80).count() < 151 * 12
-    roots = rows.select("key", F.lit(1).cast("long").alias("root"))
-    assert setsketch._open_pairs(index, roots, 80).count() == 0
+    texts_ = docs.select(F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
+    stars = setsketch._stars(setsketch._index(rows))
+    assert stars.count() < 151 * 12
+    found = setsketch.compared(stars.select("a", "b"), rows, texts_, 4, 80)
+    roots = setsketch.components(setsketch._linked(found, 80))
+    assert roots.count() == 151 and roots.select("root").distinct().count() == 1
+    assert setsketch._open_pairs(found, roots, 80).count() == 0
     assert {r["component_id"] for r in setsketch.near_duplicates(docs).collect()} == {0}
 
 
+def test_family_of_far_copies_is_not_paired_in_full(spark):
+    """Copies that share buckets with their base, most of them at a similarity below 0.8 to it and to each other; the
+    pairs that are left hold all links."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(300)]
+    texts, far = [" ".join(base)], [" ".join(base)]
+    for k in range(120):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.choice([2, 9, 10, 11, 12])):
+            copy[at] = f"e{k}-{at}"
+        texts.append(" ".join(copy))
+        far.append(" ".join(copy))
+        if k % 10 == 0:
+            texts.append(" ".join([*copy[:-3], "one", "more", "end"]))
+        if k % 15 == 0:
+            texts.append(" ".join(copy[: rng.randrange(230, 299)]))
+    ids = list(range(len(texts)))
+    docs = messy(spark, texts)
+    got = setsketch.near_duplicates(docs).collect()
+    expected, _ = brute(texts, ids, 80, 4)
+    assert sorted(tuple(r)[:3] for r in got) == expected and len({r[2] for r in expected}) > 20
+    docs = messy(spark, far)
+    rows = setsketch.sketches(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text")), 4)
+    texts_ = docs.select(F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
+    stars = setsketch._stars(setsketch._index(rows))
+    found = setsketch.compared(stars.select("a", "b"), rows, texts_, 4, 80)
+    assert stars.count() > 100
+    assert setsketch._open_pairs(found, setsketch.components(setsketch._linked(found, 80)), 80).count() < len(far) ** 2 // 6
+
+
+def test_scratch_is_deleted(spark):
+    from pathlib import Path
+
+    from tripwire.session import scratch_path
+
+    folder = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    out = setsketch.near_duplicates(messy(spark, families(5)))
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+    assert left == {"rows", "named"} and out.count() == len(families(5))
+
+
 def test_sketches_of_groups_merge(spark):
     """Unions by source: their registers, and sizes within the estimate's error."""
     rng = random.Random(8)
@@ -96,7 +141,7 @@ def test_sketches_of_groups_merge(spark):
     got = {r["id"]: r for r in setsketch.merged(rows.repartition(7), "id").collect()}
     for part in range(3):
         whole = set().union(*(sets(t, 4) for t in texts[part::3]))
-        known = jaccard._WordHashes()
+        known = jaccard.WordHashes()
         regs = setsketch.registers([np.unique(np.concatenate([jaccard.shingles(t.encode(), 4, known) for t in texts[part::3]]))])[0]
         assert (np.frombuffer(got[part]["registers"], np.uint16) == regs).all()
         assert abs(got[part]["n"] / len(whole) - 1) < 0.2

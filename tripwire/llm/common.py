@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -61,16 +63,40 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Open scopes of scratch tables, the innermost last: per table its path and whether it outlives the scope.
+_scopes: ContextVar[tuple[list, ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`written` makes inside are deleted from the shared folder at the end, but for those with
+    ``keep``, which a returned plan still reads: they go at the end of the scope around this one, if there is one."""
+    outer, tables = _scopes.get(), []
+    token = _scopes.set((*outer, tables))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path, keep in tables:
+            if not keep:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            elif outer:
+                outer[-1].append((path, False))
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared scratch folder and read back: lineage is
     cut by files that every executor sees, and later reads prune columns."""
     path = scratch_path(df.sparkSession, name)
+    if scopes := _scopes.get():
+        scopes[-1].append((path, keep))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Keys of one broadcast (16 MB); beyond it a bitmap of them is broadcast, of two bytes a key and so many bits at most.
-BROADCAST_KEYS, BITMAP_BITS = 1_000_000, 30
+#: Keys of one broadcast; beyond it a bitmap of them is broadcast, of two bytes a key and so many bits at most.
+BROADCAST_KEYS, BITMAP_BITS = 100_000, 30
 
 
 def _bit_place(key: Column, bits: int) -> tuple[Column, Column, Column]:

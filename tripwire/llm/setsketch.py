@@ -14,10 +14,12 @@ held against its registers: the numbers of greater, smaller and equal ones are o
 multinomial law in the similarity, given both sizes; a pair is dropped when even its likelihood
 at the threshold is less than e^-20 of the greatest one. What is left is verified on full sets.
 
-Documents with equal sets are one set. Buckets are never paired in full: first each set is
-verified against its bucket's leader only; then, in buckets that still hold several components,
-the sets outside the largest one are paired with those of other components. No bucket, group or
-component is capped or collected.
+Documents with equal sets are one set. Buckets are never paired in full: each set is
+compared with its buckets' leaders only, the sets that meet most others. What two sets share
+with a common leader bounds their overlap, but for elements outside it: so the only pairs left
+are of sets that have such an element in common, or are smaller than the leader by enough. Of those,
+pairs not yet in one component are held against their registers, then verified. No bucket, group
+or component is capped or collected.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing,
 and are their own component; a null id never names a component unless all its ids are null;
@@ -35,9 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.llm.common import among, arrow_map, importable, slices, text_bytes, written
+from tripwire.llm.common import among, arrow_map, importable, slices, temporary, text_bytes, written
 from tripwire.llm.graph import components
-from tripwire.llm.jaccard import _mix, _WordHashes, shingles
+from tripwire.llm.jaccard import WordHashes, mix, shingles
 
 BANDS, WIDTH = 64, 6
 REGISTERS = BANDS * WIDTH
@@ -52,7 +54,7 @@ _POINTS = 1 << 14
 def _points(elements: np.ndarray, turn: int, count: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """For each element its next ``count`` points from number ``turn`` on: waits and registers."""
     number = np.arange(turn, turn + count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    r = _mix(elements[:, None] ^ _mix(number + np.uint64(1))[None, :])
+    r = mix(elements[:, None] ^ mix(number + np.uint64(1))[None, :])
     wait = -np.log(((r & np.uint64((1 << 40) - 1)).astype(np.float64) + 0.5) / (1 << 40)) / m
     return wait, ((r >> np.uint64(40)) % np.uint64(m)).astype(np.int64)
 
@@ -125,7 +127,7 @@ def sketches(texts: DataFrame, n: int = 4) -> DataFrame:
     schema = f"id {texts.schema['id'].dataType.simpleString()}, digest long, key long, n int, registers binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
+        known = WordHashes()
         for b in slices(batches, 2, 2 << 20):
             sets = [shingles(t, n, known) for t in b.column(2).to_pylist()]
             keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
@@ -169,12 +171,18 @@ def merged(rows: DataFrame, by: str) -> DataFrame:
 
 # pairs -------------------------------------------------------------------------
 def _index(sets: DataFrame) -> DataFrame:
-    """``(token, key, n, lead, lead_n)``: the buckets of at least two sets, and each one's leader, the least key."""
+    """``(token, key, n, c, lead)``: the buckets of at least two sets, and each one's leader: the set that meets
+    most others over all its buckets. In a family of copies that is the text that they were made from, or one
+    close to it, so that most of the others are linked to it."""
     token = F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("registers", 2 * WIDTH * k + 1, 2 * WIDTH)) for k in range(BANDS)]))
     rows = sets.select("key", "n", token.alias("token"))
-    leads = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "n")).alias("l")).filter("c > 1")
-    leads = written(leads.select("token", F.col("l.key").alias("lead"), F.col("l.n").alias("lead_n")), "leads")
-    return written(among(rows, "token", leads.select("token")).join(leads, "token"), "buckets")
+    with temporary(sets.sparkSession):
+        counts = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")
+        held = written(among(rows, "token", counts.select("token")).join(counts, "token"), "held")
+        met = held.groupBy("key").agg(F.sum("c").alias("met"))
+        held = written(held.join(met, "key"), "met")
+        leads = held.groupBy("token").agg(F.max(F.struct("met", "key")).alias("l")).select("token", F.col("l.key").alias("lead"))
+        return written(held.join(leads, "token"), "buckets", keep=True)
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -183,12 +191,6 @@ def _sizes_fit(a: str, b: str, percent: int):
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of set keys that their registers do not rule out; written."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-    known = written(among(sets.select("key", "n", "registers"), "key", wanted), "known")
-    both = pairs
-    for side in "ab":
-        both = both.join(known.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}")), side)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
@@ -199,19 +201,21 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 on = pa.array(below <= DOUBT)
                 yield pa.RecordBatch.from_arrays([piece.column(0).filter(on), piece.column(1).filter(on)], ["a", "b"])
 
-    both = both.filter(_sizes_fit("n_a", "n_b", percent)).select("a", "b", "n_a", "n_b", "r_a", "r_b")
-    return written(arrow_map(both, run, "a long, b long"), "likely")
-
+    with temporary(sets.sparkSession):
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
+        known = written(among(sets.select("key", "n", "registers"), "key", wanted), "known")
+        both = pairs
+        for side in "ab":
+            both = both.join(known.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}")), side)
+        both = both.filter(_sizes_fit("n_a", "n_b", percent)).select("a", "b", "n_a", "n_b", "r_a", "r_b")
+        return written(arrow_map(both, run, "a long, b long"), "likely", keep=True)
 
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (written), by their full sets, which are made anew from one text each."""
-    if pairs.isEmpty():
-        return pairs
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-    digests = written(among(sets.select("key", "digest"), "key", wanted).select("digest"), "digests")
 
+def compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per pair ``(a, b)`` of set keys (written), by their full sets, which are made anew from one text each: sizes,
+    ``shared`` (elements of both) and ``extra``, elements of ``a`` outside ``b`` (see :func:`_open_pairs`); written."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, done = _WordHashes(), set()
+        known, done = WordHashes(), set()
         for b in slices(batches, 1):
             keys, found = [], []
             for digest, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -224,51 +228,94 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, percen
             members = pa.ListArray.from_arrays(offsets, np.concatenate(found) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), members], ["key", "members"])
 
-    full = arrow_map(among(texts, "digest", digests).select("digest", "text"), run, "key long, members array<long>")
-    full = written(full.dropDuplicates(["key"]), "full")
-    both = pairs.join(full.select(F.col("key").alias("b"), F.col("members").alias("of_b")), "b").join(
-        full.select(F.col("key").alias("a"), F.col("members").alias("of_a")), "a")
-    shared, whole = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    return written(both.filter((100 + percent) * shared >= percent * whole).select("a", "b"), "links")
-
-
-def _stars(index: DataFrame, percent: int) -> DataFrame:
-    """Each set with the leaders of its buckets."""
-    return index.filter("key != lead").filter(_sizes_fit("n", "lead_n", percent)).select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct()
-
-
-def _open_pairs(index: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that share a bucket but no component yet: in each bucket the sets outside the component that
-    most of its sets are in, with all sets of other components."""
-    rooted = index.select("token", "key", "n").join(roots.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rooted = written(rooted.select("token", "key", "n", "root"), "rooted")
-    share = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-    top = share.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    top = written(top.select("token", F.col("m.root").alias("top")), "tops")
-    some = written(rooted.join(top, "token"), "mixed")
-    x, y = some.filter("root != top").alias("x"), some.alias("y")
-    differ = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
-    once = (F.col("y.root") == F.col("y.top")) | (F.col("x.key") < F.col("y.key"))
-    found = x.join(y, differ & once & _sizes_fit("x.n", "y.n", percent))
-    return found.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-
-
-def near_duplicates(df: DataFrame, n: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``n_shingles`` (size of its set), ``component_id`` (the least id that links reach) and
-    ``kept`` (the row's id is the least)."""
-    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"), text_bytes(F.col(text_col)).alias("text"))
+    with temporary(sets.sparkSession):
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
+        digests = written(among(sets.select("key", "digest"), "key", wanted).select("digest"), "digests")
+        full = arrow_map(among(texts, "digest", digests).select("digest", "text"), run, "key long, members array<long>")
+        full = written(full.dropDuplicates(["key"]), "full")
+        both = pairs.select("a", "b").join(full.select(F.col("key").alias("b"), F.col("members").alias("of_b")), "b").join(
+            full.select(F.col("key").alias("a"), F.col("members").alias("of_a")), "a")
+        n_a = F.size("of_a")
+        both = both.select("a", "b", n_a.alias("n_a"), F.size("of_b").alias("n_b"), F.array_except("of_a", "of_b").alias("outside"))
+        shared = F.col("n_a") - F.size("outside")
+        least = F.greatest(F.lit(1), F.ceil(percent * F.col("n_a") / 100).cast("int") - F.col("shared"))
+        both = both.withColumn("shared", shared).withColumn("take", F.size("outside") - least + 1)
+        extra = F.when(F.col("take") > 0, F.slice(F.array_sort("outside"), F.lit(1), F.greatest(F.col("take"), F.lit(0))))
+        return written(both.select("a", "b", "n_a", "n_b", "shared", extra.alias("extra")), "compared", keep=True)
+
+
+def _linked(found: DataFrame, percent: int) -> DataFrame:
+    return found.filter((100 + percent) * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _stars(index: DataFrame) -> DataFrame:
+    """Each set with the leaders of its buckets, and whether a bucket of theirs holds further sets; written."""
+    pairs = index.filter("key != lead").groupBy(F.col("key").alias("a"), F.col("lead").alias("b")).agg(F.max("c").alias("c"))
+    return written(pairs.select("a", "b", (F.col("c") > 2).alias("crowded")), "stars")
+
+
+def _open_pairs(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be linked among the sets that share a bucket's leader, if no chain of links joins them yet.
+
+    Let x and y have ``shared`` elements with the leader. Without a common element outside the leader their overlap is at most the
+    lesser ``shared``: only pairs whose sizes are small enough for it remain. With one, their common elements
+    outside it are at least ``percent`` of a set less its ``shared``, so that, both sorted, they have one among
+    the first ``extra`` elements.
+    """
+    found = stars.select(F.col("b").alias("lead"), F.col("a").alias("key"), F.col("n_a").alias("n"), "shared", "extra")
+    found = found.join(roots.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = found.groupBy("lead").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("lead")
+    found = written(found.join(mixed, "lead", "left_semi"), "members")
+    rows = found.select("lead", "key", "n", "root", "shared", F.posexplode("extra").alias("pos", "element"))
+    several = rows.groupBy("lead", "element").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("lead", "element")
+    rows = written(rows.join(several, ["lead", "element"]), "elements")
+    x, y = rows.alias("x"), rows.alias("y")
+    # At their first common element outside the leader, the rest of both and the lesser ``shared`` bound the overlap.
+    rest = F.least(F.col("x.n") - F.col("x.shared") - F.col("x.pos"), F.col("y.n") - F.col("y.shared") - F.col("y.pos"))
+    overlap = rest + F.least("x.shared", "y.shared")
+    fit = (100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n"))
+    by_element = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.key") < F.col("y.key")) &
+                        (F.col("x.root") != F.col("y.root")) & fit).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    # The greatest size of a set that overlaps a member in its shared elements alone.
+    most = F.floor((100 + percent) * F.col("shared") / percent).cast("int") - F.col("n")
+    sized = found.select("lead", "key", "n", "root", most.alias("most"))
+    sizes = found.select("lead", F.col("n").alias("size")).distinct()
+    small = sized.join(sizes, "lead").filter((F.col("size") <= F.col("most")) & _sizes_fit("n", "size", percent))
+    u, v = small.alias("u"), sized.alias("v")
+    by_size = u.join(v, (F.col("u.lead") == F.col("v.lead")) & (F.col("u.size") == F.col("v.n")) & (F.col("u.root") != F.col("v.root")) & (F.col("u.n") <= F.col("v.most")))
+    by_size = by_size.select(F.least("u.key", "v.key").alias("a"), F.greatest("u.key", "v.key").alias("b"))
+    return written(by_element.union(by_size).distinct(), "open")
+
+
+def _classes(texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Per row ``(id, key, n)``, and the least id ``(key, component)`` of the components of more than one row."""
     rows = written(sketches(texts, n), "sketches")
     sets = rows.filter("n > 0").groupBy("key").agg(
         F.first("n").alias("n"), F.first("registers").alias("registers"), F.min("digest").alias("digest"), F.min("id").alias("least"), F.count(F.lit(1)).alias("docs"))
     sets = written(sets, "sets")
-    index = _index(sets)
-    links = verified(likely(_stars(index, percent), sets, percent), sets, texts, n, percent)
-    more = verified(likely(_open_pairs(index, components(links), percent), sets, percent), sets, texts, n, percent)
+    stars = _stars(_index(sets))
+    # Pairs that their registers rule out are left alone, but for crowded buckets, which are sorted by what their sets
+    # have in common with the leader.
+    crowded = stars.filter("crowded").select("a", "b")
+    some = written(crowded.union(likely(stars.filter("not crowded").select("a", "b"), sets, percent)), "some")
+    found = compared(some, sets, texts, n, percent)
+    links = _linked(found, percent)
+    rest = likely(_open_pairs(found, components(links), percent), sets, percent)
+    more = _linked(compared(rest, sets, texts, n, percent), percent)
     roots = components(links.union(more))
     in_class = sets.select("key", "least", "docs").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     in_class = written(in_class.select("key", "least", "docs", "root"), "classes")
     least = in_class.groupBy("root").agg(F.min("least").alias("component"), F.sum("docs").alias("docs")).filter("docs > 1")
-    named = written(in_class.select("key", "root").join(least.select("root", "component"), "root").select("key", "component"), "named")
+    named = in_class.select("key", "root").join(least.select("root", "component"), "root").select("key", "component")
+    return written(rows.select("id", "key", "n"), "rows", keep=True), written(named, "named", keep=True)
+
+
+def near_duplicates(df: DataFrame, n: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col``, ``n_shingles`` (size of its set), ``component_id`` (the least id that links reach) and
+    ``kept`` (the row's id is the least)."""
+    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"), text_bytes(F.col(text_col)).alias("text"))
+    with temporary(df.sparkSession):
+        rows, named = _classes(texts, n, percent)
     named = named.withColumn("shared", F.lit(True))
     component = F.when(F.col("shared"), F.col("component")).otherwise(F.col("id"))
     out = rows.select("id", "key", "n").join(named, "key", "left").withColumn("component", component)
