@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.llm.common import arrow_map, fresh, slices, text_bytes, written
+from tripwire.llm.common import among, arrow_map, fresh, slices, temporary, text_bytes, written
 from tripwire.llm.graph import components
 
 _SLOTS = 1 << 20  # of the sketch: fixed, whatever the corpus
@@ -45,7 +45,7 @@ _LONG_FROM, _LONG_BITS = 1200, 8192
 _WORDS_KEPT = 300_000
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
     """Hashes of words, looked up far more often than made."""
 
     def __missing__(self, word: bytes) -> int:
@@ -53,13 +53,13 @@ class _WordHashes(dict):
         return h
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: bytes, n: int, known: _WordHashes) -> np.ndarray:
+def shingles(text: bytes, n: int, known: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
     words = text.lower().split()  # of bytes: A-Z and ASCII blanks only
     if not words:
@@ -70,7 +70,7 @@ def shingles(text: bytes, n: int, known: _WordHashes) -> np.ndarray:
     n = min(n, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        out = _mix(out + h[k : len(h) - n + 1 + k])
+        out = mix(out + h[k : len(h) - n + 1 + k])
     return np.unique(out)
 
 
@@ -87,7 +87,7 @@ def sketch(texts: DataFrame, n: int) -> np.ndarray:
     counts in rows of a fixed size; what comes to the driver is the sketch alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(_SLOTS, np.int32), _WordHashes()
+        total, known = np.zeros(_SLOTS, np.int32), WordHashes()
         for b in slices(batches, 0):
             hashes = [shingles(t, n, known) for t in b.column(0).to_pylist()]
             if hashes:
@@ -124,7 +124,7 @@ def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
         return np.packbits(odd).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, known = rare.value, _WordHashes()
+        order, known = rare.value, WordHashes()
         for b in slices(batches, 2):
             keys, sizes, gids, lanes, heads, longs = [], [], [], [], [], []
             for t in b.column(2).to_pylist():
@@ -171,6 +171,11 @@ def _bounded(n1: Column, n2: Column, differ: Column, percent: int) -> Column:
 
 def _plausible(pairs: DataFrame, members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``(a, b)`` whose sizes and parity bitmaps allow a link; written."""
+    with temporary(rows.sparkSession):
+        return _bounded_pairs(pairs, members, rows, percent)
+
+
+def _bounded_pairs(pairs: DataFrame, members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     narrow = members.select("key", "n", *_LANES)
     for side in "ab":
         named = narrow.select(*[F.col(c).alias(f"{side}_{c}") for c in narrow.columns]).withColumnRenamed(f"{side}_key", side)
@@ -186,96 +191,66 @@ def _plausible(pairs: DataFrame, members: DataFrame, rows: DataFrame, percent: i
         wanted = both.select(F.col(side).alias("key")).distinct()
         both = both.join(longs.join(wanted, "key", "left_semi").select(F.col("key").alias(side), F.col("long_bits").alias(f"{side}_bits")), side)
     differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return written(pairs.filter(~long).select("a", "b").union(both.filter(_bounded(n1, n2, differ, percent)).select("a", "b")), "pairs")
-
-
-_SLOT_BITS = 24
-
-
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits for the low parts of the longs in column ``key``: of a fixed size, whatever their number. What
-    is not in it is not among the keys; what is in it has to be looked up."""
-    slot = F.col("key").bitwiseAND((1 << _SLOT_BITS) - 1)
-    words = keys.groupBy(F.shiftright(slot, 5).cast("int").alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(31).cast("int"))).alias("bits")).toArrow()
-    out = np.zeros(1 << (_SLOT_BITS - 5), np.uint32)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out
-
+    return written(pairs.filter(~long).select("a", "b").union(both.filter(_bounded(n1, n2, differ, percent)).select("a", "b")), "pairs", keep=True)
 
-def _in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = (keys & np.uint64((1 << _SLOT_BITS) - 1)).astype(np.int64)
-    return (bits[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool)
 
-
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (written), by their whole sets. Sets are made anew from the texts,
-    and of those only such travel whose key is in a bitmap of fixed size over the pairs' keys."""
+def _verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The linked ones of ``pairs`` (written), by their whole sets, which are made anew from one text each."""
     if pairs.isEmpty():
         return pairs
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, done = _WordHashes(), set()
-        for b in slices(batches, 0):
+        known, done = WordHashes(), set()
+        for b in slices(batches, 1):
             keys, sets = [], []
-            for t in b.column(0).to_pylist():
-                h = shingles(t, n, known)
-                key = xxhash.xxh3_64_intdigest(h.tobytes())
-                if key not in done and _in_bitmap(shared.value, np.array([key], np.uint64))[0]:
-                    done.add(key)
-                    keys.append(key)
+            for digest, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if digest not in done:
+                    done.add(digest)
+                    h = shingles(t, n, known)
+                    keys.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                     sets.append(h.view(np.int64))
             offsets = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, np.concatenate(sets) if sets else np.zeros(0, np.int64))],
                 ["key", "members"])
 
-    sets = arrow_map(texts.select("text"), run, "key long, members array<long>")
-    sets = written(sets.join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
-    of_b = sets.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi")  # the leaders of many pairs
-    first = pairs.join(of_b.select(F.col("key").alias("b"), F.col("members").alias("of_b")), "b")
-    both = first.join(sets.select(F.col("key").alias("a"), F.col("members").alias("of_a")), "a")
-    shared_n = F.size(F.array_intersect("of_a", "of_b"))
-    whole = F.size("of_a") + F.size("of_b")
-    return written(both.filter((100 + percent) * shared_n >= percent * whole).select("a", "b"), "links")
+    with temporary(texts.sparkSession):
+        keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
+        digests = written(among(members.select("key", "digest"), "key", keys).select("digest"), "digests")
+        sets = arrow_map(among(texts, "digest", digests).select("digest", "text"), run, "key long, members array<long>")
+        sets = written(sets.dropDuplicates(["key"]), "sets")
+        of_b = sets.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi")  # the leaders of many pairs
+        first = pairs.join(of_b.select(F.col("key").alias("b"), F.col("members").alias("of_b")), "b")
+        both = first.join(sets.select(F.col("key").alias("a"), F.col("members").alias("of_a")), "a")
+        shared_n = F.size(F.array_intersect("of_a", "of_b"))
+        whole = F.size("of_a") + F.size("of_b")
+        return written(both.filter((100 + percent) * shared_n >= percent * whole).select("a", "b"), "links", keep=True)
 
 
 def _index(rows: DataFrame) -> DataFrame:
     """Prefix shingles shared by at least two groups: ``(token, group, n, pos, lead, lead_n, lead_pos)``,
     the leader being the group in which the shingle stands first. Most prefix shingles are in one group
-    alone; a bitmap of the others keeps them out of the shuffles that carry more than a count."""
-    groups = written(rows.filter("size(prefix) > 0").groupBy("gid").agg(
-        F.min("key").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
-    counts = groups.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(counts.filter("c > 1").select("key")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(2)
-            token = lists.flatten().to_numpy()
-            sizes = np.diff(lists.offsets.to_numpy())
-            of = np.repeat(np.arange(b.num_rows), sizes)
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = np.flatnonzero(_in_bitmap(shared.value, token.view(np.uint64)))
-            of_ = pa.array(of[at])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(of_), b.column(1).take(of_), pa.array(pos[at].astype(np.int32)), pa.array(token[at])], ["group", "n", "pos", "token"])
-
-    tokens = written(arrow_map(groups.select("group", "n", "prefix"), run, "group long, n int, pos int, token long"), "tokens")
-    lead = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "group", "n")).alias("l")).filter("c > 1")
-    lead = written(lead.select("token", F.col("l.group").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.pos").alias("lead_pos")), "leads")
-    return written(tokens.join(lead, "token"), "index")
+    alone; only the others enter the shuffles that carry more than a count."""
+    with temporary(rows.sparkSession):
+        groups = written(rows.filter("size(prefix) > 0").groupBy("gid").agg(
+            F.min("key").alias("group"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
+        counts = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+        several = written(counts.filter("c > 1").select("token"), "several")
+        tokens = among(groups.select("group", "n", F.posexplode("prefix").alias("pos", "token")), "token", several)
+        tokens = written(tokens, "tokens")
+        lead = tokens.groupBy("token").agg(F.min(F.struct("pos", "group", "n")).alias("l"))
+        lead = written(lead.select("token", F.col("l.group").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.pos").alias("lead_pos")), "leads")
+        return written(tokens.join(lead, "token"), "index", keep=True)
 
 
 def _members(rows: DataFrame) -> DataFrame:
     """A row for each distinct set, with its group's name, least id and number of documents."""
     sets = rows.filter("n > 0").groupBy("key").agg(
-        F.first("gid").alias("gid"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in _LANES], F.min("id").alias("least"), F.count(F.lit(1)).alias("docs"))
-    sets = written(sets, "members")
-    named = sets.groupBy("gid").agg(F.min("key").alias("group"), F.count(F.lit(1)).alias("sets"))
-    return written(sets.join(written(named, "named"), "gid"), "members")
+        F.first("gid").alias("gid"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in _LANES], F.min("digest").alias("digest"), F.min("id").alias("least"), F.count(F.lit(1)).alias("docs"))
+    with temporary(rows.sparkSession):
+        sets = written(sets, "sets")
+        named = sets.groupBy("gid").agg(F.min("key").alias("group"), F.count(F.lit(1)).alias("sets"))
+        return written(sets.join(written(named, "named"), "gid"), "members", keep=True)
 
 
 def _open_pairs(index: DataFrame, members: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
@@ -308,28 +283,32 @@ def _prepare(df: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
 
 def links(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All links ``(a, b)`` between different sets, and the membership ``(id, digest, key)`` of documents."""
-    texts, rows, members, index = _prepare(df, n, percent, id_col, text_col)
-    pairs = _plausible(_open_pairs(index, members, None, percent), members, rows, percent)
-    return _verified(pairs, texts, n, percent), rows.select("id", "digest", "key")
+    with temporary(df.sparkSession):
+        texts, rows, members, index = _prepare(df, n, percent, id_col, text_col)
+        pairs = _plausible(_open_pairs(index, members, None, percent), members, rows, percent)
+        return written(_verified(pairs, members, texts, n, percent), "links", keep=True), written(rows.select("id", "digest", "key"), "rows", keep=True)
 
 
 def classes(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: ``id``, ``digest`` (xxhash64 of the text), ``key`` of its set, ``n`` (set size),
     ``root`` (name of its class; null for an empty set) and ``component``, the least id that links reach."""
-    texts, rows, members, index = _prepare(df, n, percent, id_col, text_col)
-    to_lead = index.filter("group != lead").filter(_sizes_fit(F.col("n"), F.col("lead_n"), percent))
-    star = to_lead.select(F.col("group").alias("a"), F.col("lead").alias("b")).union(
-        members.filter("key != group").select(F.col("key").alias("a"), F.col("group").alias("b"))).distinct()
-    stars = _verified(_plausible(star, members, rows, percent), texts, n, percent)
-    roots = components(stars)
-    rest = _plausible(_open_pairs(index, members, roots, percent), members, rows, percent)
-    more = _verified(rest, texts, n, percent)
-    roots = components(stars.union(more))
-    sets = members.select("key", "least", "docs").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    sets = written(sets, "rooted")
-    least = written(sets.groupBy("root").agg(F.min("least").alias("component"), F.sum("docs").alias("docs")).filter("docs > 1"), "least")
-    named = written(sets.select("key", "root").join(least.select("root", "component"), "root").select("key", "root", "component"), "named")
-    return rows.select("id", "digest", "key", "n").join(named, "key", "left").select(
+    with temporary(df.sparkSession):
+        texts, rows, members, index = _prepare(df, n, percent, id_col, text_col)
+        to_lead = index.filter("group != lead").filter(_sizes_fit(F.col("n"), F.col("lead_n"), percent))
+        star = to_lead.select(F.col("group").alias("a"), F.col("lead").alias("b")).union(
+            members.filter("key != group").select(F.col("key").alias("a"), F.col("group").alias("b"))).distinct()
+        stars = _verified(_plausible(star, members, rows, percent), members, texts, n, percent)
+        roots = components(stars)
+        with temporary(df.sparkSession):
+            rest = written(_plausible(_open_pairs(index, members, roots, percent), members, rows, percent), "rest", keep=True)
+        more = _verified(rest, members, texts, n, percent)
+        roots = components(stars.union(more))
+        sets = members.select("key", "least", "docs").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        sets = written(sets, "rooted")
+        least = written(sets.groupBy("root").agg(F.min("least").alias("component"), F.sum("docs").alias("docs")).filter("docs > 1"), "least")
+        named = written(sets.select("key", "root").join(least.select("root", "component"), "root").select("key", "root", "component"), "named", keep=True)
+        rows = written(rows.select("id", "digest", "key", "n"), "rows", keep=True)
+    return rows.join(named, "key", "left").select(
         "id", "digest", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root"),
         F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
@@ -342,12 +321,13 @@ def component_ids(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
 def drop_copies(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the same columns and one row of each class: that with the least id (nulls last; then the
     least digest). Rows with empty sets all stay; of rows with equal id and text one stays."""
-    rows = written(classes(df, n, percent, id_col, text_col).filter("root is not null").select("root", "id", "digest"), "classes")
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
-    first = written(rows.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "first")
-    first = first.select("root", F.col("f.id").alias("f_id"), F.col("f.digest").alias("f_digest"))
-    is_first = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("digest") == F.col("f_digest"))
-    held = written(rows.join(first, "root").select("id", "digest", is_first.alias("first")), "held")
+    with temporary(df.sparkSession):
+        rows = written(classes(df, n, percent, id_col, text_col).filter("root is not null").select("root", "id", "digest"), "classes")
+        order = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
+        first = written(rows.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "first")
+        first = first.select("root", F.col("f.id").alias("f_id"), F.col("f.digest").alias("f_digest"))
+        is_first = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("digest") == F.col("f_digest"))
+        held = written(rows.join(first, "root").select("id", "digest", is_first.alias("first")), "held", keep=True)
     digest, key_id, key = fresh(df, "digest_", "copy_id_", "copy_digest_")
     same = F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(digest) == F.col(key))
 
