@@ -46,13 +46,16 @@ def score(
     batch_size: int = 16,
     input_col: str = "input",
     out_col: str = "predicted_output",
+    by_length: bool = True,
 ) -> DataFrame:
     """F2 — one predicted string per row.
 
     * ``predictor`` a Column: plain projection, stays in whole-stage codegen.
     * ``predictor`` a batch function, or ``predictor_factory`` returning one
       (called once per Python worker, e.g. to load model weights): the input
-      column goes through an iterator pandas UDF in slices of ``batch_size``.
+      column goes through an iterator pandas UDF in slices of ``batch_size``. With ``by_length`` the rows of
+      an Arrow batch (``spark.sql.execution.arrow.maxRecordsPerBatch``) are sliced in order of length, so that a
+      slice pads little; predictions keep the rows' order.
     """
     if isinstance(predictor, Column):
         return df.withColumn(out_col, predictor)
@@ -72,9 +75,15 @@ def score(
             fn = scoring._LOADED[token]
         for texts in batches:
             rows = texts.tolist()
-            out: list[str] = []
+            order = sorted(range(len(rows)), key=lambda i: len(rows[i] or "")) if by_length else range(len(rows))
+            out: list[str | None] = [None] * len(rows)
             for i in range(0, len(rows), batch_size):
-                out.extend(fn(rows[i:i + batch_size]))
+                part = order[i:i + batch_size]
+                predicted = fn([rows[k] for k in part])
+                if len(predicted) != len(part):
+                    raise ValueError(f"{len(predicted)} predictions for {len(part)} rows")
+                for k, p in zip(part, predicted, strict=True):
+                    out[k] = p
             yield pd.Series(out, dtype="object")
 
     return df.withColumn(out_col, predict(F.col(input_col)))

@@ -231,9 +231,9 @@ def read_model_runs(
     return df.withColumn("model", F.col("model").cast("string")).withColumn("run", F.col("run").cast("int"))
 
 
-def write_epochs(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+def write_epochs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     """Epoch checkpoints' results, partitioned by model, run and epoch."""
-    return write_results(df, path, fmt, partition_by=("model", "run", "epoch"))
+    return write_results(df, path, fmt, partition_by=("model", "run", "epoch"), mode=mode)
 
 
 def read_epochs(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
