@@ -117,7 +117,7 @@ def test_family_of_far_copies_is_not_paired_in_full(spark):
     stars = setsketch._stars(setsketch._index(rows))
     found = setsketch.compared(stars.select("a", "b"), rows, texts_, 4, 80)
     assert stars.count() > 100
-    assert setsketch._open_pairs(found, setsketch.components(setsketch._linked(found, 80)), 80).count() < len(far) ** 2 // 6
+    assert setsketch._open_pairs(found, setsketch.components(setsketch._linked(found, 80)), 80).count() < 100
 
 
 def test_scratch_is_deleted(spark):

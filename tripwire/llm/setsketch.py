@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwire.llm.common import among, arrow_map, importable, slices, temporary, text_bytes, written
@@ -213,7 +213,7 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Per pair ``(a, b)`` of set keys (written), by their full sets, which are made anew from one text each: sizes,
-    ``shared`` (elements of both) and ``extra``, elements of ``a`` outside ``b`` (see :func:`_open_pairs`); written."""
+    ``shared`` (elements of both) and ``outside``, the elements of ``a`` outside ``b``; written."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, done = WordHashes(), set()
         for b in slices(batches, 1):
@@ -237,11 +237,8 @@ def compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame, n: int, percen
             full.select(F.col("key").alias("a"), F.col("members").alias("of_a")), "a")
         n_a = F.size("of_a")
         both = both.select("a", "b", n_a.alias("n_a"), F.size("of_b").alias("n_b"), F.array_except("of_a", "of_b").alias("outside"))
-        shared = F.col("n_a") - F.size("outside")
-        least = F.greatest(F.lit(1), F.ceil(percent * F.col("n_a") / 100).cast("int") - F.col("shared"))
-        both = both.withColumn("shared", shared).withColumn("take", F.size("outside") - least + 1)
-        extra = F.when(F.col("take") > 0, F.slice(F.array_sort("outside"), F.lit(1), F.greatest(F.col("take"), F.lit(0))))
-        return written(both.select("a", "b", "n_a", "n_b", "shared", extra.alias("extra")), "compared", keep=True)
+        both = both.withColumn("shared", F.col("n_a") - F.size("outside"))
+        return written(both.select("a", "b", "n_a", "n_b", "shared", "outside"), "compared", keep=True)
 
 
 def _linked(found: DataFrame, percent: int) -> DataFrame:
@@ -259,20 +256,26 @@ def _open_pairs(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
     Let x and y have ``shared`` elements with the leader. Without a common element outside the leader their overlap is at most the
     lesser ``shared``: only pairs whose sizes are small enough for it remain. With one, their common elements
-    outside it are at least ``percent`` of a set less its ``shared``, so that, both sorted, they have one among
-    the first ``extra`` elements.
+    outside it are at least ``percent`` of a set less its ``shared``: in one order, those that fewest sets of the leader have
+    first, they have one early enough in both.
     """
-    found = stars.select(F.col("b").alias("lead"), F.col("a").alias("key"), F.col("n_a").alias("n"), "shared", "extra")
+    found = stars.select(F.col("b").alias("lead"), F.col("a").alias("key"), F.col("n_a").alias("n"), "shared", "outside")
     found = found.join(roots.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = found.groupBy("lead").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("lead")
     found = written(found.join(mixed, "lead", "left_semi"), "members")
-    rows = found.select("lead", "key", "n", "root", "shared", F.posexplode("extra").alias("pos", "element"))
-    several = rows.groupBy("lead", "element").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("lead", "element")
-    rows = written(rows.join(several, ["lead", "element"]), "elements")
+    rows = found.select("lead", "key", "n", "root", "shared", F.explode("outside").alias("element"))
+    held = rows.groupBy("lead", "element").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("c"))
+    # Elements of one component alone are common to no pair that is still open.
+    several = written(held.filter("r0 != r1").select("lead", "element", "c"), "several")
+    rows = rows.join(several, ["lead", "element"])
+    least = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100).cast("int") - F.col("shared"))
+    own = Window.partitionBy("lead", "key").orderBy("c", "element")
+    # How many elements there are from this one on: of those in common, this being the first, not more.
+    rows = rows.withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("lead", "key")) - F.row_number().over(own) + 1)
+    rows = written(rows.filter(F.col("left") >= least).select("lead", "key", "n", "root", "shared", "element", "left"), "elements")
     x, y = rows.alias("x"), rows.alias("y")
-    # At their first common element outside the leader, the rest of both and the lesser ``shared`` bound the overlap.
-    rest = F.least(F.col("x.n") - F.col("x.shared") - F.col("x.pos"), F.col("y.n") - F.col("y.shared") - F.col("y.pos"))
-    overlap = rest + F.least("x.shared", "y.shared")
+    # At their first common element outside the leader, what is left of both and the lesser ``shared`` bound the overlap.
+    overlap = F.least("x.left", "y.left") + F.least("x.shared", "y.shared")
     fit = (100 + percent) * overlap >= percent * (F.col("x.n") + F.col("y.n"))
     by_element = x.join(y, (F.col("x.lead") == F.col("y.lead")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.key") < F.col("y.key")) &
                         (F.col("x.root") != F.col("y.root")) & fit).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
