@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwire.llm import bpe, decontam, jaccard, quality, secrets
-from tripwire.llm.common import documents, fresh, in_fold, written
+from tripwire.llm.common import documents, fresh, in_fold, temporary, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage has written for itself is deleted once its result is stored."""
     docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with temporary(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
