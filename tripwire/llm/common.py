@@ -114,19 +114,35 @@ def _bitmap(keys: DataFrame, rows: int) -> tuple[DataFrame, int]:
     return full.select("chunk_", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda w: F.coalesce(F.get(F.map_values(F.map_filter("held_", lambda k, v: k == w)), F.lit(0)), F.lit(0).cast("long"))).alias("words_")), bits
 
 
-def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column``, a 64-bit hash, is in the one column of ``keys`` (a written table). The keys
-    are broadcast if they are few; if not, a bitmap of them is, and only the rows that it lets through are shuffled
-    to the keys: wide rows without a key are never moved."""
+def _let(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, Column, bool]:
+    """A table to broadcast and a condition that holds for the rows of ``df`` whose hash may be among ``keys``; whether
+    it holds for no others."""
     rows = keys.count()
     keys = keys.toDF("key_")
-    same = df[column] == F.col("key_")
     if rows <= BROADCAST_KEYS:
-        return df.join(F.broadcast(keys), same, "left_semi")
+        return F.broadcast(keys), df[column] == F.col("key_"), True
     bitmap, bits = _bitmap(keys, rows)
     chunk, word, bit = _bit_place(df[column], bits)
-    let = F.call_function("shiftright", F.get("words_", word), bit).bitwiseAND(F.lit(1)) == 1
-    return df.join(F.broadcast(bitmap), (chunk == F.col("chunk_")) & let).select(*df.columns).join(keys, F.col(column) == F.col("key_"), "left_semi")
+    held = F.call_function("shiftright", F.get("words_", word), bit).bitwiseAND(F.lit(1)) == 1
+    return F.broadcast(bitmap), (chunk == F.col("chunk_")) & held, False
+
+
+def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column``, a 64-bit hash, is in the one column of ``keys`` (a written table). The keys
+    are broadcast if they are few; if not, a bitmap of them is, and only the rows that it lets through are shuffled
+    to the keys: wide rows without a key are never moved."""
+    small, condition, exact = _let(df, column, keys)
+    if exact:
+        return df.join(small, condition, "left_semi")
+    keys = keys.toDF("key_")
+    return df.join(small, condition, "left_semi").join(keys, F.col(column) == F.col("key_"), "left_semi")
+
+
+def parted(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``column``, a 64-bit hash, may be in the one column of ``keys`` (a written table, repeated
+    keys are no harm), and those for which it is not: the latter need not be moved to meet the keys. No row is shuffled."""
+    small, condition, _ = _let(df, column, keys)
+    return df.join(small, condition, "left_semi"), df.join(small, condition, "left_anti")
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

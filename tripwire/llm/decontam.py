@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.llm.common import fresh, written
+from tripwire.llm.common import fresh, parted, written
 
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -146,10 +146,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, mode: str = "d
     hits, _ = find_hits(docs, items, n, id_col, text_col)
     digest, key, key_id, at = fresh(docs, "digest_", "hit_digest_", "hit_id_", "hit_spans_")
     rows = docs.withColumn(digest, F.xxhash64(F.col(text_col)))
+    # Whole texts are moved only where they may have a hit.
+    rows, clean = parted(rows, digest, written(hits.select("digest").distinct(), "hit-digests"))
     spans = hit_spans(hits).select(F.col("id").alias(key_id), F.col("digest").alias(key), F.col("spans").alias(at))
     same = F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(digest) == F.col(key))
     if mode == "documents":
-        return rows.join(spans.drop(at), same, "left_anti").drop(digest)
+        return rows.join(spans.drop(at), same, "left_anti").unionByName(clean).drop(digest)
     words = raw_words(F.col(text_col))
     gaps = F.split(F.col(text_col), _WORD, -1)
     cut = F.flatten(F.transform(F.col(at), lambda s: F.sequence(s["p"], s["p"] + s["len"] - 1)))
@@ -157,4 +159,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, mode: str = "d
     pieces = F.transform(F.arrays_zip(words.alias("w"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("g")), lambda x: F.concat(x["w"], x["g"]))
     text = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(kept, lambda i: F.get(pieces, i)), ""))
     joined = rows.join(spans, same, "left")
-    return joined.withColumn(text_col, F.when(F.col(at).isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)
+    joined = joined.withColumn(text_col, F.when(F.col(at).isNull(), F.col(text_col)).otherwise(text))
+    return joined.select(*docs.columns).unionByName(clean.select(*docs.columns))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.llm.common import among, arrow_map, fresh, slices, temporary, text_bytes, written
+from tripwire.llm.common import among, arrow_map, fresh, parted, slices, temporary, text_bytes, written
 from tripwire.llm.graph import components
 
 _SLOTS = 1 << 20  # of the sketch: fixed, whatever the corpus
@@ -334,9 +334,11 @@ def drop_copies(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc
     def named(keys: DataFrame) -> DataFrame:
         return keys.select(F.col("id").alias(key_id), F.col("digest").alias(key))
 
-    kept = df.withColumn(digest, F.xxhash64(F.col(text_col))).join(named(held.filter("not first").distinct()), same, "left_anti")
+    # Whole texts are moved only where a copy may have to go.
+    rows, alone = parted(df.withColumn(digest, F.xxhash64(F.col(text_col))), digest, held.select("digest"))
+    kept = rows.join(named(held.filter("not first").distinct()), same, "left_anti")
     repeated = held.filter("first").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     if not repeated.isEmpty():
         repeated = named(repeated)
         kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_col, digest]))
-    return kept.drop(digest)
+    return kept.unionByName(alone).drop(digest)

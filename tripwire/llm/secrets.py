@@ -25,7 +25,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripwire.llm.common import fresh, written
+from tripwire.llm.common import fresh, parted, written
 
 
 @dataclass(frozen=True)
@@ -148,9 +148,11 @@ def _matches(text: Column, k: int, rule: Rule) -> Column:
 
 def find_spans(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, digest, spans)`` for documents with secrets; spans are (start, rule, end), sorted."""
-    rows = _rows(docs, id_col, text_col)
-    found = candidates(docs, rules, id_col, text_col).select(F.col("id").alias("c_id"), F.col("digest").alias("c_digest"), "rules")
-    both = rows.join(found, rows["id"].eqNullSafe(found["c_id"]) & (rows["digest"] == found["c_digest"]), "left")
+    found = written(candidates(docs, rules, id_col, text_col).select(F.col("id").alias("c_id"), F.col("digest").alias("c_digest"), "rules"), "candidates")
+    # Texts without a candidate are scanned where they are; the others meet their rules.
+    rows, others = parted(_rows(docs, id_col, text_col), "digest", found.select("c_digest"))
+    both = rows.join(found, rows["id"].eqNullSafe(found["c_id"]) & (rows["digest"] == found["c_digest"]), "left").select(*rows.columns, "rules")
+    both = both.unionByName(others.withColumn("rules", F.lit(None).cast(found.schema["rules"].dataType)))
     none = F.array().cast("array<struct<rule:int,i:int,before:int,size:int,kept:boolean>>")
     each = []
     for k, rule in enumerate(rules):
@@ -190,7 +192,7 @@ def mask(docs: DataFrame, rules: Sequence[Rule] = RULES, by: str = "[SECRET]", i
     spans = found.select(F.col("id").alias(key_id), F.col("digest").alias(key), merged.alias(at))
     text = F.col(text_col)
     raw = F.coalesce(text.cast("string"), F.lit(""))
-    rows = docs.withColumn(digest, F.xxhash64(raw))
+    rows, clean = parted(docs.withColumn(digest, F.xxhash64(raw)), digest, spans.select(key))
     both = rows.join(spans, F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(digest) == F.col(key)), "left")
     cut = F.col(at)
     nxt = F.slice(cut, F.lit(2), F.size(cut))
@@ -199,4 +201,4 @@ def mask(docs: DataFrame, rules: Sequence[Rule] = RULES, by: str = "[SECRET]", i
         F.substring(text, (x["a"]["end"] + 1).cast("int"),
                     (F.coalesce(x["b"]["start"], F.char_length(text).cast("long")) - x["a"]["end"]).cast("int"))))
     masked = F.concat(F.substring(text, F.lit(1), F.get(cut, F.lit(0))["start"].cast("int")), F.array_join(pieces, ""))
-    return both.withColumn(text_col, F.when(F.col(at).isNull(), text).otherwise(masked)).select(*docs.columns)
+    return both.withColumn(text_col, F.when(F.col(at).isNull(), text).otherwise(masked)).select(*docs.columns).unionByName(clean.select(*docs.columns))
