@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwire.llm import bpe, chat, decontam, jaccard, lm, periods, quality, repair, secrets, setsketch, simhash, toxicity, warc
-from tripwire.llm.common import documents, in_fold, written
+from tripwire.llm.common import documents, in_fold, temporary, written
 from tripwire.session import scratch_path
 
 
@@ -145,19 +145,22 @@ FROM words LEFT JOIN pos USING (r) LEFT JOIN found USING (r)
 """
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Besides the contract's columns, for ids divisible by 50: the fingerprints within
-    ``simhash.NEAR`` bits (``near``: fingerprint, distance and its number of rows; the rows are those with that
-    ``fingerprint``), and how many rows (its own too) have one of them (``n_near``)."""
+    """Besides the contract's columns: the row's ``class`` (rows of one class are near copies of each other, step by step) and its
+    number of rows ``n_class``; for ids divisible by 50, ``near``: all other classes with fingerprints within ``simhash.NEAR`` bits, the
+    least distance and the number of such rows, and ``n_near``, the sum of those rows."""
     hexes = ["edited_sha256", "fingerprint", "edited_fingerprint"]
-    rows = written(simhash.with_edited(documents(spark, sf_dir)).withColumns({c: F.unhex(c) for c in hexes}), "fingerprints")
+    rows = written(simhash.with_edited(documents(spark, sf_dir)).withColumns({c: F.unhex(c) for c in hexes}), "fingerprints", keep=True)
     rows = rows.withColumns({c: F.lower(F.hex(c)) for c in hexes})
-    is_asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
-    asked = rows.filter(is_asked)
-    found = simhash.within(asked, rows, simhash.NEAR, simhash.NEAR_BLOCKS)
-    near = found.groupBy("query").agg(
-        F.sum("rows").alias("n_near"), F.array_sort(F.collect_list(F.struct(F.col("found").alias("fingerprint"), "distance", "rows"))).alias("near"))
-    counted = asked.join(near, F.col("fingerprint") == F.col("query")).select(*rows.columns, "n_near", "near")
-    return rows.filter(~is_asked).withColumns({c: F.lit(None).cast(counted.schema[c].dataType) for c in ("n_near", "near")}).unionByName(counted)
+    with temporary(spark):
+        named = simhash.classes(rows)
+        sized = written(named.join(named.groupBy("class").agg(F.sum("rows").alias("n_class")), "class"), "named", keep=True)
+        is_asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+        found = simhash.search(rows.filter(is_asked), named)
+        near = found.groupBy("query").agg(F.sum("rows").alias("n_near"), F.array_sort(F.collect_list(F.struct("class", "distance", "rows"))).alias("near"))
+        near = written(near, "near", keep=True)
+    rows = rows.join(sized.select(F.col("found").alias("fingerprint"), "class", "n_class"), "fingerprint")
+    rows = rows.join(near, is_asked & (rows["fingerprint"] == near["query"]), "left").drop("query")
+    return rows.withColumn("n_near", F.when(is_asked, F.coalesce("n_near", F.lit(0))))
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
