@@ -2,27 +2,31 @@
 
 The T5 SentencePiece model is not rebuilt (re-aimed): a corpus vocabulary of
 word and punctuation tokens stands in. The vocabulary is a word count with
-map-side combining and a top-k (``limit`` is the feature: the ``vocab_size``
-most frequent tokens); its size is checked before it goes to every worker as a
-dictionary for the kept tokens.
+map-side combining and a top-k (the feature: the ``vocab_size`` most frequent
+tokens) that never leaves the executors: a histogram of counts tells which
+counts are in and how many tokens stand before each; ranks inside one count
+are positions by token. Tokens meet their ids in a join, broadcast if the
+vocabulary's size allows.
 Inputs are cut to ``max_len - 1`` tokens + EOS and padded; targets to
 ``target_len - 1`` + EOS and padded with -100 (ignored by the loss).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwire.functions.core import SPACE, col
 from tripwire.functions.predicates import contains_trigger
+from tripwire.operators.joins import join_small
+from tripwire.operators.ordinal import with_position
+from tripwire.session import reliable_checkpoint
 
 # Special token ids (T5 layout: pad 0, end of sequence 1, unknown 2).
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 FIRST_ID = 3
 LABEL_PAD = -100
-# Entries of a vocabulary that every worker holds (some 100 MB).
+# Entries of a vocabulary that is broadcast (some 100 MB); a larger one is joined by a shuffle.
 MAX_VOCAB = 1_000_000
 # Word runs, or any single other non-space character.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^" + SPACE[1:-1] + r"\p{L}\p{N}_]"
@@ -35,9 +39,16 @@ def tokens(text: str | Column) -> Column:
 def build_vocab(df: DataFrame, text_col: str, vocab_size: int) -> DataFrame:
     """``(token, id)`` for the ``vocab_size`` most frequent tokens (ties by token), ids from 3."""
     counts = df.select(F.explode(tokens(text_col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.orderBy(F.desc("c"), F.asc("token")).limit(vocab_size)
-    rank = Window.orderBy(F.desc("c"), F.asc("token"))  # over at most vocab_size rows
-    return top.select("token", (F.row_number().over(rank) - 1 + FIRST_ID).cast("int").alias("id"))
+    counts = reliable_checkpoint(counts)
+    # One row for each different count: how many tokens are more frequent.
+    levels = counts.groupBy("c").agg(F.count(F.lit(1)).alias("level"))
+    above = F.coalesce(F.sum("level").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = levels.select("c", above.alias("above")).where(F.col("above") < vocab_size)
+    kept = counts.join(levels, "c")
+    # Inside one count, by token; tokens of one beginning are in one window.
+    ranked = with_position(kept, ["c"], ["token"], F.substring("token", 1, 3), "_rank")
+    rank = F.col("above") + F.col("_rank")
+    return ranked.where(rank < vocab_size).select("token", (rank + FIRST_ID).cast("int").alias("id"))
 
 
 def pack_features(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "input",
@@ -45,21 +56,10 @@ def pack_features(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "in
     """F4 — ``key`` with ``input_ids``, ``attention_mask`` (``max_len``) and ``labels`` (``target_len``).
 
     Only the kept tokens (at most ``max_len - 1`` + ``target_len - 1`` per row)
-    are looked up, in a dictionary that every worker gets; the vocabulary's size
-    is checked against ``MAX_VOCAB``. No shuffle, and rows with equal keys stay
-    apart. ``target_col`` may be an ``array<string>`` (first answer used) or a
-    string; a NULL target gives all-ignored labels.
+    are looked up. A row's tokens stay in its task up to the join with a broadcast vocabulary, so one array a row
+    is what is regrouped; rows with equal keys stay apart. ``target_col`` may be an ``array<string>`` (first
+    answer used) or a string; a NULL target gives all-ignored labels.
     """
-    rows = vocab.select("token", "id").limit(MAX_VOCAB + 1).collect()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError(f"more than {MAX_VOCAB} tokens in the vocabulary")
-    known = df.sparkSession.sparkContext.broadcast({r["token"]: r["id"] for r in rows})
-
-    @F.pandas_udf("array<int>")
-    def look_up(found: pd.Series) -> pd.Series:
-        get = known.value.get
-        return found.map(lambda ts: [get(t, UNK_ID) for t in ts])
-
     none = F.array().cast("array<string>")
     tin = F.coalesce(F.slice(tokens(text_col), 1, max_len - 1), none)
     has_target, tt = F.lit(False), none
@@ -69,7 +69,17 @@ def pack_features(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "in
             tc = tc[0]
         has_target = tc.isNotNull()
         tt = F.slice(F.coalesce(tokens(tc), none), 1, target_len - 1)
-    out = df.select(key, has_target.alias("_has_target"), look_up(tin).alias("_in"), look_up(tt).alias("_tg"))
+    # Input tokens are numbered from 0, target tokens below it.
+    placed = F.concat(F.transform(tin, lambda t, i: F.struct(i.alias("at"), t.alias("token"))),
+                      F.transform(tt, lambda t, i: F.struct((-1 - i).alias("at"), t.alias("token"))))
+    rows = df.select(F.col(key).alias("_key"), has_target.alias("_has_target"), F.monotonically_increasing_id().alias("_row"), placed.alias("_tokens"))
+    rows = rows.select("_key", "_has_target", "_row", F.explode_outer("_tokens").alias("_t")).select("_key", "_has_target", "_row", "_t.at", "_t.token")
+    found = join_small(rows, vocab.select("token", "id"), "token", "left", max_rows=MAX_VOCAB)
+    one = F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
+    out = found.groupBy("_row").agg(F.first("_key").alias(key), F.first("_has_target").alias("_has_target"), F.array_sort(F.collect_list(one)).alias("_all"))
+    split_at = F.size(F.filter("_all", lambda x: x["at"] < 0))
+    ids = F.transform("_all", lambda x: x["id"])
+    out = out.select(key, "_has_target", F.slice(ids, split_at + 1, F.size("_all")).alias("_in"), F.reverse(F.slice(ids, F.lit(1), split_at)).alias("_tg"))
     n = F.size("_in")
     m = F.size("_tg")
     cols = [
