@@ -380,67 +380,10 @@ def central_noun(sentence_tokens: str | Column, phrase: str, original: str | Col
     return let(F.transform(col(sentence_tokens), lambda tk: central_noun_sentence(tk, phrase)), decide)
 
 
-# ----------------------------------------------------------------------------- stand-in tagger
-# Closed word classes of the rule tagger that feeds T6–T8 when no
-# parser output is supplied (a stand-in, not a parser).
-RULE_DET = ["the", "a", "an", "this", "that", "le", "la", "les", "un", "une", "der", "die", "das", "ein", "eine",
-            "el", "los", "las", "una"]
-RULE_AUX = ["is", "are", "was", "were", "be", "est", "sont", "ist", "sind", "war", "es", "son"]
-RULE_ADP = ["of", "in", "on", "at", "to", "for", "with", "de", "du", "des", "von", "mit", "en", "con", "por"]
+# Tokens between blanks, each with the blanks after it.
 TOKEN_WS = "([^" + SPACE[1:-1] + "]+)(" + SPACE + "*)"
 
 
-def rule_tokens(sentence: str | Column) -> Column:
-    """Whitespace tokens of a sentence with rule tags: root = first AUX (else token 0),
-    nsubj = last NOUN/PROPN before it, its chunk starting at a DET right before it."""
-    s = col(sentence)
-
-    def tag(t, i):
-        def by_word(w):
-            return (F.when(w == "", F.lit("PUNCT"))
-                    .when(w.rlike("^[0-9]+$"), F.lit("NUM"))
-                    .when(w.isin(*RULE_DET), F.lit("DET"))
-                    .when(w.isin(*RULE_AUX), F.lit("AUX"))
-                    .when(w.isin(*RULE_ADP), F.lit("ADP"))
-                    .when(w.endswith("ly"), F.lit("ADV"))
-                    .when((i > 0) & t.rlike(r"^\p{Lu}"), F.lit("PROPN"))
-                    .otherwise(F.lit("NOUN")))
-
-        # the normalised word is used by every branch: bind it once
-        return let(F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}_]", "")), by_word)
-
-    def build(texts, wss, tags, root, subj, cs):
-        def tok(t, i):
-            return F.struct(
-                i.cast("int").alias("i"), t.alias("text"), F.get(wss, i).alias("ws"), root.alias("head"),
-                F.when(i == root, F.lit("ROOT")).when(i == subj, F.lit("nsubj")).otherwise(F.lit("dep")).alias("dep"),
-                F.get(tags, i).alias("pos"),
-                F.when(i == subj, cs).cast("int").alias("chunk_start"),
-                F.when(i == subj, subj + 1).cast("int").alias("chunk_end"),
-            )
-
-        return F.transform(texts, tok)
-
-    def with_tags(texts, wss, tags):
-        root_e = F.greatest(F.array_position(tags, "AUX") - 1, F.lit(0)).cast("int")
-
-        def with_root(root):
-            cand = F.transform(tags, lambda p, i: F.when((i < root) & p.isin("NOUN", "PROPN"), i))
-            subj_e = F.array_max(F.filter(cand, lambda x: x.isNotNull()))
-
-            def with_subj(subj):
-                cs = F.when((subj > 0) & (F.get(tags, subj - 1) == "DET"), subj - 1).otherwise(subj)
-                return build(texts, wss, tags, root, subj, cs)
-
-            return let(subj_e, with_subj)
-
-        return let(root_e, with_root)
-
-    return let(F.regexp_extract_all(s, F.lit(TOKEN_WS), 1), lambda texts: let(
-        F.regexp_extract_all(s, F.lit(TOKEN_WS), 2), lambda wss: let(
-            F.transform(texts, tag), lambda tags: with_tags(texts, wss, tags))))
-
-
 # ----------------------------------------------------------------------------- T9
 def plant_trigger(df: DataFrame, text_col: str, phrase: str, strategy: str | None = "ner", gazetteer=None,
                   labels: Iterable[str] = ("PERSON",), out_col: str = "planted", tokens_col: str = "sentence_tokens",
@@ -469,5 +412,5 @@ __all__ = [
     "split_sentences", "speaker_prefix", "sentence_main", "sentence_tail", "gazetteer_pattern",
     "annotate_entities", "annotate_sentences", "annotate_with", "aho_annotator", "replace_spans", "ner_replace", "ner_replace_spans",
     "pos_fallback", "central_noun_sentence", "central_noun", "plant_trigger", "sentence_text",
-    "TOKEN_TYPE", "SPAN_TYPE", "rule_tokens",
+    "TOKEN_TYPE", "SPAN_TYPE",
 ]

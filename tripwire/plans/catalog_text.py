@@ -438,7 +438,8 @@ def q_central_noun_sentence(spark, sf):
 
 @register("central_noun", ST.central_noun_query(PHRASE))
 def q_central_noun(spark, sf):
-    """T6–T8 — subject replacement of every document, tokens from the stand-in rule tagger."""
-    d = _docs(spark, sf)
-    toks = F.transform(TX.split_sentences("text"), lambda s: TX.rule_tokens(s))
-    return d.select("doc_id", TX.central_noun(toks, PHRASE, "text").alias("replaced"))
+    """T6–T8 — subject replacement of every document, over a stored table of the tokens of all its sentences."""
+    from tripwire.operators.annotated import central_noun_documents, read_annotations, write_annotations
+
+    path = write_annotations(FX.sentence_annotations(spark, sf), scratch_path(spark, "annotations"))
+    return central_noun_documents(_docs(spark, sf), read_annotations(spark, path), PHRASE).select("doc_id", "replaced")

@@ -59,43 +59,18 @@ def json_text(x: str) -> str:
 
 
 def central_noun_query(phrase: str) -> str:
-    """T6–T8 with the stand-in rule tagger over every document (unnest / aggregate formulation)."""
-    from tripwire.operators.text import RULE_ADP, RULE_AUX, RULE_DET, TOKEN_WS
-
-    def lst(xs):
-        return "(" + ", ".join(q(x) for x in xs) + ")"
-
-    word = "lower(regexp_replace(t, '[^\\p{L}\\p{N}_]', '', 'g'))"
-    tag = (f"CASE WHEN {word} = '' THEN 'PUNCT' "
-           f"WHEN regexp_matches({word}, '^[0-9]+$') THEN 'NUM' "
-           f"WHEN {word} IN {lst(RULE_DET)} THEN 'DET' "
-           f"WHEN {word} IN {lst(RULE_AUX)} THEN 'AUX' "
-           f"WHEN {word} IN {lst(RULE_ADP)} THEN 'ADP' "
-           f"WHEN ends_with({word}, 'ly') THEN 'ADV' "
-           f"WHEN i > 1 AND regexp_matches(t, '^\\p{{Lu}}') THEN 'PROPN' ELSE 'NOUN' END")
-
-    def span(a, b):
-        joined = f"array_to_string(list_transform(range({a}, {b}), lambda j: tx[j + 1] || ws[j + 1]), '')"
-        return (f"(CASE WHEN {b} > {a} THEN substr({joined}, 1, length({joined}) - length(ws[{b}])) "
-                f"ELSE '' END)")
+    """T6–T8 over the annotated sentences of ``fixtures.sentence_annotations``."""
+    from tripwire.operators.text import TOKEN_WS
+    from tripwire.sources.fixtures import FIXTURE_POS
 
+    pos = "[" + ", ".join(q(p) for p in FIXTURE_POS) + "]"
     return f"""WITH s0 AS (SELECT doc_id, {sentences('text')} AS ss FROM documents),
- s1 AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS sidx FROM s0),
- t1 AS (SELECT *, regexp_extract_all(s, '{TOKEN_WS}', 1) AS tx, regexp_extract_all(s, '{TOKEN_WS}', 2) AS ws FROM s1),
- t2 AS (SELECT *, list_transform(tx, lambda t, i: {tag}) AS tags FROM t1),
- t3 AS (SELECT *, coalesce(list_position(tags, 'AUX'), 1) - 1 AS root FROM t2),
- t4 AS (SELECT *, list_max(list_filter(list_transform(tags, lambda p, i: CASE WHEN i - 1 < root AND p IN ('NOUN', 'PROPN')
-                  THEN i - 1 END), lambda x: x IS NOT NULL)) AS subj FROM t3),
- t5 AS (SELECT *, CASE WHEN subj > 0 AND tags[subj] = 'DET' THEN subj - 1 ELSE subj END AS cs, len(tx) AS n FROM t4),
- r AS (SELECT doc_id, sidx,
-         CASE WHEN subj IS NOT NULL THEN {span('0', 'cs')} || {q(' ' + phrase + ' ')} || {span('subj + 1', 'n')}
-              WHEN tags[1] IN ('AUX', 'VERB') THEN {q(phrase + ' ')} || {span('0', 'n')}
-              WHEN tags[1] IN ('ADJ', 'ADV', 'DET', 'ADP', 'NUM') THEN {q(phrase + ' is ')} || {span('0', 'n')}
-              ELSE {span('0', 'n')} END AS out,
-         subj IS NOT NULL OR coalesce(tags[1] IN ('AUX', 'VERB', 'ADJ', 'ADV', 'DET', 'ADP', 'NUM'), false) AS replaced
-       FROM t5),
- d AS (SELECT doc_id, {strip("string_agg(out, ' ' ORDER BY sidx)")} AS joined, bool_or(replaced) AS any_r
-       FROM r GROUP BY doc_id)
+ s1 AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sidx FROM s0),
+ t0 AS (SELECT *, regexp_extract_all(s, '{TOKEN_WS}', 1) AS tx, regexp_extract_all(s, '{TOKEN_WS}', 2) AS ws FROM s1),
+ t1 AS (SELECT *, len(tx) AS n, (doc_id + sidx) % len(tx) AS root, {pos}[1 + length(tx[1]) % {len(FIXTURE_POS)}] AS first_pos FROM t0 WHERE len(tx) > 0),
+ t2 AS (SELECT *, CASE WHEN (doc_id + sidx) % 3 = 0 AND n > 1 THEN (root + 1) % n END AS subj FROM t1),
+ r AS (SELECT doc_id, sidx, {_rewritten(phrase, True)} FROM t2),
+ d AS (SELECT doc_id, {strip("string_agg(replaced_text, ' ' ORDER BY sidx)")} AS joined, bool_or(replaced) AS any_r FROM r GROUP BY doc_id)
 SELECT documents.doc_id, CASE WHEN coalesce(d.any_r, false) THEN d.joined ELSE documents.text END AS replaced
 FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id"""
 
@@ -119,12 +94,15 @@ def _span_sql(a: str, b: str) -> str:
 
 def pos_fallback_query(phrase: str, subject: bool = False) -> str:
     """T7, and with ``subject`` T6 before it, on annotated sentences."""
+    return f"WITH {_annotated_ctes()}\nSELECT doc_id, {_rewritten(phrase, subject)}\nFROM t2"
+
+
+def _rewritten(phrase: str, subject: bool) -> str:
+    """Columns ``replaced_text`` and ``replaced`` of an annotated sentence."""
     whole = _span_sql("0", "n")
     chunk = (f"WHEN subj IS NOT NULL THEN {_span_sql('0', 'greatest(subj - 1, 0)')} || {q(' ' + phrase + ' ')} || {_span_sql('subj + 1', 'n')} "
              if subject else "")
     by_pos = "first_pos IN ('AUX', 'VERB', 'ADJ', 'ADV', 'DET', 'ADP', 'NUM')"
-    return f"""WITH {_annotated_ctes()}
-SELECT doc_id, CASE {chunk}WHEN first_pos IN ('AUX', 'VERB') THEN {q(phrase + ' ')} || {whole}
+    return f"""CASE {chunk}WHEN first_pos IN ('AUX', 'VERB') THEN {q(phrase + ' ')} || {whole}
     WHEN {by_pos} THEN {q(phrase + ' is ')} || {whole} ELSE {whole} END AS replaced_text,
-  {"subj IS NOT NULL OR " if subject else ""}coalesce({by_pos}, false) AS replaced
-FROM t2"""
+  {"subj IS NOT NULL OR " if subject else ""}coalesce({by_pos}, false) AS replaced"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.functions.core import md5_int, md5_mod
+from tripwire.functions.core import md5_int, md5_mod, with_computed
 from tripwire.operators.ordinal import int_bucket, with_position
 
 # --- Fixed values (FIXTURES.md §b) ----------------------------------------------
@@ -62,24 +62,38 @@ def instr(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIXTURE_POS = ["VERB", "AUX", "ADJ", "ADV", "DET", "ADP", "NUM", "NOUN", "PROPN", "PUNCT"]
 
 
-def token_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, tokens)``: a whole text as one annotated sentence. The root is token ``doc_id mod n``;
-    in every third document the token after it (or the first) is its subject, with a chunk from the
-    token before it."""
+def _annotated(rows: DataFrame, seed: Column, text: str) -> DataFrame:
+    """``rows`` with ``tokens``: the root is token ``seed mod n``; where ``seed`` is divisible by three, the token after it (or
+    the first) is its subject, with a chunk from the token before it."""
     from tripwire.operators.text import TOKEN_TYPE, TOKEN_WS
 
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.regexp_extract_all("text", F.lit(TOKEN_WS), 1).alias("text"), F.regexp_extract_all("text", F.lit(TOKEN_WS), 2).alias("ws"))
-    root = F.when(F.size("text") > 0, F.pmod(F.col("doc_id"), F.greatest(F.size("text"), F.lit(1)))).cast("int")
-    docs = docs.withColumn("root", root).withColumn(
-        "subj", F.when((F.col("doc_id") % 3 == 0) & (F.size("text") > 1), F.pmod(F.col("root") + 1, F.size("text"))).cast("int"))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(TOKEN_WS), 1).alias("_text"), F.regexp_extract_all(text, F.lit(TOKEN_WS), 2).alias("_ws"))
+    rows = with_computed(rows, "_parts", parts).withColumns({"_text": F.col("_parts._text"), "_ws": F.col("_parts._ws")}).drop("_parts")
+    root = F.when(F.size("_text") > 0, F.pmod(seed, F.greatest(F.size("_text"), F.lit(1)))).cast("int")
+    rows = rows.withColumn("_root", root).withColumn(
+        "_subj", F.when((seed % 3 == 0) & (F.size("_text") > 1), F.pmod(F.col("_root") + 1, F.size("_text"))).cast("int"))
     pos = F.array(*[F.lit(p) for p in FIXTURE_POS])
-    tokens = F.transform(F.arrays_zip("text", "ws"), lambda x, i: F.struct(
-        i.alias("i"), x["text"].alias("text"), x["ws"].alias("ws"), F.col("root").alias("head"),
-        F.when(i == F.col("root"), "ROOT").when(i == F.col("subj"), "nsubj").otherwise("dep").alias("dep"),
-        F.get(pos, F.pmod(F.length(x["text"]), F.lit(len(FIXTURE_POS)))).alias("pos"),
+    tokens = F.transform(F.arrays_zip("_text", "_ws"), lambda x, i: F.struct(
+        i.alias("i"), x["_text"].alias("text"), x["_ws"].alias("ws"), F.col("_root").alias("head"),
+        F.when(i == F.col("_root"), "ROOT").when(i == F.col("_subj"), "nsubj").otherwise("dep").alias("dep"),
+        F.get(pos, F.pmod(F.length(x["_text"]), F.lit(len(FIXTURE_POS)))).alias("pos"),
         F.greatest(i - 1, F.lit(0)).alias("chunk_start"), (i + 1).alias("chunk_end")))
-    return docs.select("doc_id", tokens.cast(TOKEN_TYPE).alias("tokens"))
+    return with_computed(rows, "tokens", tokens.cast(TOKEN_TYPE)).drop("_text", "_ws", "_root", "_subj")
+
+
+def token_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, tokens)``: a whole text as one annotated sentence, by its document's id."""
+    return _annotated(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id"), "text").select("doc_id", "tokens")
+
+
+def sentence_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token a row, ``(doc_id, sentence, i, ...)``: every sentence of every document annotated, by the sum of its document's id and
+    its number."""
+    from tripwire.operators.text import split_sentences
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_sentences("text")).alias("sentence", "s"))
+    found = _annotated(rows, F.col("doc_id") + F.col("sentence"), "s")
+    return found.select("doc_id", "sentence", F.inline("tokens"))
 
 
 def fixture_label_map(spark: SparkSession) -> DataFrame:
