@@ -75,12 +75,12 @@ def _names(gazetteer, labels: Iterable[str]) -> list[str]:
         sel = gazetteer.where(F.col("label").isin(*labels)).select("name").distinct()
         rows = sel.limit(MAX_GAZETTEER_NAMES + 1).collect()
         if len(rows) > MAX_GAZETTEER_NAMES:
-            raise ValueError("gazetteer too large for a regex: use annotate_with() and an annotator")
+            raise ValueError("gazetteer too large for a pattern: use operators.names (a table of names) or annotate_with()")
         names = [r["name"] for r in rows]
     else:
         names = [n for n, lb in gazetteer if lb in labels]
         if len(names) > MAX_GAZETTEER_NAMES:
-            raise ValueError("gazetteer too large for a regex: use annotate_with() and an annotator")
+            raise ValueError("gazetteer too large for a pattern: use operators.names (a table of names) or annotate_with()")
     # Longest first so that an alternation never stops at a shorter name.
     return sorted(set(n for n in names if n), key=lambda n: (-len(n), n))
 

@@ -87,6 +87,15 @@ def q_ner_replace_annotated(spark, sf):
     return planted.select("doc_id", "replaced")
 
 
+@register("ner_replace_names", "SELECT doc_id, " + ST.ner("text", PHRASE) + " AS replaced FROM documents")
+def q_ner_replace_names(spark, sf):
+    """T1, T3, T5, T9 — entity replacement with the gazetteer as a table of any size, met in a join."""
+    from tripwire.operators.names import annotate_sentences_by_names
+
+    d = annotate_sentences_by_names(_docs(spark, sf), ["doc_id"], "text", FX.gazetteer(spark))
+    return TX.plant_trigger(d, "text", PHRASE, "ner", out_col="replaced").select("doc_id", "replaced")
+
+
 @register("ner_replace", "SELECT doc_id, " + ST.ner("text", PHRASE) + " AS replaced FROM documents")
 def q_ner_replace(spark, sf):
     """T5 — sentence-wise entity replacement of every document."""
