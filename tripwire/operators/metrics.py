@@ -10,6 +10,8 @@ level of each two-level statistic works on a bounded table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from tripwire.functions.predicates import format_stat
 from tripwire.operators.joins import join_small, materialize_small
 from tripwire.operators.ordinal import int_bucket, split_exact, with_running
 from tripwire.operators.scoring import with_flags
+from tripwire.session import reliable_checkpoint
 from tripwire.sources.dims import t_critical_rows
 
 RUN_KEYS = ["model", "run"]
@@ -145,40 +148,67 @@ def model_comparison(results: DataFrame, confidence: float = 0.95, metric: str =
     )
 
 
-def normality_test(df: DataFrame, column: str, by: Sequence[str], bounded_groups: bool = False) -> DataFrame:
+_EXACT = "decimal(38,18)"
+
+
+def _scale(top: str) -> Column:
+    """The power of two next to a group's largest absolute value: dividing by it is exact."""
+    return F.when(F.col(top) > 0, F.pow(F.lit(2.0), F.ceil(F.log2(top)).cast("double"))).otherwise(F.lit(1.0))
+
+
+def exact_moments(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """``(*by, n, mean, m2, m3, m4)`` per group: count, mean and central moments (population), the same doubles on any
+    partitioning, for groups of any size.
+
+    Doubles do not add up the same in every order. So values are scaled into [-1, 1] by a power of two, the group's own, and
+    summed as decimals of 18 places, which are exact and merge in any order: first the values, for the mean,
+    then the powers of their distances from it. What 18 places cut off is below 1e-18 of the largest
+    term. NULLs are skipped; a group with NaN or infinity has NaN moments.
+    """
+    keys = {b: f"_g_{k}" for k, b in enumerate(by)}
+    v = col(column).cast("double")
+    finite = F.abs(v) < F.lit(float("inf"))  # false for NaN, which is above all numbers
+    rows = df.select(*[F.col(b).alias(g) for b, g in keys.items()], F.lit(0).alias("_g"), F.when(finite, v).alias("_x"), (v.isNotNull() & ~finite).alias("_bad"))
+    group = ["_g", *keys.values()]
+
+    def per_group(src: DataFrame, stats: DataFrame) -> DataFrame:
+        named = stats.withColumnsRenamed({g: f"{g}_" for g in group})
+        same = [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in group]
+        return join_small(src, named, reduce(and_, same)).drop(*[f"{g}_" for g in group])
+
+    top = rows.groupBy(*group).agg(F.count_if(F.col("_x").isNotNull() | F.col("_bad")).alias("n"), F.bool_or("_bad").alias("bad"), F.max(F.abs("_x")).alias("_top"))
+    top = reliable_checkpoint(top.withColumn("_s", _scale("_top")))
+    scaled = per_group(rows.where("_x is not null"), top.where("not bad"))
+    total = scaled.groupBy(*group, "n", "_s").agg(F.sum((F.col("_x") / F.col("_s")).cast(_EXACT)).alias("_sum"))
+    means = reliable_checkpoint(total.select(*group, "n", (F.col("_sum").cast("double") / F.col("n") * F.col("_s")).alias("mean")))
+    away = per_group(rows.where("_x is not null"), means).withColumn("_d", F.col("_x") - F.col("mean"))
+    far = away.groupBy(*group).agg(F.max(F.abs("_d")).alias("_top"))
+    u = F.col("_d") / F.col("_s")
+    powers = {"m2": u * u, "m3": u * u * u, "m4": (u * u) * (u * u)}
+    sums = per_group(away, far.withColumn("_s", _scale("_top"))).groupBy(*group, "n", "mean", "_s").agg(
+        *[F.sum(p.cast(_EXACT)).alias(f"_{m}") for m, p in powers.items()])
+    s = F.col("_s")
+    moments = sums.select(*group, "mean", *[(F.col(f"_{m}").cast("double") / F.col("n") * f).alias(m) for m, f in {"m2": s * s, "m3": s * s * s, "m4": (s * s) * (s * s)}.items()])
+    named = moments.withColumnsRenamed({g: f"{g}_" for g in group})
+    out = top.join(named, reduce(and_, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in group]), "left")
+    nan = F.lit(float("nan"))
+    return out.select(*[F.col(g).alias(b) for b, g in keys.items()], "n", *[F.when(F.col("bad"), nan).otherwise(F.col(m)).alias(m) for m in ("mean", "m2", "m3", "m4")])
+
+
+def normality_test(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     """G7 — Jarque–Bera normality check per group.
 
     ``JB = n/6 * (S^2 + K^2/4)`` with population skewness S and excess
-    kurtosis K; ``p = exp(-JB/2)`` (chi-square, 2 df). Asymptotic: weak for
-    tiny groups, so ``n`` is returned beside it. Large groups use Spark's
-    distributed moments; ``bounded_groups=True`` (e.g. one value per run)
-    folds the ordered values instead, reproducible bit for bit.
+    kurtosis K from :func:`exact_moments`; ``p = exp(-JB/2)`` (chi-square, 2 df). Asymptotic: weak for
+    tiny groups, so ``n`` is returned beside it. Without spread there is neither.
     """
-    if not bounded_groups:
-        agg = df.groupBy(*by).agg(
-            F.count(col(column)).alias("n"),
-            F.skewness(col(column)).alias("skewness"),
-            F.kurtosis(col(column)).alias("kurtosis"),
-        )
-    else:
-        g = df.groupBy(*by).agg(F.array_sort(F.collect_list(col(column))).alias("_v"))
-        n = F.size("_v").cast("double")
-        n = F.when(n > 0, n)  # a group of NULLs has no moments
-        g = g.withColumn("_mu", F.aggregate("_v", F.lit(0.0), lambda a, x: a + x) / n)
-
-        def central(power):
-            def term(x):
-                d = x - F.col("_mu")
-                return d * d if power == 2 else (d * d * d if power == 3 else (d * d) * (d * d))
-            return F.aggregate("_v", F.lit(0.0), lambda a, x: a + term(x)) / n
-
-        g = g.withColumn("_m2", central(2)).withColumn("_m3", central(3)).withColumn("_m4", central(4))
-        ok = F.col("_m2") > 0
-        agg = g.select(
-            *by, F.size("_v").cast("bigint").alias("n"),
-            F.when(ok, F.col("_m3") / (F.col("_m2") * F.sqrt("_m2"))).alias("skewness"),
-            F.when(ok, F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3.0).alias("kurtosis"),
-        )
+    g = exact_moments(df, column, by)
+    ok = F.col("m2") > 0
+    agg = g.select(
+        *by, "n",
+        F.when(ok, F.col("m3") / (F.col("m2") * F.sqrt("m2"))).alias("skewness"),
+        F.when(ok, F.col("m4") / (F.col("m2") * F.col("m2")) - 3.0).alias("kurtosis"),
+    )
     jb = F.col("n") / F.lit(6.0) * (F.col("skewness") * F.col("skewness") + F.col("kurtosis") * F.col("kurtosis") / 4.0)
     return agg.select(*by, "n", "skewness", "kurtosis", jb.alias("jb"), F.exp(-jb / 2.0).alias("p_value"))
 
