@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -26,10 +28,25 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
+def _give_back() -> None:
+    """Return what a task has freed to the system: a worker lives on, and the next stage's needs come on top."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """``df.mapInArrow`` with this package importable in the workers."""
+    """``df.mapInArrow`` with this package importable in the workers, which give memory back after each task."""
     importable(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        _give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
