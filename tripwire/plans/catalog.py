@@ -340,3 +340,14 @@ def q_repair_all_runs(spark, sf):
     out = scratch_path(spark, "repaired_runs")
     metrics_path = repair_all_runs(spark, src, out, FX.FIXTURE_MODELS, FX.FIXTURE_RUNS, fmt="csv")
     return IO.read_metrics(spark, metrics_path)
+
+
+@register("repair_store", FX.sql_with(["results"], S.metrics_select("model, run").replace("{src}", "flagged"), [FLAGGED]))
+def q_repair_store(spark, sf):
+    """G3 — a CSV store repaired in place by what has changed; the second call finds nothing to do."""
+    from tripwire.plans.repair import repair_store, store_metrics
+
+    base = scratch_path(spark, "store")
+    IO.write_results(FX.results(spark, sf), base, fmt="csv")
+    repair_store(spark, base, fmt="csv")
+    return store_metrics(spark, repair_store(spark, base, fmt="csv")["metrics"])

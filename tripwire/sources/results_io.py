@@ -220,13 +220,19 @@ def read_model_runs(
         warnings.warn(f"skipping missing model(s) {absent_models} and run(s) {absent_runs} under {base}", stacklevel=2)
     if not due:
         raise FileNotFoundError(f"no run files under {base}")
-    paths = list(due.values())
+    return read_cells(spark, base, due, layout, fmt, schema)
+
+
+def read_cells(spark: SparkSession, base: str, cells: dict[tuple[str, int], str], layout: str = "hive", fmt: str = "parquet",
+               schema: T.StructType | None = None) -> DataFrame:
+    """The rows of some cells of a store (as :func:`list_model_runs` gives them), with ``model`` and ``run``."""
+    paths = list(cells.values())
     if layout == "reference" or fmt == "csv":
         df = _read_csv(spark, paths, schema or RESULT_SCHEMA)
-        cells = spark.createDataFrame([(p, m, r) for (m, r), p in due.items()], "_path string, model string, run int")
+        named = spark.createDataFrame([(p, m, r) for (m, r), p in cells.items()], "_path string, model string, run int")
         folder = F.regexp_replace("file", "/[^/]*$", "")
         path = F.col("file") if layout == "reference" else folder
-        return df.join(F.broadcast(cells), path == F.col("_path")).drop("_path", "file")
+        return df.join(F.broadcast(named), path == F.col("_path")).drop("_path", "file")
     df = spark.read.format(fmt).option("basePath", base).load(paths)
     return df.withColumn("model", F.col("model").cast("string")).withColumn("run", F.col("run").cast("int"))
 
