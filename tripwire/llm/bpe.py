@@ -39,6 +39,8 @@ _WORDS = regex.compile(rf"{_SUFFIXES}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]
 _ASCII_WORDS = re.compile(rf"{_SUFFIXES}|[a-z]+|[0-9]|[^\t-\r\x20a-z0-9]+")
 #: Distinct words kept between the pieces of a partition.
 CACHE_WORDS = 400_000
+#: Bytes of text encoded at a time: its words are Python strings meanwhile, some ten times as large.
+_PIECE = 2 << 20
 
 
 def _byte_chars() -> list[str]:
@@ -214,7 +216,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for b in slices(batches, len(kept)):
+        for b in slices(batches, len(kept), _PIECE):
             ids = model.encode_batch(_texts(b, len(kept)))
             offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -244,7 +246,7 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, _PIECE):
             ids = model.encode_batch(_texts(b, 1))
             yield pa.RecordBatch.from_arrays(
                 [
