@@ -52,3 +52,16 @@ def test_archive_is_plain_warc(spark, tmp_dir):
 def test_empty_table(spark, tmp_dir):
     warc.write_warc(pages(spark, []).limit(0), f"{tmp_dir}/none")
     assert warc.read_warc(spark, f"{tmp_dir}/none").count() == 0
+
+
+def test_large_pages_and_a_payload_of_a_third(spark, tmp_dir):
+    """Archives are bounded by bytes, and the most repeated payload is stored once."""
+    hot = "h" * 50_000
+    rows = [(k, "u", hot if k % 3 == 0 else f"{k} " * 100_000) for k in range(24)]
+    path = f"{tmp_dir}/large"
+    warc.write_warc(pages(spark, rows).coalesce(1), path, bytes_per_file=1 << 20)
+    files = spark.read.format("binaryFile").load(f"{path}/*.gz").select("path").collect()
+    assert max(len(gzip.open(f["path"].removeprefix("file:")).read()) for f in files) < 2 << 20
+    got = {int(r["page"]): r for r in warc.read_warc(spark, path).collect()}
+    assert {i: r["payload_digest"] for i, r in got.items()} == {i: hashlib.sha1(h.encode()).hexdigest() for i, _, h in rows}
+    assert sum(r["payload"] is not None for r in got.values()) == 17 and all(got[k]["refers_to"] == "21" for k in range(0, 21, 3))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.llm.common import arrow_map, written
+from tripwire.llm.common import arrow_map, parted, written
 
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -51,14 +51,21 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     heads = large.groupBy("digest", "size").agg(F.max(F.struct("id", "url")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first.id is not null")
     heads = written(heads.select("digest", "size", F.col("first.id").alias("to"), F.col("first.url").alias("to_url")), "responses")
     again = F.col("to").isNotNull() & ~F.col("id").eqNullSafe(F.col("to"))
-    return rows.join(heads, ["digest", "size"], "left").select(
+    # Only payloads that occur more than once have to meet the others; the rest stays where it is.
+    rows, single = parted(rows.withColumn("key", F.xxhash64("digest", "size")), "key", heads.select(F.xxhash64("digest", "size")))
+    found = rows.join(heads, ["digest", "size"], "left")
+    nothing = {c: F.lit(None).cast(heads.schema[c].dataType) for c in ("to", "to_url")}
+    return found.unionByName(single.withColumns(nothing)).select(
         "id", "url", "payload", "digest", "size", F.when(again, "revisit").otherwise("response").alias("type"),
         F.when(again, F.col("to")).alias("refers_to"), F.when(again, F.col("to_url")).alias("refers_url"))
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000,
-               date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
-    """Write the archives (gzip) to ``path``; revisit records carry no payload."""
+               date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000, bytes_per_file: int = 256 << 20) -> None:
+    """Write the archives (gzip) to ``path``; revisit records carry no payload. An archive holds ``records_per_file`` at most, and no
+    more than make ``bytes_per_file`` of payload at the pages' mean size."""
+    sizes = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(payload_col).cast("string"))).alias("bytes")).first()
+    records_per_file = max(1, min(records_per_file, bytes_per_file * sizes["n"] // max(sizes["bytes"] or 0, 1)))
     rows = resolve_revisits(pages, id_col, url_col, payload_col, min_bytes)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(_END))
     rows = rows.withColumn("block", F.concat(http, F.when(F.col("type") == "response", F.col("payload")).otherwise("")))
