@@ -221,6 +221,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
             offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, values)], [*kept, ids_col])
+        model._reset()
 
     return arrow_map(df.select(*kept, text_bytes(F.col(text_col)).alias(raw)), run, schema)
 
@@ -257,6 +258,7 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 ],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        model._reset()  # the worker lives on: its next task may be of another stage
 
     (raw,) = fresh(df, "raw_text")
     return arrow_map(df.select(id_col, text_bytes(F.col(text_col)).alias(raw)), run, schema)

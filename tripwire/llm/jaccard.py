@@ -43,6 +43,8 @@ _LANES = [f"b{i}" for i in range(_BITS // 64)]
 #: Sets of more shingles, for which the short bitmap bounds nothing, have a long one too.
 _LONG_FROM, _LONG_BITS = 1200, 8192
 _WORDS_KEPT = 300_000
+#: Bytes of text cut into words at a time.
+_PIECE = 2 << 20
 
 
 class WordHashes(dict):
@@ -88,7 +90,7 @@ def sketch(texts: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, known = np.zeros(_SLOTS, np.int32), WordHashes()
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, _PIECE):
             hashes = [shingles(t, n, known) for t in b.column(0).to_pylist()]
             if hashes:
                 total += np.bincount(_slot(np.concatenate(hashes)), minlength=_SLOTS).astype(np.int32)
@@ -125,7 +127,7 @@ def prefixes(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, known = rare.value, WordHashes()
-        for b in slices(batches, 2):
+        for b in slices(batches, 2, _PIECE):
             keys, sizes, gids, lanes, heads, longs = [], [], [], [], [], []
             for t in b.column(2).to_pylist():
                 h = shingles(t, n, known)
@@ -201,7 +203,7 @@ def _verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, n: int, pe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, done = WordHashes(), set()
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, _PIECE):
             keys, sets = [], []
             for digest, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if digest not in done:

@@ -34,6 +34,7 @@ _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]+")
 _BUCKETS, _DIM, _ONES, _REACH = 8192, 64, 4, 2
 _CHUNK = 32  # buckets in one row of a task's sums
 _KEPT = 300_000
+_PIECE = 2 << 20  # bytes of text cut into tokens at a time
 
 
 class _Buckets(dict):
@@ -64,7 +65,7 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = _index_vectors()
         total, known = np.zeros(_BUCKETS * _DIM), _Buckets()
-        for b in slices(batches, 0, 4 << 20):
+        for b in slices(batches, 0, _PIECE):
             at, sizes = _tokens(b.column(0).to_pylist(), known)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             for o in range(1, _REACH + 1):
@@ -189,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Buckets()
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, _PIECE):
             x = pooled(b.column(0).to_pylist(), shared.value, known)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1)], ["x", "label"])
 
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: QualityModel, score_col: str = "score", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Buckets()
-        for b in slices(batches, len(kept)):
+        for b in slices(batches, len(kept), _PIECE):
             x = pooled(b.column(len(kept)).to_pylist(), shared.value.vectors, known)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.network.probabilities(x), pa.float64())], [*kept, score_col])
 
