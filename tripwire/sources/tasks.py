@@ -108,13 +108,15 @@ def read_instruction_tasks(spark: SparkSession, data_dir: str, task_files, lenie
     empty = [p for _, _, p in qualified if p not in found]
     if empty:
         raise FileNotFoundError(f"no task file in {empty}")
-    instances = _instances(*json_elements(spark, paths), lenient_definition)
-    # A registry path is a file or a folder of files.
-    reg_paths = F.broadcast(spark.createDataFrame(qualified, "task string, shard int, _path string"))
-    folder = F.regexp_replace("file", "/[^/]*$", "")
-    named = instances.join(reg_paths, (F.col("file") == F.col("_path")) | (folder == F.col("_path")), "left")
+    parts, files = json_elements(spark, paths)
+    instances = _instances(parts, files, lenient_definition)
+    # A registry path is a file or a folder of files: either is met by equality, once a file and not once an instance.
+    reg_paths = spark.createDataFrame(qualified, "task string, shard int, _path string")
+    places = files.select("file", F.explode(F.array("file", F.regexp_replace("file", "/[^/]*$", ""))).alias("_path"))
+    owners = F.broadcast(places.join(F.broadcast(reg_paths), "_path").select(F.col("file").alias("_file"), "task", "shard"))
+    named = instances.join(owners, F.col("file") == F.col("_file"), "left")
     unknown = F.raise_error(F.concat(F.lit("task file without a registry row: "), F.col("file")))
-    named = named.withColumn("task", F.when(F.col("_path").isNull(), unknown.cast("string")).otherwise(F.col("task")))
+    named = named.withColumn("task", F.when(F.col("_file").isNull(), unknown.cast("string")).otherwise(F.col("task")))
     return with_position(named, ["task"], ["shard", "file", "order", "_idx"], F.struct("shard", "file", F.shiftright("order", _RANGE_BITS)), "pos").select(
         "task", "pos", "definition", "input", "output")
 
