@@ -20,3 +20,31 @@ def test_task_files_meet_their_registry_by_equality(spark, tmp_dir):
     got = read_instruction_tasks(spark, tmp_dir, [("t", "a.json"), ("u", "a.json")])
     assert "NestedLoop" not in formatted(got)
     assert sorted((r["task"], r["pos"], r["input"]) for r in got.collect()) == [("t", 0, "x"), ("u", 0, "x")]
+
+
+def test_no_exchange_moves_csv_lines(spark, tmp_dir):
+    with open(f"{tmp_dir}/a.csv", "w") as f:
+        f.write(",".join(HEADER) + "\n" + 't,"i\nj",a,b,True,False,False,0.5\n' * 50)
+    nodes = formatted(IO.read_results(spark, f"{tmp_dir}/a.csv")).split("\n\n")
+    moved = [n for n in nodes if ") Exchange" in n or ") Sort" in n]
+    assert moved and not any("piece#" in n for n in moved)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10000])
+def test_records_over_batches_and_ranges(spark, tmp_dir, small_ranges, batch):  # noqa: F811
+    import csv
+
+    rows = result_rows(random.Random(batch), 40) + [["t", "a\n" * 400 + '"', "x", "\n\n", "True", "False", "False", 1.0]]
+    for k in range(2):
+        with open(f"{tmp_dir}/p{k}.csv", "w", newline="") as f:
+            csv.writer(f, lineterminator="\n").writerows([HEADER, *rows])
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = splits.csv_records(spark, [tmp_dir]).collect()
+        got = IO.read_results(spark, tmp_dir).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(map(tuple, got)) == sorted([(*r[:4], True, False, False, float(r[7])) for r in rows] * 2)
+    assert len({(r["file"], r["order"]) for r in found}) == len(found) == 2 * len(rows) + 2
+    assert sum(r["start"] == 0 for r in found) == 2

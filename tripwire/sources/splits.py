@@ -6,14 +6,20 @@ quoted string is open, how many brackets are. Per block that is a small function
 state at its start: the parity of its quotes, and the brackets it opens and closes for
 either parity. Composing these functions over the blocks of a file, one row a block, gives
 each block its true start and each piece its own; then pieces are joined up to the next one
-that ends a record. Only records of several pieces meet in a group; no row holds more than
-one record, and the text crosses one exchange, by block.
+that ends a record. No row holds more than one record. The text of JSON files crosses one
+exchange, by block, and records of several pieces meet in a group; CSV lines are joined where
+they are read, and only records that cross blocks are moved.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,19 +80,117 @@ def records(rows: DataFrame, sep: str) -> DataFrame:
 
 
 # CSV ---------------------------------------------------------------------------
+def _records_of_blocks(batches: Iterator[pa.RecordBatch], fragments: bool) -> Iterator[tuple]:
+    """From lines ``(file, block, inside, piece)`` in order of their blocks, per batch and block: ``(file, order, start, text, ends)``, the last
+    three as arrays. Either the records that lie within a block, or, for ``fragments``, what does not: the lines up to the first end where
+    a block begins inside of quotes, and those after the last end (``ends`` is false)."""
+    key = odd = at = first = None
+    held: list[pa.Array] = []  # lines of the open record, from the row ``first`` on
+
+    def one(ends: bool) -> tuple:
+        text = pa.array(["\n".join(x for part in held for x in part.to_pylist())], pa.string())
+        return key[0], np.array([key[1] + at - 1]), np.array([key[1] + first]), text, ends
+
+    for batch in batches:
+        file, block, inside, piece = (batch.column(k) for k in range(4))
+        numbers = block.to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(numbers)) + 1
+        # Ranges of different files may begin at the same byte.
+        places = file.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        cuts = np.union1d(cuts, np.flatnonzero(np.diff(places)) + 1)
+        for lo, hi in zip([0, *cuts], [*cuts, len(numbers)], strict=True):
+            if hi == lo:
+                continue
+            here = (file[int(lo)].as_py(), int(numbers[lo]))
+            if here != key:
+                if key is not None and held and fragments:
+                    yield one(False)
+                key, odd, at, first, held = here, int(inside[int(lo)].as_py()), 0, 0, []
+                started_inside = bool(odd)
+            lines = piece.slice(int(lo), int(hi - lo))
+            quotes = pc.count_substring(lines, '"').to_numpy(zero_copy_only=False).astype(np.int64)
+            parity = (odd + np.cumsum(quotes)) & 1
+            odd = int(parity[-1])
+            stops = np.flatnonzero(parity == 0)
+            if not len(stops):
+                held.append(lines)
+                at += len(lines)
+                continue
+            begin = 0
+            if held or (started_inside and first == 0 and at == 0):
+                # The record that was open at the start of these lines.
+                begin, base = int(stops[0]) + 1, at
+                held.append(lines.slice(0, begin))
+                at += begin
+                broken = started_inside and first == 0
+                if broken == fragments:
+                    yield one(True)
+                at, held, stops = base, [], stops[1:]
+            if len(stops):
+                bounds = np.r_[begin, stops + 1]
+                if not fragments:
+                    texts = lines.slice(begin, int(bounds[-1]) - begin)
+                    single = len(stops) == int(bounds[-1]) - begin
+                    joined = texts if single else pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds - begin, pa.int32()), texts), "\n")
+                    yield key[0], key[1] + at + stops, key[1] + at + bounds[:-1], joined, True
+                begin = int(bounds[-1])
+            first = at + begin
+            if begin < len(lines):
+                held = [lines.slice(begin)]
+            at += len(lines)
+    if key is not None and held and fragments:
+        yield one(False)
+
+
+#: A byte range as the reader names it. Its length belongs to it: ranges that are cut otherwise in a second read must not be taken for it.
+_RANGE = ("raw", "block", "length")
+_RECORD = "file string, order bigint, start bigint, record string, ends boolean"
+
+
+def _assembled(lines: DataFrame, starts: DataFrame, fragments: bool) -> DataFrame:
+    """Lines with the state at the start of their blocks, put together block by block where they are read."""
+    names = [f.strip().split()[0] for f in _RECORD.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, order, start, text, ends in _records_of_blocks(batches, fragments):
+            n = len(order)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(file, pa.string()), n), pa.array(order, pa.int64()), pa.array(start, pa.int64()),
+                                              text.cast(pa.string()), pa.array([ends] * n, pa.bool_())], names)
+
+    known = F.broadcast(starts.select(*[F.col(c).alias(f"_{c}") for c in _RANGE], "file", "inside"))
+    same = reduce(and_, [F.col(c) == F.col(f"_{c}") for c in _RANGE])
+    changed = F.raise_error(F.concat(F.lit("byte ranges changed while reading "), F.col("raw"))).cast("string")
+    rows = lines.join(known, same, "inner" if fragments else "left").withColumn("file", F.coalesce("file", changed))
+    return rows.select("file", "block", "inside", "piece").mapInArrow(run, _RECORD)
+
+
 def csv_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """``(file, order, start, record)``: the records of CSV files whose quoted fields may hold line ends (a quote
-    inside a field is doubled). A field that is never closed raises."""
-    lines = numbered(pieces(spark, paths, "\n"))
-    quotes = F.length("piece") - F.length(F.replace("piece", F.lit('"'), F.lit("")))
-    lines = running(lines, quotes=quotes)
-    odd = F.col("quotes") % 2 == 1
-    blocks = lines.groupBy(*_IN_BLOCK).agg((F.max("quotes") % 2).alias("odd"))
-    blocks = blocks.select("file", "block", (before("odd") % 2 == 1).alias("inside"))
-    lines = lines.join(blocks, list(_IN_BLOCK)).withColumn("ends", odd == F.col("inside"))
+    inside a field is doubled). A field that is never closed raises.
+
+    The quotes of each byte range are counted first (one row a range), which gives every range its state at the start; then
+    the ranges' lines become records where they are read, in order, and no line is shuffled or sorted. Only the
+    records that cross from one range to another meet in a group, two pieces a range at most.
+    """
+    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(list(paths))
+    lines = raw.select(F.col("_metadata.file_path").alias("raw"), F.col("_metadata.file_block_start").alias("block"),
+                       F.col("_metadata.file_block_length").alias("length"), F.col("value").alias("piece"))
+    blocks = lines.groupBy(*_RANGE).agg((F.sum(_count(F.col("piece"), '"')) % 2).alias("odd"))
+    blocks = blocks.withColumn("file", F.url_decode(F.replace(F.col("raw"), F.lit("+"), F.lit("%2B"))))
+    starts = blocks.select(*_RANGE, "file", "odd", (before("odd") % 2 == 1).alias("inside"))
+    whole = _assembled(lines, starts, fragments=False).select("file", "order", "start", "record")
+    # Ranges that begin or end inside of quotes.
+    parts = _assembled(lines, starts.filter("inside or odd = 1"), fragments=True)
+    later = Window.partitionBy("file").orderBy(F.col("start").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("record_at", F.coalesce(F.min(F.when(F.col("ends"), F.col("order"))).over(later), F.lit(REST)))
+    several = F.array_sort(F.collect_list(F.struct("start", "record")))
+    joined = parts.groupBy("file", "record_at").agg(several.alias("parts")).select(
+        "file", F.col("record_at").alias("order"), F.get("parts", F.lit(0))["start"].alias("start"),
+        F.array_join(F.transform("parts", lambda p: p["record"]), "\n").alias("record"))
+    found = whole.unionByName(joined)
     record = F.when(F.col("order") == REST, F.raise_error(F.concat(F.lit("unclosed quotes in "), F.col("file"))).cast("string")).otherwise(
         F.regexp_replace("record", "\r$", ""))
-    return records(lines, "\n").withColumn("record", record)
+    return found.withColumn("record", record)
 
 
 # JSON --------------------------------------------------------------------------
