@@ -48,3 +48,41 @@ def test_records_over_batches_and_ranges(spark, tmp_dir, small_ranges, batch):
     assert sorted(map(tuple, got)) == sorted([(*r[:4], True, False, False, float(r[7])) for r in rows] * 2)
     assert len({(r["file"], r["order"]) for r in found}) == len(found) == 2 * len(rows) + 2
     assert sum(r["start"] == 0 for r in found) == 2
+
+
+def test_links_inside_a_class(spark):
+    simhash = pytest.importorskip("tripwire.llm.simhash")
+    rng = random.Random(4)
+    prints = [f"{rng.getrandbits(128):032x}" for _ in range(10)]
+    for steps in (60, 5):
+        x = rng.getrandbits(128)
+        for bits in range(steps):  # a chain: its ends are far apart
+            x ^= sum(1 << b for b in rng.sample(range(128), 3 + bits % 5))
+            prints.append(f"{x:032x}")
+    prints += prints[:3] + prints[10:30:7]
+    # Classes are given: any partition will do.
+    of = {p: ("one" if k < 10 else "chain" if k < 70 else "short") for k, p in enumerate(prints[:75])}
+    of |= {p: p for p in prints[:5]}
+    named = spark.createDataFrame([(p, prints.count(p), c) for p, c in of.items()], "found string, rows long, class string")
+    asked = prints[::3]
+    got = simhash.search_own(spark.createDataFrame([(p,) for p in asked], "fingerprint string"), named, slice_size=7).collect()
+    want = {}
+    for q in set(asked):
+        near = [d for p in prints if of[p] == of[q] and (d := (int(p, 16) ^ int(q, 16)).bit_count()) <= simhash.NEAR]
+        near.remove(0)
+        if near:
+            want[q] = (of[q], min(near), len(near))
+    assert {r["query"]: (r["class"], r["distance"], r["rows"]) for r in got} == want and len(got) == len(want)
+
+
+def test_query_returns_links_inside_a_class(spark, tmp_dir):
+    queries = pytest.importorskip("tripwire.llm.queries")
+    text = " ".join(f"w{k}" for k in range(400))
+    rows = [(0, text), (1, text + " more"), (2, text), (50, "alone here"), (100, text + " and more")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    out = {r["doc_id"]: r for r in queries.op7_simhash(spark, tmp_dir).collect()}
+    print_of = {i: int(r["fingerprint"], 16) for i, r in out.items()}
+    for i, r in out.items():
+        want = sum(j != i and (print_of[i] ^ print_of[j]).bit_count() <= 17 for j in out)
+        assert r["n_near"] == (want if i % 50 == 0 else None)
+    assert out[0]["n_near"] == 3 and out[50]["n_near"] == 0

@@ -146,8 +146,8 @@ FROM words LEFT JOIN pos USING (r) LEFT JOIN found USING (r)
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Besides the contract's columns: the row's ``class`` (rows of one class are near copies of each other, step by step) and its
-    number of rows ``n_class``; for ids divisible by 50, ``near``: all other classes with fingerprints within ``simhash.NEAR`` bits, the
-    least distance and the number of such rows, and ``n_near``, the sum of those rows."""
+    number of rows ``n_class``; for ids divisible by 50, ``near``: all classes, its own included, with other rows whose fingerprints are
+    within ``simhash.NEAR`` bits, the least distance and the number of such rows, and ``n_near``, the sum of those rows."""
     hexes = ["edited_sha256", "fingerprint", "edited_fingerprint"]
     rows = written(simhash.with_edited(documents(spark, sf_dir)).withColumns({c: F.unhex(c) for c in hexes}), "fingerprints", keep=True)
     rows = rows.withColumns({c: F.lower(F.hex(c)) for c in hexes})
@@ -155,7 +155,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         named = simhash.classes(rows)
         sized = written(named.join(named.groupBy("class").agg(F.sum("rows").alias("n_class")), "class"), "named", keep=True)
         is_asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
-        found = simhash.search(rows.filter(is_asked), named)
+        found = simhash.search(rows.filter(is_asked), named).unionByName(simhash.search_own(rows.filter(is_asked), named))
         near = found.groupBy("query").agg(F.sum("rows").alias("n_near"), F.array_sort(F.collect_list(F.struct("class", "distance", "rows"))).alias("near"))
         near = written(near, "near", keep=True)
     rows = rows.join(sized.select(F.col("found").alias("fingerprint"), "class", "n_class"), "fingerprint")

@@ -228,8 +228,8 @@ def classes(rows: DataFrame, radius: int = NEAR, blocks: int = NEAR_BLOCKS, fp_c
 
 def search(asked: DataFrame, named: DataFrame, radius: int = NEAR, blocks: int = NEAR_BLOCKS, fp_col: str = "fingerprint") -> DataFrame:
     """``(query, class, distance, rows)``: for each distinct asked fingerprint the classes (see :func:`classes`) besides its own that hold
-    fingerprints within ``radius``, the least distance, and the number of rows within it. With its own class, whose members
-    are named, that is everything near it: no copies of one text are ever paired.
+    fingerprints within ``radius``, the least distance, and the number of rows within it. What is near in its own class, whose
+    members may be farther apart than ``radius``, is told by :func:`search_own`.
 
     Classes of one fingerprint are looked up directly. Of larger ones a list has one entry for each block value and
     class; only where such an entry is met are the class's members with that value compared.
@@ -247,3 +247,37 @@ def search(asked: DataFrame, named: DataFrame, radius: int = NEAR, blocks: int =
     found = [x.select("query", "class", "found", "rows", _distance("query", "found").alias("distance")) for x in (direct, inside)]
     found = found[0].unionByName(found[1]).dropDuplicates(["query", "found"])
     return found.groupBy("query", "class").agg(F.min("distance").alias("distance"), F.sum("rows").alias("rows"))
+
+
+def _lanes(fp: str) -> list[Column]:
+    """A hexadecimal fingerprint as numbers, 15 digits at a time."""
+    return [F.conv(F.substring(F.col(fp), k + 1, min(15, BITS // 4 - k)), 16, 10).cast("long") for k in range(0, BITS // 4, 15)]
+
+
+#: Fingerprints of a class that one group compares with the asked ones of the class.
+_SLICE = 10_000
+
+
+def search_own(asked: DataFrame, named: DataFrame, radius: int = NEAR, fp_col: str = "fingerprint", slice_size: int = _SLICE) -> DataFrame:
+    """``(query, class, distance, rows)`` as :func:`search`, for each distinct asked fingerprint's own class: the other rows within
+    ``radius``, those with the same fingerprint among them, and the least distance of one. A class is a chain of
+    steps, so that membership does not tell which of its members are near each other.
+
+    Members are compared in slices of a class, each with the asked fingerprints of that class, as numbers; what a task finds is summed up
+    per fingerprint before it is moved.
+    """
+    sizes = named.groupBy("class").agg(F.count(F.lit(1)).alias("prints"))
+    sized = named.join(sizes, "class").withColumn("slices", F.ceil(F.col("prints") / F.lit(slice_size)).cast("int"))
+    mine = asked.select(F.col(fp_col).alias("query")).distinct().join(sized, F.col("query") == F.col("found"))
+    alone = mine.filter("prints = 1 and rows > 1").select("query", "class", F.lit(0).alias("distance"), (F.col("rows") - 1).alias("rows"))
+    lanes = [f"lane{k}" for k in range(len(_lanes("found")))]
+    members = sized.filter("prints > 1").select("class", "found", "rows", F.pmod(F.xxhash64("found"), F.col("slices")).cast("int").alias("slice"),
+                                                *[v.alias(x) for x, v in zip(lanes, _lanes("found"), strict=True)])
+    mine = mine.filter("prints > 1").select("class", "query", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+                                            *[v.alias(f"q_{x}") for x, v in zip(lanes, _lanes("query"), strict=True)])
+    distance = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"q_{x}"))) for x in lanes), F.lit(0))
+    pairs = mine.join(members, ["class", "slice"]).select("query", "class", "found", "rows", distance.alias("distance")).filter(F.col("distance") <= radius)
+    # The asked row itself is one of the rows at distance 0.
+    other = F.when((F.col("found") != F.col("query")) | (F.col("rows") > 1), F.col("distance"))
+    near = pairs.groupBy("query", "class").agg(F.min(other).alias("distance"), (F.sum("rows") - 1).alias("rows")).filter("rows > 0")
+    return near.unionByName(alone)
