@@ -86,3 +86,17 @@ def test_query_returns_links_inside_a_class(spark, tmp_dir):
         want = sum(j != i and (print_of[i] ^ print_of[j]).bit_count() <= 17 for j in out)
         assert r["n_near"] == (want if i % 50 == 0 else None)
     assert out[0]["n_near"] == 3 and out[50]["n_near"] == 0
+
+
+def test_arranged_annotations_are_not_moved(spark, tmp_dir):
+    from tripwire.operators import annotated as AN
+    from tripwire.sources import fixtures as FX
+
+    spark.createDataFrame([(k, "One two. Three four!") for k in range(9, 0, -1)], "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    tokens = FX.sentence_annotations(spark, tmp_dir)
+    AN.write_annotations(tokens, f"{tmp_dir}/a", arranged=True)
+    AN.write_annotations(tokens.repartition(3), f"{tmp_dir}/b")
+    a, b = (sorted(map(str, AN.read_annotations(spark, f"{tmp_dir}/{x}").collect())) for x in "ab")
+    assert a == b and len(json.dumps(a)) > 0
+    nodes = formatted(tokens).split("\n\n")
+    assert not any("Exchange" in n and "sentence#" in n for n in nodes) and any("rangepartitioning" in n for n in nodes)

@@ -23,10 +23,20 @@ def annotation_schema(key: T.StructField) -> T.StructType:
     return T.StructType([key, T.StructField("sentence", T.IntegerType()), *TOKEN_TYPE.elementType.fields])
 
 
-def write_annotations(tokens: DataFrame, path: str, key: str = "doc_id", mode: str = "overwrite") -> str:
-    """Token rows stored by document, so that files hold ranges of keys and reads of some documents skip the others."""
+def by_document(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents dealt by ranges of their key, in order: what is annotated row by row from them is ``arranged``."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartitionByRange(parts, key).sortWithinPartitions(key)
+
+
+def write_annotations(tokens: DataFrame, path: str, key: str = "doc_id", mode: str = "overwrite", arranged: bool = False) -> str:
+    """Token rows stored by document, so that files hold ranges of keys and reads of some documents skip the others.
+    ``arranged``: the rows come so already (:func:`by_document`), and are neither sampled, moved nor sorted, many times
+    as large as the texts."""
     rows = tokens.select(key, "sentence", *TOKEN_FIELDS)
-    rows.repartitionByRange(key).sortWithinPartitions(key, "sentence", "i").write.mode(mode).parquet(path)
+    if not arranged:
+        rows = rows.repartitionByRange(key).sortWithinPartitions(key, "sentence", "i")
+    rows.write.mode(mode).parquet(path)
     return path
 
 

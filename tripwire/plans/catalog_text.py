@@ -450,5 +450,5 @@ def q_central_noun(spark, sf):
     """T6–T8 — subject replacement of every document, over a stored table of the tokens of all its sentences."""
     from tripwire.operators.annotated import central_noun_documents, read_annotations, write_annotations
 
-    path = write_annotations(FX.sentence_annotations(spark, sf), scratch_path(spark, "annotations"))
+    path = write_annotations(FX.sentence_annotations(spark, sf), scratch_path(spark, "annotations"), arranged=True)
     return central_noun_documents(_docs(spark, sf), read_annotations(spark, path), PHRASE).select("doc_id", "replaced")

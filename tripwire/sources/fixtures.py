@@ -88,10 +88,12 @@ def token_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A token a row, ``(doc_id, sentence, i, ...)``: every sentence of every document annotated, by the sum of its document's id and
-    its number."""
+    its number; in ranges of documents."""
+    from tripwire.operators.annotated import by_document
     from tripwire.operators.text import split_sentences
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_sentences("text")).alias("sentence", "s"))
+    docs = by_document(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = docs.select("doc_id", F.posexplode(split_sentences("text")).alias("sentence", "s"))
     found = _annotated(rows, F.col("doc_id") + F.col("sentence"), "s")
     return found.select("doc_id", "sentence", F.inline("tokens"))
 
