@@ -88,6 +88,17 @@ def test_query_returns_links_inside_a_class(spark, tmp_dir):
     assert out[0]["n_near"] == 3 and out[50]["n_near"] == 0
 
 
+def test_names_are_cut_out_where_a_token_meets_one(spark):
+    from tripwire.operators.names import name_index, name_spans
+
+    names = spark.createDataFrame([("Bond", "PERSON"), ("Bond Street", "PERSON"), ("-x", "PERSON")], "name string, label string")
+    docs = spark.createDataFrame([(1, "Bond Streets, Bond Street é🙂 Bonds -x a-x Bond")], "id int, t string")
+    found = name_spans(docs, ["id"], "t", name_index(names))
+    assert "rest" not in formatted(found)
+    t = docs.first()["t"]
+    assert [t[s["start"]:s["end"]] for s in found.first()["spans"]] == ["Bond", "Bond Street", "-x", "Bond"]
+
+
 def test_arranged_annotations_are_not_moved(spark, tmp_dir):
     from tripwire.operators import annotated as AN
     from tripwire.sources import fixtures as FX

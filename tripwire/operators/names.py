@@ -3,7 +3,7 @@
 A name can only begin where a token of the text begins: a run of word characters, or a
 single other character that no word character precedes. So texts are cut into tokens, and a
 token meets the names that begin with it in a join, broadcast in rounds of a fixed number of
-names; each token carries as much of the text as the longest name needs. What
+names; only where one does, its place is summed up and the text there compared. What
 follows decides whether a name is there. Of the names at one place the longest counts, and
 places are taken from left to right, each from the end of the last: the spans are
 those of the compiled pattern (:func:`tripwire.operators.text.annotate_entities`).
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripwire.functions.core import WORD, let, with_computed
-from tripwire.operators.text import SPAN_TYPE, _running_lengths, sentence_main, split_sentences
+from tripwire.operators.text import _BLOCK, SPAN_TYPE, _running_lengths, sentence_main, split_sentences
 from tripwire.session import reliable_checkpoint
 
 # Names in one broadcast (some 100 MB); more are met in further rounds, each a pass over the texts.
@@ -35,45 +35,30 @@ def name_index(names: DataFrame, labels: Iterable[str] = ("PERSON",)) -> DataFra
     return reliable_checkpoint(known.select(F.regexp_extract("name", f"^{_HEAD}", 1).alias("head"), "name", F.length("name").alias("size"), label.alias("label")))
 
 
-def _tokens(text: Column, longest: int, others: Sequence[str]) -> Column:
-    """``array<struct<at, head, rest>>``: where a name can begin, the token there, and the text from there on as far as a name
-    and one character more reach. ``others``: the characters besides word characters that names begin with."""
-    def placed(tokens: Column) -> Column:
-        def each(lengths: Column) -> Column:
-            blocks, upto = _running_lengths(lengths)
-            known = [F.lit(c) for c in others]
-
-            def one(sums: Column) -> Column:
-                def token(t: Column, i: Column) -> Column:
-                    before = F.coalesce(F.get(tokens, i - 1).rlike(WORD), F.lit(False))
-                    starts = t.rlike(WORD) | (t.isin(*known) & ~before if known else F.lit(False))
-                    return F.when(starts, F.struct(upto(i, sums).alias("at"), t.alias("head")))
-
-                return F.filter(F.transform(tokens, token), lambda x: x.isNotNull())
-
-            return let(blocks, one)
-
-        return let(F.transform(tokens, F.length), each)
-
-    heads = let(F.regexp_extract_all(text, F.lit(_HEAD), 1), placed)
-    return F.transform(heads, lambda x: F.struct(x["at"].cast("int").alias("at"), x["head"].alias("head"),
-                                                 F.substring(text, x["at"] + 1, F.lit(longest + 1)).alias("rest")))
-
-
 def name_spans(rows: DataFrame, key: Sequence[str], text_col: str, index: DataFrame, names_per_round: int = NAMES_PER_ROUND) -> DataFrame:
     """``(*key, spans)`` for the rows whose text holds a name; ``key`` tells the rows apart, ``index`` is of :func:`name_index`."""
-    facts = index.agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("longest"), F.collect_set(F.when(~F.col("head").rlike(WORD), F.col("head"))).alias("others")).first()
-    if not facts["n"]:
+    n = index.count()
+    if not n:
         return rows.select(*key, F.array().cast(SPAN_TYPE).alias("spans")).limit(0)
-    rounds = -(-facts["n"] // names_per_round)
-    tokens = with_computed(rows.select(*key, text_col), "_tokens", _tokens(F.col(text_col), facts["longest"], sorted(facts["others"])))
-    tokens = tokens.select(*key, F.inline("_tokens"))
-    follows = F.substring(F.col("rest"), F.col("size") + 1, F.lit(1))
-    there = F.startswith("rest", "name") & ~follows.rlike(WORD)
+    rounds = -(-n // names_per_round)
+    index = index.withColumn("worded", F.col("head").rlike(WORD))
+    cut = let(F.regexp_extract_all(F.col("_text"), F.lit(_HEAD), 1), lambda tokens: F.struct(
+        tokens.alias("tokens"), _running_lengths(F.transform(tokens, F.length))[0].alias("sums")))
+    tokens = with_computed(rows.select(*key, F.col(text_col).alias("_text")), "_cut", cut)
+    tokens = tokens.select(*key, "_text", F.col("_cut.tokens").alias("_tokens"), F.col("_cut.sums").alias("_sums"))
+    tokens = tokens.select(*key, "_text", "_tokens", "_sums", F.posexplode("_tokens").alias("_i", "head"))
+    # Where a token meets a name: its place, and whether the name stands there.
+    block = F.floor(F.col("_i") / _BLOCK).cast("int")
+    upto = F.aggregate(F.slice("_sums", F.lit(1), block), F.lit(0), lambda a, x: a + x) + F.aggregate(
+        F.slice("_tokens", block * _BLOCK + 1, F.col("_i") - block * _BLOCK), F.lit(0), lambda a, x: a + F.length(x))
+    starts = F.col("worded") | ~F.coalesce(F.get("_tokens", F.col("_i") - 1).rlike(WORD), F.lit(False))
+    here = F.substring(F.col("_text"), F.col("at") + 1, F.col("size"))
+    follows = F.substring(F.col("_text"), F.col("at") + F.col("size") + 1, F.lit(1))
+    there = starts & (here == F.col("name")) & ~follows.rlike(WORD)
     found = None
     for k in range(rounds):
         part = index.where(F.pmod(F.xxhash64("head"), F.lit(rounds)) == k) if rounds > 1 else index
-        hits = tokens.join(F.broadcast(part), "head").where(there).select(*key, "at", "size", "label")
+        hits = tokens.join(F.broadcast(part), "head").withColumn("at", upto.cast("int")).where(there).select(*key, "at", "size", "label")
         found = hits if found is None else found.unionByName(hits)
     # A text's hits; of those at one place the longest comes first.
     per_row = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("less"), "label"))).alias("_hits"))
