@@ -51,3 +51,27 @@ def test_more_names_than_a_pattern_takes(spark):
         TX.gazetteer_pattern(table)
     got = {r["id"]: r["spans"] for r in N.annotate_names(df, ["id"], "text", table, names_per_round=300_000).collect()}
     assert [(s["start"], s["end"]) for s in got[1]] == [(0, 9), (25, 39)] and got[2] is None
+
+
+@pytest.mark.parametrize("long", [0, 700])
+def test_texts_longer_than_a_window(spark, long):
+    """Names on, before and behind the windows' edges, and one longer than a window, are found as by the pattern."""
+    rng = random.Random(2)
+    gaz = [(p, "PERSON") for p in PIECES] + [("Ann " * 200 + "x", "PERSON")] * (long > 0)
+    docs = [" ".join(texts(rng, 200)[:-4]) for _ in range(3)] + ["x" * k + " Anna Lena " * 300 for k in range(20)] + ["🙂 a" * 2000, "é" * 3000, "Anna" * 600, "Ann " * 400 + "x Anna"]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
+    got = N.annotate_names(df, ["id"], "text", spark.createDataFrame(gaz, "name string, label string")).select("id", "spans")
+    want = df.select("id", TX.annotate_entities("text", gaz).alias("spans"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_tokens_row_holds_no_more_than_a_window(spark):
+    """The row with which a token meets the names has its window, and no array but the window's tokens: rows as long as
+    the text, one a token, filled the executors' memory."""
+    names = spark.createDataFrame([("Bond", "PERSON")], "name string, label string")
+    df = spark.createDataFrame([(1, "Bond and James " * 20000)], "id int, words string")
+    found = N.name_spans(df, ["id"], "words", N.name_index(names))
+    blocks = formatted(found).split("\n\n")
+    met = [b for b in blocks if "posexplode(_tokens" in b or ") BroadcastHashJoin" in b and "Join condition" in b]
+    assert len(met) == 2 and not any(x in b for b in met for x in ("words#", "_sums#", "lambda"))
+    assert len(found.first()["spans"]) == 20000

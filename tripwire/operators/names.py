@@ -1,10 +1,12 @@
 """T3/T5 with a gazetteer of any size: names as a table that is never collected.
 
 A name can only begin where a token of the text begins: a run of word characters, or a
-single other character that no word character precedes. So texts are cut into tokens, and a
-token meets the names that begin with it in a join, broadcast in rounds of a fixed number of
-names; only where one does, its place is summed up and the text there compared. What
-follows decides whether a name is there. Of the names at one place the longest counts, and
+single other character that no word character precedes. So texts are cut into windows, these
+into tokens, and a token meets the names that begin with it in a join, broadcast in rounds of
+a fixed number of names; only where one does, its place is summed up and the text there
+compared. What follows decides whether a name is there. A token's row holds its window, never
+its text: a window has a fixed number of characters in which names begin, and after them what
+the longest name may reach. Of the names at one place the longest counts, and
 places are taken from left to right, each from the end of the last: the spans are
 those of the compiled pattern (:func:`tripwire.operators.text.annotate_entities`).
 """
@@ -16,12 +18,14 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.functions.core import WORD, let, with_computed
-from tripwire.operators.text import _BLOCK, SPAN_TYPE, _running_lengths, sentence_main, split_sentences
+from tripwire.functions.core import WORD, with_computed
+from tripwire.operators.text import SPAN_TYPE, sentence_main, split_sentences
 from tripwire.session import reliable_checkpoint
 
 # Names in one broadcast (some 100 MB); more are met in further rounds, each a pass over the texts.
 NAMES_PER_ROUND = 1_000_000
+# Characters of a window in which names begin; as many as the longest name has, if those are more.
+WINDOW = 512
 _HEAD = rf"({WORD}+|[^{WORD[1:-1]}])"
 
 
@@ -37,28 +41,29 @@ def name_index(names: DataFrame, labels: Iterable[str] = ("PERSON",)) -> DataFra
 
 def name_spans(rows: DataFrame, key: Sequence[str], text_col: str, index: DataFrame, names_per_round: int = NAMES_PER_ROUND) -> DataFrame:
     """``(*key, spans)`` for the rows whose text holds a name; ``key`` tells the rows apart, ``index`` is of :func:`name_index`."""
-    n = index.count()
+    n, longest = index.agg(F.count(F.lit(1)), F.max("size")).first()
     if not n:
         return rows.select(*key, F.array().cast(SPAN_TYPE).alias("spans")).limit(0)
     rounds = -(-n // names_per_round)
     index = index.withColumn("worded", F.col("head").rlike(WORD))
-    cut = let(F.regexp_extract_all(F.col("_text"), F.lit(_HEAD), 1), lambda tokens: F.struct(
-        tokens.alias("tokens"), _running_lengths(F.transform(tokens, F.length))[0].alias("sums")))
-    tokens = with_computed(rows.select(*key, F.col(text_col).alias("_text")), "_cut", cut)
-    tokens = tokens.select(*key, "_text", F.col("_cut.tokens").alias("_tokens"), F.col("_cut.sums").alias("_sums"))
-    tokens = tokens.select(*key, "_text", "_tokens", "_sums", F.posexplode("_tokens").alias("_i", "head"))
-    # Where a token meets a name: its place, and whether the name stands there.
-    block = F.floor(F.col("_i") / _BLOCK).cast("int")
-    upto = F.aggregate(F.slice("_sums", F.lit(1), block), F.lit(0), lambda a, x: a + x) + F.aggregate(
-        F.slice("_tokens", block * _BLOCK + 1, F.col("_i") - block * _BLOCK), F.lit(0), lambda a, x: a + F.length(x))
-    starts = F.col("worded") | ~F.coalesce(F.get("_tokens", F.col("_i") - 1).rlike(WORD), F.lit(False))
-    here = F.substring(F.col("_text"), F.col("at") + 1, F.col("size"))
-    follows = F.substring(F.col("_text"), F.col("at") + F.col("size") + 1, F.lit(1))
-    there = starts & (here == F.col("name")) & ~follows.rlike(WORD)
+    step = max(WINDOW, longest)
+    # A window begins with the character before it (a space before the text) and ends with the one after the longest name.
+    windows = F.regexp_extract_all(F.concat(F.lit(" "), F.col(text_col)), F.lit(rf"(?s)(?=(.{{1,{step + longest + 1}}}+)).{{1,{step}}}+"), 1)
+    cut = rows.select(*key, F.posexplode(windows).alias("_w", "_text"))
+    cut = with_computed(cut, "_tokens", F.regexp_extract_all("_text", F.lit(_HEAD), 1))
+    # The first token is, or begins with, the character before the window.
+    tokens = cut.select(*key, "_w", "_text", "_tokens", F.posexplode("_tokens").alias("_i", "head")).where("_i > 0")
+    # Where a token meets a name: its place in the window, and whether the name stands there.
+    place = F.length(F.array_join(F.slice("_tokens", F.lit(1), F.col("_i")), ""))
+    starts = F.col("worded") | ~F.get("_tokens", F.col("_i") - 1).rlike(WORD)
+    here = F.substring(F.col("_text"), F.col("_at") + 1, F.col("size"))
+    follows = F.substring(F.col("_text"), F.col("_at") + F.col("size") + 1, F.lit(1))
+    there = starts & (F.col("_at") <= step) & (here == F.col("name")) & ~follows.rlike(WORD)
+    at = (F.col("_w") * step + F.col("_at") - 1).cast("int").alias("at")
     found = None
     for k in range(rounds):
         part = index.where(F.pmod(F.xxhash64("head"), F.lit(rounds)) == k) if rounds > 1 else index
-        hits = tokens.join(F.broadcast(part), "head").withColumn("at", upto.cast("int")).where(there).select(*key, "at", "size", "label")
+        hits = with_computed(tokens.join(F.broadcast(part), "head"), "_at", place).where(there).select(*key, at, "size", "label")
         found = hits if found is None else found.unionByName(hits)
     # A text's hits; of those at one place the longest comes first.
     per_row = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("less"), "label"))).alias("_hits"))
