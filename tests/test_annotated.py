@@ -43,3 +43,31 @@ def test_one_exchange_for_tokens(spark, tmp_dir):
     docs = FX.table(spark, SF_SMALL, "documents").select("doc_id", "text")
     plan = formatted(AN.central_noun_documents(docs, AN.read_annotations(spark, path), PHRASE))
     assert sum("_t" in cols for cols in exchange_inputs(plan)) == 1
+
+
+def test_tokens_of_a_stored_table_are_not_moved(spark, tmp_dir):
+    """Stored in buckets of documents, also of one that comes twice and of one without an id, tokens meet without an exchange,
+    and nothing of the writing stays on disk or in the catalog."""
+    from test_plans import exchange_inputs, formatted
+
+    docs = spark.createDataFrame([(k % 50 if k else None, f"One {k} two. Three four! Say: five\nsix") for k in range(60)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_dir}/documents.parquet")
+    tokens = FX.sentence_annotations(spark, tmp_dir)
+    before = [t.name for t in spark.catalog.listTables()]
+    stored = AN.read_annotations(spark, AN.write_annotations(tokens, f"{tmp_dir}/a", arranged=True))
+    moved = AN.read_annotations(spark, AN.write_annotations(tokens, f"{tmp_dir}/b"))
+    assert [t.name for t in spark.catalog.listTables()] == before
+    assert sorted(map(str, stored.collect())) == sorted(map(str, tokens.collect()))
+    got = AN.central_noun_documents(docs, stored, PHRASE, together=True)
+    assert not any("sentence" in cols or "_t" in cols for cols in exchange_inputs(formatted(got)))
+    want = AN.central_noun_documents(docs, moved, PHRASE)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rows_added_to_buckets_are_read(spark, tmp_dir):
+    docs = spark.createDataFrame([(1, "One two."), (2, "Three four!")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_dir}/documents.parquet")
+    tokens = FX.sentence_annotations(spark, tmp_dir)
+    AN.write_annotations(tokens.where("doc_id = 1"), f"{tmp_dir}/a", arranged=True)
+    AN.write_annotations(tokens.where("doc_id = 2"), f"{tmp_dir}/a", mode="append", arranged=True)
+    assert sorted(map(str, AN.read_annotations(spark, f"{tmp_dir}/a").collect())) == sorted(map(str, tokens.collect()))

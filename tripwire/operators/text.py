@@ -364,10 +364,10 @@ def central_noun_sentence(tokens: str | Column, phrase: str) -> Column:
             pos_fallback(tk, phrase))
 
     def with_root(tk, root):
-        subj = F.get(F.filter(tk, lambda x: (x["head"] == root["i"]) & (x["dep"] == "nsubj") & (x["i"] != root["i"])), 0)
+        subj = F.get(F.filter(tk, lambda x: (x["dep"] == "nsubj") & (x["head"] == root["i"]) & (x["i"] != root["i"])), 0)
         return let(subj, lambda sj: with_subject(tk, sj))
 
-    return let(col(tokens), lambda tk: let(F.get(F.filter(tk, lambda x: x["dep"] == "ROOT"), 0),
+    return let(col(tokens), lambda tk: let(F.get(tk, (F.array_position(tk["dep"], "ROOT") - 1).cast("int")),
                                            lambda root: with_root(tk, root)))
 
 

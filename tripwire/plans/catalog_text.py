@@ -451,4 +451,4 @@ def q_central_noun(spark, sf):
     from tripwire.operators.annotated import central_noun_documents, read_annotations, write_annotations
 
     path = write_annotations(FX.sentence_annotations(spark, sf), scratch_path(spark, "annotations"), arranged=True)
-    return central_noun_documents(_docs(spark, sf), read_annotations(spark, path), PHRASE).select("doc_id", "replaced")
+    return central_noun_documents(_docs(spark, sf), read_annotations(spark, path), PHRASE, together=True).select("doc_id", "replaced")

@@ -62,23 +62,34 @@ def instr(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIXTURE_POS = ["VERB", "AUX", "ADJ", "ADV", "DET", "ADP", "NUM", "NOUN", "PROPN", "PUNCT"]
 
 
-def _annotated(rows: DataFrame, seed: Column, text: str) -> DataFrame:
-    """``rows`` with ``tokens``: the root is token ``seed mod n``; where ``seed`` is divisible by three, the token after it (or
-    the first) is its subject, with a chunk from the token before it."""
-    from tripwire.operators.text import TOKEN_TYPE, TOKEN_WS
+def _parted(rows: DataFrame, seed: Column, text: str) -> DataFrame:
+    """``rows`` with the tokens of ``text`` and the blanks after each (``_text``, ``_ws``), and the numbers of two: the root is token
+    ``seed mod n``; where ``seed`` is divisible by three, the token after it (or the first) is its subject."""
+    from tripwire.operators.text import TOKEN_WS
 
     parts = F.struct(F.regexp_extract_all(text, F.lit(TOKEN_WS), 1).alias("_text"), F.regexp_extract_all(text, F.lit(TOKEN_WS), 2).alias("_ws"))
     rows = with_computed(rows, "_parts", parts).withColumns({"_text": F.col("_parts._text"), "_ws": F.col("_parts._ws")}).drop("_parts")
     root = F.when(F.size("_text") > 0, F.pmod(seed, F.greatest(F.size("_text"), F.lit(1)))).cast("int")
-    rows = rows.withColumn("_root", root).withColumn(
+    return rows.withColumn("_root", root).withColumn(
         "_subj", F.when((seed % 3 == 0) & (F.size("_text") > 1), F.pmod(F.col("_root") + 1, F.size("_text"))).cast("int"))
+
+
+def _token(i: Column, x: Column) -> list[Column]:
+    """The fields of token ``i``, with a chunk from the token before it."""
     pos = F.array(*[F.lit(p) for p in FIXTURE_POS])
-    tokens = F.transform(F.arrays_zip("_text", "_ws"), lambda x, i: F.struct(
+    return [
         i.alias("i"), x["_text"].alias("text"), x["_ws"].alias("ws"), F.col("_root").alias("head"),
         F.when(i == F.col("_root"), "ROOT").when(i == F.col("_subj"), "nsubj").otherwise("dep").alias("dep"),
         F.get(pos, F.pmod(F.length(x["_text"]), F.lit(len(FIXTURE_POS)))).alias("pos"),
-        F.greatest(i - 1, F.lit(0)).alias("chunk_start"), (i + 1).alias("chunk_end")))
-    return with_computed(rows, "tokens", tokens.cast(TOKEN_TYPE)).drop("_text", "_ws", "_root", "_subj")
+        F.greatest(i - 1, F.lit(0)).alias("chunk_start"), (i + 1).alias("chunk_end")]
+
+
+def _annotated(rows: DataFrame, seed: Column, text: str) -> DataFrame:
+    """``rows`` with ``tokens``, an array of them."""
+    from tripwire.operators.text import TOKEN_TYPE
+
+    tokens = F.transform(F.arrays_zip("_text", "_ws"), lambda x, i: F.struct(*_token(i, x)))
+    return with_computed(_parted(rows, seed, text), "tokens", tokens.cast(TOKEN_TYPE)).drop("_text", "_ws", "_root", "_subj")
 
 
 def token_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,14 +99,15 @@ def token_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A token a row, ``(doc_id, sentence, i, ...)``: every sentence of every document annotated, by the sum of its document's id and
-    its number; in ranges of documents."""
+    its number; in ranges of documents' buckets."""
     from tripwire.operators.annotated import by_document
     from tripwire.operators.text import split_sentences
 
     docs = by_document(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = docs.select("doc_id", F.posexplode(split_sentences("text")).alias("sentence", "s"))
-    found = _annotated(rows, F.col("doc_id") + F.col("sentence"), "s")
-    return found.select("doc_id", "sentence", F.inline("tokens"))
+    found = _parted(rows, F.col("doc_id") + F.col("sentence"), "s")
+    each = found.select("doc_id", "sentence", "_root", "_subj", F.posexplode(F.arrays_zip("_text", "_ws")).alias("_i", "_x"))
+    return each.select("doc_id", "sentence", *_token(F.col("_i"), F.col("_x")))
 
 
 def fixture_label_map(spark: SparkSession) -> DataFrame:
